@@ -40,14 +40,16 @@ def std(x: Column | str, ddof: int) -> Column:
 def pearson(x: Column | str, y: Column | str, min_n: int = 3) -> Column:
     """Aggregate: correlation over rows where both are present.
 
-    NULL below ``min_n`` pairs or without variance, where ``corr`` would raise.
+    NULL below ``min_n`` pairs or without variance, where ``corr`` would raise. Rounding noise around an
+    exact 0 counts as 0, so its sign means something.
     """
     x, y = as_col(x), as_col(y)
     both = x.isNotNull() & y.isNotNull()
     sx = F.stddev_pop(F.when(both, x))
     sy = F.stddev_pop(F.when(both, y))
     ok = (count_if(both) >= min_n) & (sx >= 1e-9) & (sy >= 1e-9)
-    return F.when(ok, F.try_divide(F.covar_pop(x, y), sx * sy))
+    r = F.try_divide(F.covar_pop(x, y), sx * sy)
+    return F.when(ok, F.when(F.abs(r) < 1e-12, F.lit(0.0)).otherwise(r))
 
 
 def drawdown(curve: Column, peak: Column) -> Column:

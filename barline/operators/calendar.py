@@ -121,8 +121,10 @@ def future_dates(last_dates: DataFrame, n: int, holidays: DataFrame) -> DataFram
     # n + holidays weekdays are certain to hold n open ones
     reach = days_off.agg(F.count(F.lit(1))).scalar() + F.lit(n)
     horizon = F.ceil(reach / 5).cast("int") * 7 + 7
-    ahead = last_dates.withColumnRenamed("date", "last_date").withColumn(
-        "date", F.explode(_weekdays(F.date_add("last_date", 1), F.date_add("last_date", horizon)))
+    ahead = (
+        last_dates.withColumnRenamed("date", "last_date")
+        .withColumn("date", F.explode(F.sequence(F.date_add("last_date", 1), F.date_add("last_date", horizon))))
+        .where(F.weekday("date") < 5)
     )
     w = Window.partitionBy("symbol").orderBy("date")
     return ahead.join(days_off, "date", "left_anti").withColumn("step", F.row_number().over(w)).where(F.col("step") <= n)

@@ -162,6 +162,18 @@ def feature_diagnostics(
     return aggregate_period(per_day_metrics(long, k, ["feature", "date"], limit=limit), list(freqs), ["feature"])
 
 
+def select_metric(scored: DataFrame, metric: str, k: int = 10) -> DataFrame:
+    """One validation figure: mean over dates of rank IC, top-k excess or NDCG."""
+    daily = {
+        "rank_ic": lambda: rank_ic(scored, "score", "label", ["date"]).select(F.col("rank_ic").alias("_v")),
+        "top_k_excess": lambda: top_k_excess(scored, k).select(F.col("top_excess").alias("_v")),
+        "ndcg": lambda: ndcg_at_k(scored, k).select(F.col("ndcg").alias("_v")),
+    }
+    if metric not in daily:
+        raise ValueError(f"unknown metric: {metric}")
+    return daily[metric]().agg(F.avg("_v").alias("value"))
+
+
 def forecast_fidelity(paths: DataFrame, actual: DataFrame, last: DataFrame) -> DataFrame:
     """Error, direction and IC figures per horizon. ``last`` has (date, symbol, close) at the end of the context."""
     rows = (

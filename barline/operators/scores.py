@@ -315,9 +315,8 @@ def batch_forecast(contexts: DataFrame, fn: Forecaster | None = None, horizon: i
         return last.select(F.col("rebal_date").alias("date"), "symbol", steps.alias("h"), "value")
     bar = F.struct("pos", *BAR_FIELDS)
     packed = contexts.groupBy("rebal_date", "symbol").agg(F.array_sort(F.collect_list(bar)).alias("win"))
-    flat = packed.select(
-        F.col("rebal_date").alias("date"), "symbol", *[F.transform("win", lambda b, f=f: b[f]).alias(f) for f in BAR_FIELDS]
-    )
+    column = lambda f: F.col("win")[f].alias(f)
+    flat = packed.select(F.col("rebal_date").alias("date"), "symbol", *[column(f) for f in BAR_FIELDS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

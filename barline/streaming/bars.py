@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barline.sources.bars import upsert_bars
-
 
 def stream_bars(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events (ts, event_id, symbol, price) to bars per tumbling window; works on a stream or a table.
@@ -30,7 +28,7 @@ def stream_bars(events: DataFrame, width: str = "1 hour", delay: str = "10 minut
 
 
 def stream_complete_dates(rows: DataFrame, delay: str = "1 day", width: str = "1 day") -> DataFrame:
-    """One row per closed cross-section: n rows, mean score and its spread. Rows (ts, symbol, score).
+    """One row per closed cross-section: rows, mean and highest score. Rows (ts, symbol, score).
 
     A date is emitted once, after the watermark has passed it. Rows that come later are dropped by the
     engine and counted in the query progress (``numRowsDroppedByWatermark``).
@@ -40,10 +38,9 @@ def stream_complete_dates(rows: DataFrame, delay: str = "1 day", width: str = "1
         timed = timed.withWatermark("ts", delay)
     return timed.groupBy(F.window("ts", width)).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.approx_count_distinct("symbol").alias("n_symbols") if rows.isStreaming else F.count_distinct("symbol").alias("n_symbols"),
         F.avg("score").alias("mean_score"),
         F.max("score").alias("max_score"),
-    ).select(F.to_date("window.start").alias("date"), "n_rows", "n_symbols", "mean_score", "max_score")
+    ).select(F.to_date("window.start").alias("date"), "n_rows", "mean_score", "max_score")
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -51,50 +48,31 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def stream_upsert(bars: DataFrame, path: str, checkpoint: str, seq: str = "seq", versions: int = 2) -> StreamingQuery:
-    """Merge each micro-batch into the bar table under ``path``.
+def stream_upsert(bars: DataFrame, path: str, checkpoint: str, seq: str = "seq") -> StreamingQuery:
+    """Merge a stream of bar versions on (symbol, date).
 
-    Every batch writes a full version ``path/v=<batch id>``; a replayed batch rebuilds the same version from
-    the same predecessor, so a crash between write and commit changes nothing. Read with ``latest_version``.
+    Each micro-batch is reduced to one version per key and written as its own delta ``path/batch=<id>``, so the
+    cost of a batch does not grow with the table. A replayed batch overwrites its own delta. ``current_bars``
+    resolves the deltas, ``compact_bars`` folds them into one.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _version_before(batch, path, batch_id)
-        latest = batch.groupBy("symbol", "date").agg(
-            F.max_by(F.struct(*[c for c in batch.columns if c not in ("symbol", "date")]), seq).alias("_b")
-        ).select("symbol", "date", "_b.*")
-        if before is None:
-            merged = latest.drop(seq)
-        else:
-            merged = upsert_bars(spark.read.parquet(f"{path}/v={before}"), latest, seq)
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    return (
-        bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+        newest_version(batch, F.col(seq)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(df: DataFrame, path: str) -> list[int]:
-    """Finished versions under ``path``, through the cluster's file system."""
-    jvm = df.sparkSession._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(root):
-        return []
-    done = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            done.append(int(name[2:]))
-    return sorted(done)
+def newest_version(rows: DataFrame, order: Column) -> DataFrame:
+    """One row per (symbol, date): the one with the highest ``order``; reduced before the shuffle."""
+    rest = [c for c in rows.columns if c not in ("symbol", "date")]
+    return rows.groupBy("symbol", "date").agg(F.max_by(F.struct(*rest), order).alias("_row")).select("symbol", "date", "_row.*")
 
 
-def _version_before(df: DataFrame, path: str, batch_id: int) -> int | None:
-    older = [v for v in _versions(df, path) if v < batch_id]
-    return older[-1] if older else None
+def current_bars(spark: SparkSession, path: str, seq: str = "seq") -> DataFrame:
+    """The bar table as of the last finished micro-batch: the latest batch wins, then the highest ``seq``."""
+    return newest_version(spark.read.parquet(path), F.struct("batch", seq)).drop("batch", seq)
 
 
-def latest_version(bars: DataFrame, path: str) -> DataFrame:
-    """The newest finished version; ``bars`` only supplies the session."""
-    return bars.sparkSession.read.parquet(f"{path}/v={_versions(bars, path)[-1]}")
+def compact_bars(spark: SparkSession, path: str, target: str, seq: str = "seq") -> None:
+    """Write the resolved table as the first delta of a new path."""
+    newest_version(spark.read.parquet(path), F.struct("batch", seq)).drop("batch").write.mode("overwrite").parquet(f"{target}/batch=0")
