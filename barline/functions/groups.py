@@ -34,14 +34,16 @@ def with_ranks(
     cols: list[str],
     key: str = "symbol",
     limit: int = GROUP_LIMIT,
+    turns: bool = False,
 ) -> DataFrame:
-    """Add a struct ``<col>_rk`` per column: n (values present), below, equal, turn.
+    """Add a struct ``<col>_rk`` per column: n (values present), below, equal and, if asked for, turn.
 
     ``below`` counts smaller values, ``equal`` counts rows with the same value and ``turn`` is
-    the position among those by ``key`` (a string). NULLs take no part and get NULL. (by, key) is unique.
+    the position among those by ``key`` (a string), for which each column is sorted once more.
+    NULLs take no part and get NULL. (by, key) is unique.
     """
     cold, hot = split_hot(df, by, limit)
-    return _ranks_by_window(cold, by, cols, key).unionByName(_ranks_by_range(hot, by, cols, key))
+    return _ranks_by_window(cold, by, cols, key, turns).unionByName(_ranks_by_range(hot, by, cols, key, turns))
 
 
 def average_rank(col: str) -> Column:
@@ -66,27 +68,22 @@ def place_down(col: str) -> Column:
     return rk["n"] - rk["below"] - rk["equal"] + rk["turn"]
 
 
-def _ranks_by_window(df: DataFrame, by: list[str], cols: list[str], key: str) -> DataFrame:
+def _ranks_by_window(df: DataFrame, by: list[str], cols: list[str], key: str, turns: bool) -> DataFrame:
     group = Window.partitionBy(*by)
     parts = {}
     for c in cols:
         w = group.orderBy(F.col(c).asc_nulls_last())
         below = F.rank().over(w).cast("long") - 1
         upto = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        place = F.row_number().over(group.orderBy(F.col(c).asc_nulls_last(), key)).cast("long")
-        parts[f"{c}_rk"] = F.when(
-            F.col(c).isNotNull(),
-            F.struct(
-                F.count(c).over(group).alias("n"),
-                below.alias("below"),
-                (upto - below).alias("equal"),
-                (place - below).alias("turn"),
-            ),
-        )
+        fields = [F.count(c).over(group).alias("n"), below.alias("below"), (upto - below).alias("equal")]
+        if turns:
+            place = F.row_number().over(group.orderBy(F.col(c).asc_nulls_last(), key)).cast("long")
+            fields.append((place - below).alias("turn"))
+        parts[f"{c}_rk"] = F.when(F.col(c).isNotNull(), F.struct(*fields))
     return df.select("*", *[x.alias(n) for n, x in parts.items()])
 
 
-def _ranks_by_range(df: DataFrame, by: list[str], cols: list[str], key: str) -> DataFrame:
+def _ranks_by_range(df: DataFrame, by: list[str], cols: list[str], key: str, turns: bool) -> DataFrame:
     item = [*by, "_col"]
     long = df.select(
         *by,
@@ -124,29 +121,17 @@ def _ranks_by_range(df: DataFrame, by: list[str], cols: list[str], key: str) ->
     by_value = w.orderBy("_v")
     below_here = F.rank().over(by_value).cast("long") - 1
     upto_here = F.count(F.lit(1)).over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    place_here = F.row_number().over(w.orderBy("_v", "_key")).cast("long")
-    ranked = placed.join(offsets, cell).select(
-        *item,
-        "_key",
-        F.when(
-            F.col("_tied"),
-            F.struct(
-                F.col("_n").alias("n"),
-                F.col("_range_before").alias("below"),
-                F.col("_range_size").alias("equal"),
-                (F.col("_before") - F.col("_range_before") + place_here).alias("turn"),
-            ),
-        )
-        .otherwise(
-            F.struct(
-                F.col("_n").alias("n"),
-                (F.col("_before") + below_here).alias("below"),
-                (upto_here - below_here).alias("equal"),
-                (place_here - below_here).alias("turn"),
-            )
-        )
-        .alias("_rk"),
-    )
+    tie = F.col("_tied")
+    fields = [
+        F.col("_n").alias("n"),
+        F.when(tie, F.col("_range_before")).otherwise(F.col("_before") + below_here).alias("below"),
+        F.when(tie, F.col("_range_size")).otherwise(upto_here - below_here).alias("equal"),
+    ]
+    if turns:
+        place_here = F.row_number().over(w.orderBy("_v", "_key")).cast("long")
+        in_tie = F.col("_before") - F.col("_range_before") + place_here
+        fields.append(F.when(tie, in_tie).otherwise(place_here - below_here).alias("turn"))
+    ranked = placed.join(offsets, cell).select(*item, "_key", F.struct(*fields).alias("_rk"))
     wide = ranked.groupBy(*by, F.col("_key").alias(key)).agg(
         *[F.max(F.when(F.col("_col") == c, F.col("_rk"))).alias(f"{c}_rk") for c in cols]
     )

@@ -82,7 +82,7 @@ def top_k_excess(scored: DataFrame, k: int = 10) -> DataFrame:
 def ndcg_at_k(scored: DataFrame, k: int = 10, limit: int = GROUP_LIMIT) -> DataFrame:
     """Gain n..1 by label order, discount 1 / log2(place + 1), for dates with at least k rows."""
     pairs = scored.where(F.col("score").isNotNull() & F.col("label").isNotNull()).select("date", "symbol", "score", "label")
-    ranked = with_ranks(pairs, ["date"], ["score", "label"], limit=limit).select(
+    ranked = with_ranks(pairs, ["date"], ["score", "label"], limit=limit, turns=True).select(
         "date", F.col("label_rk")["n"].alias("n"), place_down("score").alias("place"), place_down("label").alias("ideal")
     )
     gain = (F.col("n") + 1 - F.col("ideal")) / F.log2(F.col("place") + 1)
@@ -110,7 +110,7 @@ def per_day_metrics(
     """
     by = by or ["date"]
     pairs = scored.where(F.col(score).isNotNull() & F.col("label").isNotNull()).select(*by, "symbol", score, "label")
-    ranked = with_ranks(pairs, by, [score, "label"], limit=limit).select(
+    ranked = with_ranks(pairs, by, [score, "label"], limit=limit, turns=True).select(
         *by,
         "label",
         average_rank(score).alias("_rs"),

@@ -88,7 +88,7 @@ def rank_gradients(scored: DataFrame, sigma: float = 1.0, tile: int = TILE, limi
     Rows of a date are cut into tiles by label place. One task adds up one pair of tiles, so it holds at most
     two tiles, and sums per row leave it, never the pairs themselves.
     """
-    placed = with_ranks(scored.select("date", "symbol", "score", "label"), ["date"], ["label"], limit=limit)
+    placed = with_ranks(scored.select("date", "symbol", "score", "label"), ["date"], ["label"], limit=limit, turns=True)
     rows = placed.where(F.col("label").isNotNull() & F.col("score").isNotNull()).select(
         "date",
         "symbol",
@@ -142,7 +142,7 @@ def assemble_features(panel: DataFrame, cols: list[str], out: str = "features")
     arrays = [c for c in cols if isinstance(panel.schema[c].dataType, T.ArrayType)]
     ready = panel.withColumns({f"_v_{c}": array_to_vector(F.col(c).cast("array<double>")) for c in arrays})
     inputs = [f"_v_{c}" if c in arrays else c for c in cols]
-    return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(ready).drop(*[f"_v_{c}" for c in arrays])
+    return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="error" if arrays else "keep").transform(ready).drop(*[f"_v_{c}" for c in arrays])
 
 
 Scorer = Model | Callable[[pd.DataFrame], pd.Series]
@@ -285,14 +285,12 @@ def predicted_return_curve(paths: DataFrame, bars: DataFrame | None, basis: str
 
 def sample_mean(samples: DataFrame) -> DataFrame:
     """Mean, spread and quantiles over the sampled paths of a (date, symbol, h)."""
-    q = lambda p: F.percentile("value", p)
-    return samples.groupBy("date", "symbol", "h").agg(
+    agg = samples.groupBy("date", "symbol", "h").agg(
         F.avg("value").alias("value"),
         F.stddev_pop("value").alias("spread"),
-        q(0.1).alias("q10"),
-        q(0.5).alias("q50"),
-        q(0.9).alias("q90"),
+        F.percentile("value", [0.1, 0.5, 0.9]).alias("_q"),
     )
+    return agg.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(("q10", "q50", "q90"))}).drop("_q")
 
 
 def expand_score(scores: DataFrame, holds: list[int]) -> DataFrame:

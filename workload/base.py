@@ -69,6 +69,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+def logged(df: DataFrame, *cols: str) -> DataFrame:
+    """Replace compounded figures by ln(1 + |x|): weekly prices of random orders compound past any fixed precision."""
+    return df.withColumns({c: F.log1p(F.abs(F.col(c))) for c in cols})
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

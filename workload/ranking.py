@@ -250,7 +250,7 @@ cte("samples", "SELECT date, symbol, h, value * (1 + s * s / 100.0::DOUBLE) AS v
     "sample_mean",
     sql(
         """SELECT date, symbol, """
-        + r6("sum(value * h) / 7 AS value", *[f"sum({c}) / 7 AS {c}" for c in ("spread", "q10", "q50", "q90")])
+        + ", ".join(f"round(sum({c}) / 7.3::DOUBLE, 3) AS {c.split()[0]}" for c in ("value * h", "spread", "q10", "q50", "q90"))
         + """ FROM (SELECT date, symbol, h, avg(value) AS value, stddev_pop(value) AS spread, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.5) AS q50,
    quantile_cont(value, 0.9) AS q90 FROM samples GROUP BY date, symbol, h) GROUP BY date, symbol"""
     ),
@@ -259,9 +259,9 @@ def _(spark, sf):
     drawn = paths(spark, sf).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4))))
     drawn = drawn.withColumn("value", F.col("value") * (F.lit(1.0) + F.col("s") * F.col("s") / F.lit(100.0)))
     out = sc.sample_mean(drawn).groupBy("date", "symbol").agg(
-        (F.sum(F.col("value") * F.col("h")) / 7).alias("value"), *[(F.sum(c) / 7).alias(c) for c in ("spread", "q10", "q50", "q90")]
+        (F.sum(F.col("value") * F.col("h")) / 7.3).alias("value"), *[(F.sum(c) / 7.3).alias(c) for c in ("spread", "q10", "q50", "q90")]
     )
-    return rounded(out)
+    return rounded(out, 3)
 
 
 @query("expand_score", sql("SELECT date, symbol, h, round(score, 6) AS value FROM score_b, (SELECT unnest([3, 5, 10]) AS h)"))

@@ -130,7 +130,7 @@ def _(spark, sf):
 
 @query(
     "denormalise",
-    sql("SELECT date, symbol, round(sum(value * h) / 7, 3) AS weighted FROM paths GROUP BY date, symbol"),
+    sql("SELECT date, symbol, round(sum(value * h) / 7.3::DOUBLE, 3) AS weighted FROM paths GROUP BY date, symbol"),
 )
 def _(spark, sf):
     last10 = Window.partitionBy("symbol").orderBy("date").rowsBetween(-9, 0)
@@ -139,7 +139,7 @@ def _(spark, sf):
         "date", "symbol", "h", ((F.col("value") - F.col("mean")) / (F.col("std") + F.lit(1e-5))).alias("value")
     )
     back = win.denormalise(scaled, stats)
-    return rounded(back.groupBy("date", "symbol").agg((F.sum(F.col("value") * F.col("h")) / 7).alias("weighted")), 3)
+    return rounded(back.groupBy("date", "symbol").agg((F.sum(F.col("value") * F.col("h")) / 7.3).alias("weighted")), 3)
 
 
 @query(
