@@ -11,14 +11,17 @@ from barline.functions.timeline import along
 from barline.operators.calendar import numbered
 
 
-def forward_open_return(bars: DataFrame, h: int) -> DataFrame:
-    """open[t + h + 1] / open[t + 1] - 1 over the symbol's own rows; NULL when the history is too short."""
+def forward_open_return(bars: DataFrame, h: int, out: str = "label") -> DataFrame:
+    """Add ``out``: open[t + h + 1] / open[t + 1] - 1 over the symbol's own rows; NULL when the history is too short.
+
+    The bars are kept, so labels and features of one table share one shuffle by symbol.
+    """
     return along(
         bars,
-        lambda df, w: df.withColumn("label", change(F.lead("open", h + 1).over(w), F.lead("open", 1).over(w))),
+        lambda df, w: df.withColumn(out, change(F.lead("open", h + 1).over(w), F.lead("open", 1).over(w))),
         back=0,
         ahead=h + 1,
-    ).select("symbol", "date", "label")
+    )
 
 
 def forward_open_return_at(bars: DataFrame, refs: DataFrame, h: int) -> DataFrame:
@@ -34,6 +37,13 @@ def actual_path(bars: DataFrame, refs: DataFrame, n: int, field: str = "close")
     return coming.select("symbol", "date", F.posexplode("_path").alias("h", "value")).withColumn("h", F.col("h") + 1)
 
 
+def own_path(bars: DataFrame, n: int, field: str = "close") -> DataFrame:
+    """``actual_path`` where the reference dates are the bars themselves: a frame instead of a range join."""
+    following = lambda df, w: df.withColumn("_path", F.collect_list(F.col(field)).over(w.rowsBetween(1, n)))
+    rows = along(bars.select("symbol", "date", field), following, back=0, ahead=n)
+    return rows.select("symbol", "date", F.posexplode("_path").alias("h", "value")).withColumn("h", F.col("h") + 1)
+
+
 def _first_after(bars: DataFrame, refs: DataFrame, value, ahead: int) -> DataFrame:
     """Match each (symbol, date) with the symbol's first bar after it, carrying ``value`` of that bar.
 

@@ -22,25 +22,28 @@ from barline.operators.labels import calendar_forward_return
 TILE = 2048
 
 
-def zscore_by_date(scores: DataFrame, ddof: int = 0, col: str = "score", out: str | None = None) -> DataFrame:
+def zscore_by_date(scores: DataFrame, ddof: int = 0, cols: list[str] = ("score",)) -> DataFrame:
     """(s - mean) / std per date; s - mean where the deviation is 0 or undefined.
 
     The statistics have one row per date, so they are broadcast and the scores are not shuffled.
     """
-    stats = scores.groupBy("date").agg(F.avg(col).alias("_m"), std(col, ddof).alias("_s"))
-    centred = F.col(col) - F.col("_m")
-    return (
-        scores.join(F.broadcast(stats), "date")
-        .withColumn(out or col, F.coalesce(ratio(centred, "_s"), centred))
-        .drop("_m", "_s")
-    )
+    pairs = [(F.avg(c).alias(f"_m_{c}"), std(c, ddof).alias(f"_s_{c}")) for c in cols]
+    stats = scores.groupBy("date").agg(*[x for pair in pairs for x in pair])
+    centred = {c: F.col(c) - F.col(f"_m_{c}") for c in cols}
+    z = {c: F.coalesce(ratio(centred[c], f"_s_{c}"), centred[c]) for c in cols}
+    return scores.join(F.broadcast(stats), "date").withColumns(z).select(*scores.columns)
 
 
 def blend(a: DataFrame, b: DataFrame, w: float = 0.6, ddof: int = 0) -> DataFrame:
     """w z(a) + (1 - w) z(b) over the (date, symbol) pairs both tables score."""
-    pair = aligned(a, b)
-    pair = zscore_by_date(zscore_by_date(pair, ddof, "score_a"), ddof, "score_b")
-    return pair.select("date", "symbol", (F.lit(w) * F.col("score_a") + F.lit(1.0 - w) * F.col("score_b")).alias("score"))
+    return blend_columns(aligned(a, b), "score_a", "score_b", w, ddof)
+
+
+def blend_columns(df: DataFrame, a: str, b: str, w: float = 0.6, ddof: int = 0) -> DataFrame:
+    """The same for two score columns of one table, which needs no join."""
+    both = df.select("date", "symbol", a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    z = zscore_by_date(both, ddof, [a, b])
+    return z.select("date", "symbol", (F.lit(w) * F.col(a) + F.lit(1.0 - w) * F.col(b)).alias("score"))
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def sweep_blend(
     a: DataFrame, b: DataFrame, bars: DataFrame, cal: DataFrame, weights: list[float], k: int, hold: int, threshold: float = 0.0, ddof: int = 1
 ) -> DataFrame:
     """Next-open metrics per blend weight w of w z(a) + (1 - w) z(b)."""
-    z = zscore_by_date(zscore_by_date(aligned(a, b), ddof, "score_a"), ddof, "score_b")
+    z = zscore_by_date(aligned(a, b), ddof, ["score_a", "score_b"])
     sched = schedule(cal, [hold]).drop("variant")
     on_signal = z.join(F.broadcast(sched), z["date"] == sched["signal_date"])
     w = F.col("w")

@@ -206,11 +206,19 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     from barline.operators.features import ma_dist, momentum
     from barline.operators.labels import forward_open_return
 
-    b = bars(spark, sf)
-    both = momentum(ma_dist(b, 5), 20).select(
-        "date", "symbol", (-F.col("feat_ma5_dist")).alias("score"), F.col("feat_momentum_20").alias("score_b")
+    rows = forward_open_return(momentum(ma_dist(bars(spark, sf), 5), 20), 5).where("label is not null")
+    return rows.select(
+        "date", "symbol", (-F.col("feat_ma5_dist")).alias("score"), F.col("feat_momentum_20").alias("score_b"), "label"
     )
-    return both.join(forward_open_return(b, 5), ["symbol", "date"]).where("label is not null")
+
+
+def blended(spark: SparkSession, sf: str) -> DataFrame:
+    """The 0.6 / 0.4 blend of both scores."""
+    from barline.operators.features import ma_dist, momentum
+    from barline.operators.scores import blend_columns
+
+    both = momentum(ma_dist(bars(spark, sf), 5), 20).withColumn("score_a", -F.col("feat_ma5_dist"))
+    return blend_columns(both, "score_a", "feat_momentum_20", 0.6)
 
 
 def paths(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,6 +21,7 @@ from workload.base import (
     W,
     all_bars,
     bars,
+    blended,
     calendar,
     cte,
     curves,
@@ -84,8 +85,7 @@ cte(
 
 @query("momentum_overlay", sql("SELECT date, symbol, round(score, 6) AS score FROM overlaid"))
 def _(spark, sf):
-    blended = sc.blend(score_a(spark, sf), score_b(spark, sf), 0.6)
-    return rounded(sc.momentum_overlay(blended, bars(spark, sf), calendar(spark, sf)))
+    return rounded(sc.momentum_overlay(blended(spark, sf), bars(spark, sf), calendar(spark, sf)))
 
 
 cte("label_places", "SELECT *, row_number() OVER (PARTITION BY date ORDER BY label, symbol) AS place FROM scored")
@@ -120,8 +120,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     b = bars(spark, sf)
-    panel = feat.volatility(feat.ma_dist(b, 5), 10).select("date", "symbol", "feat_ma5_dist", "feat_vol_10")
-    panel = panel.join(lab.forward_open_return(b, 5), ["symbol", "date"])
+    panel = lab.forward_open_return(feat.volatility(feat.ma_dist(b, 5), 10), 5).select("date", "symbol", "label", "feat_ma5_dist", "feat_vol_10")
     cols = ["feat_ma5_dist", "feat_vol_10"]
     linear = lambda pdf: -pdf[cols[0]] + 2 * pdf[cols[1]]
     return rounded(sc.score_table(panel, {"linear": linear}, traded(spark, sf), cols))
@@ -139,13 +138,18 @@ def _(spark, sf):
     return rounded(rows.select("vec_id", F.size(values).alias("n_values"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
+def labelled(spark, sf):
+    """Four features and the 5-step label, one shuffle by symbol."""
+    rows = feat.volume_ratio(feat.volatility(feat.momentum(feat.ma_dist(bars(spark, sf), 5), 20), 10))
+    return lab.forward_open_return(rows, 5).where("label is not null")
+
+
 RANKER_COLS = ["feat_ma5_dist", "feat_momentum_20", "feat_vol_10", "feat_volume_ratio"]
 
 
 @query("fit_ranker")
 def _(spark, sf):
-    panel = features(spark, sf).join(lab.forward_open_return(bars(spark, sf), 5), ["symbol", "date"])
-    panel = panel.where("label is not null").select("date", "symbol", "label", *RANKER_COLS)
+    panel = labelled(spark, sf).select("date", "symbol", "label", *RANKER_COLS)
     model, summary = sc.fit_ranker(panel, RANKER_COLS, F.col("date") >= "2000-01-01", rounds=10)
     rows = sc.assemble_features(panel.where("date >= '2000-01-01'"), RANKER_COLS)
     rows = sc.tree_range_score(rows, model, max(1, summary["n_trees"] // 2), "score_half")
@@ -365,8 +369,7 @@ def _(spark, sf):
     sql(f"SELECT date, symbol, round(score, 6) AS score, place FROM placed_blend WHERE place <= {K} AND date = (SELECT max(date) FROM market)"),
 )
 def _(spark, sf):
-    blended = sc.blend(score_a(spark, sf), score_b(spark, sf), 0.6)
-    return rounded(sel.latest_signals(blended, all_bars(spark, sf), BENCHMARK, K))
+    return rounded(sel.latest_signals(blended(spark, sf), all_bars(spark, sf), BENCHMARK, K))
 
 
 cte("moves", f"SELECT symbol, date, close / nullif(lag(close) OVER ({W}), 0) - 1 AS pred_return FROM bars")
@@ -466,8 +469,7 @@ cte("open_ics", f"SELECT date, h, {corr_sql('rp', 'ra')} AS rank_ic FROM open_ra
     ),
 )
 def _(spark, sf):
-    b = bars(spark, sf)
-    actual = lab.actual_path(b, b.select("symbol", "date"), 10, "open")
+    actual = lab.own_path(bars(spark, sf), 10, "open")
     return rounded(ev.validation_metrics(paths(spark, sf), actual, 5, 5))
 
 
@@ -544,8 +546,7 @@ cte(
 
 @query("feature_diagnostics", sql(period_sql("feature_daily", "Q", "feature")))
 def _(spark, sf):
-    panel = features(spark, sf).join(lab.forward_open_return(bars(spark, sf), 5), ["symbol", "date"]).where("label is not null")
-    return rounded(ev.feature_diagnostics(panel, RAW, K))
+    return rounded(ev.feature_diagnostics(labelled(spark, sf), RAW, K))
 
 
 cte(
@@ -573,7 +574,7 @@ cte("close_ics", f"SELECT date, h, {corr_sql('rp', 'ra')} AS rank_ic FROM close_
 )
 def _(spark, sf):
     b = bars(spark, sf)
-    actual = lab.actual_path(b, b.select("symbol", "date"), 10, "close")
+    actual = lab.own_path(b, 10, "close")
     return rounded(ev.forecast_fidelity(paths(spark, sf), actual, b))
 
 

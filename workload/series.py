@@ -272,7 +272,7 @@ def _keys(spark, sf):
     at = schedule(calendar(spark, sf), [4])
     on = at.select(F.col("signal_date").alias("date"))
     own = bars(spark, sf).select("date", "symbol").join(F.broadcast(on), "date", "left_semi")
-    return own.unionByName(own.withColumn("date", F.date_add("date", 2)))
+    return own.withColumn("date", F.explode(F.array("date", F.date_add("date", 2))))
 
 
 @query(
@@ -405,7 +405,7 @@ def _(spark, sf):
 
 @query("forward_open_return", sql("SELECT symbol, date, round(label, 6) AS label FROM labels5"))
 def _(spark, sf):
-    return rounded(lab.forward_open_return(bars(spark, sf), 5))
+    return rounded(lab.forward_open_return(bars(spark, sf), 5).select("symbol", "date", "label"))
 
 
 # reference dates three days after each bar, and one before the first bar of each symbol
@@ -445,11 +445,10 @@ def _h_label(h: int) -> str:
     ),
 )
 def _(spark, sf):
-    b = bars(spark, sf)
-    joined = lab.forward_open_return(b, 1).withColumn("label_h1", F.col("label"))
-    for h in (3, 5):
-        joined = joined.join(lab.forward_open_return(b, h).withColumnRenamed("label", f"label_h{h}"), ["symbol", "date"])
-    return rounded(lab.composite_label(joined).select("symbol", "date", "label"))
+    rows = bars(spark, sf)
+    for h in (1, 3, 5):
+        rows = lab.forward_open_return(rows, h, f"label_h{h}")
+    return rounded(lab.composite_label(rows.withColumn("label", F.col("label_h1"))).select("symbol", "date", "label"))
 
 
 cte("placed", "SELECT b.symbol, b.open, n.idx, n.prev_date FROM bars b JOIN numbered n ON b.date = n.date")
@@ -465,6 +464,21 @@ def _(spark, sf):
     return rounded(lab.calendar_forward_return(bars(spark, sf), calendar(spark, sf), 5).select("symbol", "date", "ret"))
 
 
+@query(
+    "own_path",
+    sql(
+        f"""SELECT symbol, date, n, round(weighted, 4) AS weighted FROM
+  (SELECT symbol, date, count(*) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS n, lead(close, 1) OVER ({W}) + coalesce(2 * lead(close, 2) OVER ({W}), 0)
+    + coalesce(3 * lead(close, 3) OVER ({W}), 0) + coalesce(4 * lead(close, 4) OVER ({W}), 0) AS weighted FROM bars) WHERE n > 0"""
+    ),
+)
+def _(spark, sf):
+    rows = lab.own_path(bars(spark, sf), 4)
+    return rounded(
+        rows.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * F.col("h")).alias("weighted")), 4
+    )
+
+
 @query(
     "actual_path",
     sql(
