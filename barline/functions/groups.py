@@ -23,8 +23,18 @@ def hot_groups(df: DataFrame, by: list[str], limit: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).select(*by)
 
 
-def split_hot(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    hot = F.broadcast(hot_groups(df, by, limit))
+def split_hot(df: DataFrame, by: list[str], limit: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of groups above ``limit`` or None if there are no such groups.
+
+    The sizes are looked at here, by one aggregate that reads the keys only. Without the answer every plan would
+    have to carry both ways. ``limit`` None skips the look, for callers who know their groups.
+    """
+    if limit is None:
+        return df, None
+    hot = hot_groups(df, by, limit)
+    if hot.isEmpty():
+        return df, None
+    hot = F.broadcast(hot)
     return df.join(hot, by, "left_anti"), df.join(hot, by, "left_semi")
 
 
@@ -33,7 +43,7 @@ def with_ranks(
     by: list[str],
     cols: list[str],
     key: str = "symbol",
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
     turns: bool = False,
 ) -> DataFrame:
     """Add a struct ``<col>_rk`` per column: n (values present), below, equal and, if asked for, turn.
@@ -43,7 +53,8 @@ def with_ranks(
     NULLs take no part and get NULL. (by, key) is unique.
     """
     cold, hot = split_hot(df, by, limit)
-    return _ranks_by_window(cold, by, cols, key, turns).unionByName(_ranks_by_range(hot, by, cols, key, turns))
+    ranked = _ranks_by_window(cold, by, cols, key, turns)
+    return ranked if hot is None else ranked.unionByName(_ranks_by_range(hot, by, cols, key, turns))
 
 
 def average_rank(col: str) -> Column:

@@ -19,13 +19,14 @@ from barline.functions.groups import GROUP_LIMIT, split_hot
 Step = Callable[[DataFrame, WindowSpec], DataFrame]
 
 
-def along(df: DataFrame, step: Step, back: int, ahead: int = 0, order: str = "date", limit: int = GROUP_LIMIT) -> DataFrame:
+def along(df: DataFrame, step: Step, back: int, ahead: int = 0, order: str = "date", limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Apply ``step(df, window)`` where the window runs along each symbol."""
     whole = Window.partitionBy("symbol").orderBy(order)
     if isinstance(df.schema[order].dataType, T.DateType):
         return step(df, whole)
     short, long = split_hot(df, ["symbol"], limit)
-    return step(short, whole).unionByName(_along_blocks(long, step, back, ahead, order, limit))
+    done = step(short, whole)
+    return done if long is None else done.unionByName(_along_blocks(long, step, back, ahead, order, limit))
 
 
 def _along_blocks(df: DataFrame, step: Step, back: int, ahead: int, order: str, limit: int) -> DataFrame:

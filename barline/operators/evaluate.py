@@ -12,7 +12,7 @@ from barline.functions.groups import GROUP_LIMIT, average_rank, best_k, place_do
 
 
 def rank_ic(
-    df: DataFrame, pred: str, actual: str, by: list[str], min_n: int = 3, key: str = "symbol", limit: int = GROUP_LIMIT
+    df: DataFrame, pred: str, actual: str, by: list[str], min_n: int = 3, key: str = "symbol", limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """Spearman correlation per group over complete pairs, average ties; NULL below ``min_n`` or without variance."""
     pairs = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(*by, key, pred, actual)
@@ -79,7 +79,7 @@ def top_k_excess(scored: DataFrame, k: int = 10) -> DataFrame:
     return everyone.where(F.col("n") >= k).join(top, "date").withColumn("top_excess", F.col("top_mean") - F.col("universe_mean"))
 
 
-def ndcg_at_k(scored: DataFrame, k: int = 10, limit: int = GROUP_LIMIT) -> DataFrame:
+def ndcg_at_k(scored: DataFrame, k: int = 10, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Gain n..1 by label order, discount 1 / log2(place + 1), for dates with at least k rows."""
     pairs = scored.where(F.col("score").isNotNull() & F.col("label").isNotNull()).select("date", "symbol", "score", "label")
     ranked = with_ranks(pairs, ["date"], ["score", "label"], limit=limit, turns=True).select(
@@ -102,7 +102,7 @@ def top_k_overlap(scored: DataFrame, a: str, b: str, k: int = 10) -> DataFrame:
 
 
 def per_day_metrics(
-    scored: DataFrame, k: int = 10, by: list[str] | None = None, score: str = "score", limit: int = GROUP_LIMIT
+    scored: DataFrame, k: int = 10, by: list[str] | None = None, score: str = "score", limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """n, rank IC, top and universe mean, excess and overlap per group, for groups of at least 2k rows.
 
@@ -155,7 +155,7 @@ def aggregate_period(daily: DataFrame, freqs: list[str] = ("Q",), by: list[str]
 
 
 def feature_diagnostics(
-    panel: DataFrame, cols: list[str], k: int = 10, freqs: list[str] = ("Q",), limit: int = GROUP_LIMIT
+    panel: DataFrame, cols: list[str], k: int = 10, freqs: list[str] = ("Q",), limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """Every feature taken as a score, through the daily and period metrics, in one job."""
     long = panel.select("date", "symbol", "label", *cols).unpivot(["date", "symbol", "label"], cols, "feature", "score")

@@ -92,7 +92,7 @@ def hl_spread(bars: DataFrame, n: int = 5) -> DataFrame:
     return along(bars, lambda df, w: df.withColumn(f"feat_hl_spread_{n}", _hl_spread(w, n)), back=n - 1)
 
 
-def technical_features(bars: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def technical_features(bars: DataFrame, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """All 13 base features beside (symbol, date): one shuffle by symbol, one sort."""
 
     def step(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -116,13 +116,13 @@ def technical_features(bars: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     return along(bars, step, back=60, limit=limit).select("symbol", "date", *TECH_FEATURES)
 
 
-def cs_rank(df: DataFrame, cols: list[str], by: str = "date", limit: int = GROUP_LIMIT) -> DataFrame:
+def cs_rank(df: DataFrame, cols: list[str], by: str = "date", limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Average-tie percentile rank per date as ``<col>_cs_rank``; NULL stays NULL."""
     ranked = with_ranks(df, [by], cols, limit=limit)
     return ranked.select(*df.columns, *[percent_rank(c).alias(c + RANK_SUFFIX) for c in cols])
 
 
-def features_at(bars: DataFrame, keys: DataFrame, strict: bool = True, limit: int = GROUP_LIMIT) -> DataFrame:
+def features_at(bars: DataFrame, keys: DataFrame, strict: bool = True, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Features and their ranks for the requested (date, symbol) keys only.
 
     A key without a same-day bar fails the job (strict) or is dropped. Ranks are taken afterwards, so they
@@ -142,7 +142,7 @@ def features_at(bars: DataFrame, keys: DataFrame, strict: bool = True, limit: in
     return cs_rank(found, TECH_FEATURES, limit=limit)
 
 
-def enrich(panel: DataFrame, bars: DataFrame, cal: DataFrame | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
+def enrich(panel: DataFrame, bars: DataFrame, cal: DataFrame | None = None, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Recompute the ``feat_*`` columns of a panel; rows off the calendar or without a bar are dropped.
 
     A repeated (date, symbol) fails the job.

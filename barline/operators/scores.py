@@ -85,7 +85,7 @@ def momentum_overlay(
     )
 
 
-def rank_gradients(scored: DataFrame, sigma: float = 1.0, tile: int = TILE, limit: int = GROUP_LIMIT) -> DataFrame:
+def rank_gradients(scored: DataFrame, sigma: float = 1.0, tile: int = TILE, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Pairwise rank gradient and hessian per (date, symbol) from ``score`` and ``label``.
 
     Rows of a date are cut into tiles by label place. One task adds up one pair of tiles, so it holds at most
@@ -184,7 +184,7 @@ def tree_range_score(rows: DataFrame, model: GBTRegressionModel, n_trees: int, o
     return rows.withColumn(out, total).drop(*[f"_t{i}" for i in range(n_trees)])
 
 
-def rank_target(panel: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def rank_target(panel: DataFrame, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Centred average-tie percentile of the label per date: a pointwise target that keeps the order."""
     ranked = with_ranks(panel, ["date"], ["label"], limit=limit)
     target = (average_rank("label") - F.lit(0.5)) / F.col("label_rk")["n"] - F.lit(0.5)
