@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 GROUP_LIMIT = 5_000_000
 CUTS = 64
+GROUP_LIMIT_MAX_K = 1000
 
 
 def hot_groups(df: DataFrame, by: list[str], limit: int) -> DataFrame:
@@ -152,14 +153,17 @@ def _ranks_by_range(df: DataFrame, by: list[str], cols: list[str], key: str, tur
 def best_k(df: DataFrame, by: list[str], score: str, k: int, key: str = "symbol") -> DataFrame:
     """The k highest scores per group, ties by key, with ``place`` 1..k.
 
-    ``row_number() <= k`` lets Catalyst keep only k rows per group and map task before the shuffle.
+    ``row_number() <= k`` lets Catalyst keep only k rows per group and map task before the shuffle. It does so up
+    to k = 1000; above that, salted parts of each group are cut to k first.
     """
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(key))
-    return (
-        df.where(F.col(score).isNotNull())
-        .withColumn("place", F.row_number().over(w))
-        .where(F.col("place") <= k)
-    )
+    order = [F.col(score).desc(), F.col(key)]
+    rows = df.where(F.col(score).isNotNull())
+    if k > GROUP_LIMIT_MAX_K:
+        part = Window.partitionBy(*by, "_salt").orderBy(*order)
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(CUTS)))
+        rows = salted.withColumn("_p", F.row_number().over(part)).where(F.col("_p") <= k).drop("_salt", "_p")
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def range_join(
@@ -170,14 +174,18 @@ def range_join(
     high: str,
     width: int,
     on: list[str] | None = None,
+    calendar_sized: bool = False,
 ) -> DataFrame:
     """Rows of ``left`` whose date lies in [low, high] of a ``right`` row.
 
     Each interval is listed under every ``width``-day slot it touches, so this is an equi-join with a
-    residual filter instead of a nested loop.
+    residual filter instead of a nested loop. A ``right`` of at most one row per day is broadcast: slots
+    alone would be far too few keys to shuffle by.
     """
     slot = lambda c: F.floor(F.unix_date(F.col(c)) / F.lit(width))
     slotted = right.withColumn("_slot", F.explode(F.sequence(slot(low), slot(high))))
+    if calendar_sized:
+        slotted = F.broadcast(slotted)
     return (
         left.withColumn("_slot", slot(left_date))
         .join(slotted, [*(on or []), "_slot"])

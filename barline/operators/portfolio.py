@@ -51,44 +51,38 @@ def close_to_close_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, o
 
 
 def return_legs(sched: DataFrame, cal: DataFrame) -> DataFrame:
-    """(variant, day, leg, set_date, num_date, den_date) that make up next-open returns.
+    """(variant, set_date, day, leg, num_date, den_date, first) that make up next-open returns.
 
     open: close over open on an execution day, of the new set. mid: close over the previous close on the days
     between. gap: next execution open over the previous close. period: open over open.
     """
     days = numbered(cal)
     w = Window.partitionBy("variant").orderBy("exec_date")
-    sets = sched.select("variant", "exec_date").withColumn("next_exec", F.lead("exec_date").over(w))
     at = days.select(F.col("date").alias("exec_date"), F.col("idx").alias("_from"))
-    to = days.select(F.col("date").alias("next_exec"), F.col("idx").alias("_to"))
-    spans = sets.join(F.broadcast(at), "exec_date", "left").join(F.broadcast(to), "next_exec", "left")
-    opened = spans.select(
+    sets = sched.select("variant", "exec_date").join(F.broadcast(at), "exec_date").select(
         "variant",
-        F.col("exec_date").alias("day"),
-        F.lit("open").alias("leg"),
         F.col("exec_date").alias("set_date"),
-        F.col("exec_date").alias("num_date"),
-        F.col("exec_date").alias("den_date"),
+        "_from",
+        F.lead("_from").over(w).alias("_to"),
+        F.lead("exec_date").over(w).alias("_next"),
+        F.lag("exec_date").over(w).isNull().alias("first"),
     )
-    kept = spans.where("next_exec is not null")
-    inner = kept.withColumn("idx", F.explode(F.sequence(F.col("_from") + 1, F.col("_to")))).join(F.broadcast(days), "idx")
-    moved = inner.select(
-        "variant",
-        F.col("date").alias("day"),
-        F.when(F.col("date") == F.col("next_exec"), "gap").otherwise("mid").alias("leg"),
-        F.col("exec_date").alias("set_date"),
-        F.col("date").alias("num_date"),
-        F.col("prev_date").alias("den_date"),
+    walked = sets.withColumn("idx", F.explode(F.sequence("_from", F.coalesce("_to", "_from")))).join(
+        F.broadcast(days.select("idx", "date", "prev_date")), "idx"
     )
-    whole = kept.select(
-        "variant",
-        F.col("exec_date").alias("day"),
-        F.lit("period").alias("leg"),
-        F.col("exec_date").alias("set_date"),
-        F.col("next_exec").alias("num_date"),
-        F.col("exec_date").alias("den_date"),
+    start, end = F.col("idx") == F.col("_from"), F.col("idx") == F.col("_to")
+
+    def leg(name: str, num: str, den: str) -> Column:
+        return F.struct(F.lit(name).alias("leg"), F.col(num).alias("num_date"), F.col(den).alias("den_date"))
+
+    legs = F.array(
+        F.when(start, leg("open", "date", "date")),
+        F.when(start & F.col("_next").isNotNull(), leg("period", "_next", "date")),
+        F.when(end & ~start, leg("gap", "date", "prev_date")),
+        F.when(~start & ~end, leg("mid", "date", "prev_date")),
     )
-    return opened.unionByName(moved).unionByName(whole)
+    exploded = walked.select("variant", "set_date", "first", F.col("date").alias("day"), F.explode(F.array_compact(legs)).alias("_l"))
+    return exploded.select("variant", "set_date", "first", "day", "_l.*")
 
 
 def next_open_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, cal: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,8 +92,7 @@ def next_open_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, cal: D
     A symbol without a price on either end of a leg does not count for it. Nothing follows the last
     execution day but its own day leg.
     """
-    legs = return_legs(sched, cal)
-    asked = legs.join(_weighted(hold).withColumnRenamed("exec_date", "set_date"), ["variant", "set_date"])
+    asked = return_legs(sched, cal).join(_weighted(hold).withColumnRenamed("exec_date", "set_date"), ["variant", "set_date"])
     quotes = bars.select("symbol", "date", "open", "close")
     num = quotes.select("symbol", F.col("date").alias("num_date"), F.col("open").alias("num_open"), F.col("close").alias("num_close"))
     den = quotes.select("symbol", F.col("date").alias("den_date"), F.col("open").alias("den_open"), F.col("close").alias("den_close"))
@@ -108,32 +101,27 @@ def next_open_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, cal: D
     priced = asked.join(num, ["symbol", "num_date"]).join(den, ["symbol", "den_date"]).withColumn("ret", change(top, bottom))
     per_leg = (
         priced.where(F.col("ret").isNotNull())
-        .groupBy("variant", "day", "leg", "set_date")
+        .groupBy("variant", "set_date", "day", "leg", "first")
         .agg(_average("ret").alias("ret"))
         .where("ret is not null")
     )
     value = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("ret")))
     by_day = per_leg.where("leg <> 'period'").groupBy("variant", "day").agg(
-        value("open").alias("_open"), value("mid").alias("_mid"), value("gap").alias("_gap")
-    )
-    first = sched.groupBy("variant").agg(F.min("exec_date").alias("_first"))
-    traded = sched.select("variant", F.col("exec_date").alias("day"), F.lit(True).alias("_exec"))
-    daily = (
-        by_day.join(F.broadcast(first), "variant")
-        .join(F.broadcast(traded), ["variant", "day"], "left")
-        .select(
-            "variant",
-            F.col("day").alias("date"),
-            F.when(F.col("_exec").isNull(), F.col("_mid"))
-            .when(F.col("day") == F.col("_first"), F.col("_open"))
-            .otherwise((F.lit(1.0) + F.col("_gap")) * (F.lit(1.0) + F.col("_open")) - F.lit(1.0))
-            .alias("ret"),
-        )
-        .where("ret is not null")
+        value("open").alias("_open"),
+        value("mid").alias("_mid"),
+        value("gap").alias("_gap"),
+        F.bool_or((F.col("leg") == "open") & F.col("first")).alias("_first"),
     )
+    both = (F.lit(1.0) + F.col("_gap")) * (F.lit(1.0) + F.col("_open")) - F.lit(1.0)
+    # a day between executions has only a mid leg, an execution day only open and gap
+    ret = F.coalesce("_mid", F.when(F.col("_first"), F.col("_open")), both)
+    daily = by_day.select("variant", F.col("day").alias("date"), ret.alias("ret")).where("ret is not null")
+    w = Window.partitionBy("variant").orderBy("exec_date")
+    sets = sched.select("variant", F.col("exec_date").alias("date"), F.lead("exec_date").over(w).alias("_next"))
     whole = per_leg.where("leg = 'period'").select("variant", F.col("day").alias("date"), "ret")
-    expected = legs.where("leg = 'period'").select("variant", F.col("day").alias("date"))
-    period = expected.join(whole, ["variant", "date"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    period = sets.where("_next is not null").join(whole, ["variant", "date"], "left").select(
+        "variant", "date", F.coalesce("ret", F.lit(0.0)).alias("ret")
+    )
     return period, daily
 
 

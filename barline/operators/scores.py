@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -209,7 +210,8 @@ def fit_ranker(
     from barline.operators.evaluate import select_metric
 
     rows = assemble_features(rank_target(panel.where(F.col("label").isNotNull())).withColumn("is_val", val), cols)
-    train = rows.select("date", "symbol", "label", "target", "is_val", "features")
+    # trees read the rows many times; what does not fit in memory goes to local disk, what is lost is recomputed
+    train = rows.select("date", "symbol", "label", "target", "is_val", "features").persist(StorageLevel.MEMORY_AND_DISK)
     gbt = GBTRegressor(
         featuresCol="features",
         labelCol="target",
@@ -229,6 +231,7 @@ def fit_ranker(
     summary["n_trees"] = model.getNumTrees
     for metric in ("rank_ic", "top_k_excess", "ndcg"):
         summary[metric] = select_metric(scored, metric, k).first()["value"]
+    train.unpersist()
     return model, summary
 
 

@@ -14,24 +14,32 @@ KEY = ["symbol", "date"]
 
 
 def _within(df: DataFrame, start, end) -> DataFrame:
-    if start is not None:
-        df = df.where(F.col("date") >= F.lit(start).cast("date"))
-    if end is not None:
-        df = df.where(F.col("date") <= F.lit(end).cast("date"))
+    """Inclusive bounds; on a panel stored by year they also prune its directories."""
+    for bound, op in ((start, "__ge__"), (end, "__le__")):
+        if bound is not None:
+            limit = F.lit(bound).cast("date")
+            df = df.where(getattr(F.col("date"), op)(limit))
+            if "year" in df.columns:
+                df = df.where(getattr(F.col("year"), op)(F.year(limit)))
     return df
 
 
+def open_panel(spark: SparkSession, path: str) -> DataFrame:
+    """A bar table written by ``write_panel``, with its ``year`` directories."""
+    return spark.read.schema(f"{BAR_SCHEMA}, year int").parquet(path)
+
+
 def read_bars(spark: SparkSession, source: DataFrame | str, symbol: str, start=None, end=None) -> DataFrame:
-    """One symbol's bars by date, bounds inclusive. ``source`` is a parquet path or a bar table."""
-    bars = source if isinstance(source, DataFrame) else spark.read.schema(BAR_SCHEMA).parquet(source)
-    return _within(bars.where(F.col("symbol") == symbol), start, end).orderBy("date")
+    """One symbol's bars by date, bounds inclusive. ``source`` is a bar table or the path of a stored panel."""
+    bars = source if isinstance(source, DataFrame) else open_panel(spark, source)
+    return _within(bars.where(F.col("symbol") == symbol), start, end).drop("year").orderBy("date")
 
 
 def read_window(bars: DataFrame, symbols: DataFrame | list[str], start=None, end=None) -> DataFrame:
     """Bars of many symbols; an empty list gives an empty table."""
     if not isinstance(symbols, DataFrame):
         symbols = bars.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
-    return _within(bars, start, end).join(symbols.select("symbol"), "symbol", "left_semi")
+    return _within(bars, start, end).drop("year").join(symbols.select("symbol"), "symbol", "left_semi")
 
 
 def symbol_stats(bars: DataFrame) -> DataFrame:

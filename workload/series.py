@@ -305,7 +305,14 @@ def _(spark, sf):
     return rounded(feat.without_bar(_keys(spark, sf), bars(spark, sf)))
 
 
-@query("feature_columns")
+@query(
+    "feature_columns",
+    sql(
+        f"SELECT symbol, date, {r6(*FEATURE_SQL)}, "
+        + ", ".join(f"round({rank_sql(c)}, 6) AS {c}_cs_rank" for c in ("feat_vol_10", "feat_ma5_dist"))
+        + " FROM features"
+    ),
+)
 def _(spark, sf):
     panel = feat.cs_rank(feat.technical_features(bars(spark, sf)), ["feat_vol_10", "feat_ma5_dist"])
     return rounded(panel.select("symbol", "date", *feat.feature_columns(panel.columns, "raw")))
