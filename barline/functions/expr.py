@@ -29,6 +29,11 @@ def nan_to_null(x: Column | str) -> Column:
     return F.when(~F.isnan(as_col(x)), as_col(x))
 
 
+def is_finite(x: Column | str) -> Column:
+    """False for NULL, NaN (which sorts above everything) and infinities, once used as a filter."""
+    return F.abs(as_col(x)) < F.lit(float("inf"))
+
+
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 

@@ -157,7 +157,7 @@ def best_k(df: DataFrame, by: list[str], score: str, k: int, key: str = "symbol"
     to k = 1000; above that, salted parts of each group are cut to k first.
     """
     order = [F.col(score).desc(), F.col(key)]
-    rows = df.where(F.col(score).isNotNull())
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(score))
     if k > GROUP_LIMIT_MAX_K:
         part = Window.partitionBy(*by, "_salt").orderBy(*order)
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(CUTS)))

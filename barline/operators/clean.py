@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.expr import BAR_FIELDS, change, count_if, ratio
+from barline.functions.expr import BAR_FIELDS, change, count_if, nan_to_null, ratio
 from barline.functions.timeline import along, carry
 
 
@@ -43,7 +43,8 @@ def repair_amount(bars: DataFrame) -> DataFrame:
 
 def clean_numeric_text(df: DataFrame, cols: list[str]) -> DataFrame:
     """Numbers written with thousands separators; ``--``, blanks and other text give NULL."""
-    return df.withColumns({c: F.regexp_replace(F.trim(F.col(c).cast("string")), ",", "").try_cast("double") for c in cols})
+    number = lambda c: F.regexp_replace(F.trim(F.col(c).cast("string")), ",", "").try_cast("double")
+    return df.withColumns({c: nan_to_null(number(c)) for c in cols})
 
 
 def forward_fill(bars: DataFrame, cols: list[str]) -> DataFrame:

@@ -7,15 +7,15 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.expr import PRICE_FIELDS, change, count_if, pearson, ratio
+from barline.functions.expr import PRICE_FIELDS, change, count_if, is_finite, pearson, ratio
 from barline.functions.groups import GROUP_LIMIT, average_rank, best_k, place_down, with_ranks
 
 
 def rank_ic(
     df: DataFrame, pred: str, actual: str, by: list[str], min_n: int = 3, key: str = "symbol", limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
-    """Spearman correlation per group over complete pairs, average ties; NULL below ``min_n`` or without variance."""
-    pairs = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(*by, key, pred, actual)
+    """Spearman correlation per group over finite pairs, average ties; NULL below ``min_n`` or without variance."""
+    pairs = df.where(is_finite(pred) & is_finite(actual)).select(*by, key, pred, actual)
     ranked = with_ranks(pairs, by, [pred, actual], key=key, limit=limit)
     return ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), pearson(average_rank(pred), average_rank(actual), min_n).alias("rank_ic")
@@ -81,7 +81,7 @@ def top_k_excess(scored: DataFrame, k: int = 10) -> DataFrame:
 
 def ndcg_at_k(scored: DataFrame, k: int = 10, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Gain n..1 by label order, discount 1 / log2(place + 1), for dates with at least k rows."""
-    pairs = scored.where(F.col("score").isNotNull() & F.col("label").isNotNull()).select("date", "symbol", "score", "label")
+    pairs = scored.where(is_finite("score") & is_finite("label")).select("date", "symbol", "score", "label")
     ranked = with_ranks(pairs, ["date"], ["score", "label"], limit=limit, turns=True).select(
         "date", F.col("label_rk")["n"].alias("n"), place_down("score").alias("place"), place_down("label").alias("ideal")
     )
@@ -109,7 +109,7 @@ def per_day_metrics(
     Score and label are ranked once; everything else is one aggregate over those ranks.
     """
     by = by or ["date"]
-    pairs = scored.where(F.col(score).isNotNull() & F.col("label").isNotNull()).select(*by, "symbol", score, "label")
+    pairs = scored.where(is_finite(score) & is_finite("label")).select(*by, "symbol", score, "label")
     ranked = with_ranks(pairs, by, [score, "label"], limit=limit, turns=True).select(
         *by,
         "label",
@@ -260,7 +260,7 @@ def reconstruction_mse(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def group_pearson_ic(df: DataFrame, by: list[str], pred: str = "score", actual: str = "label") -> DataFrame:
     """Mean product of population z-scores (eps 1e-8 in the denominators); 0 for fewer than two rows."""
-    pairs = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull())
+    pairs = df.where(is_finite(pred) & is_finite(actual))
     eps = F.lit(1e-8)
     ic = F.covar_pop(pred, actual) / ((F.stddev_pop(pred) + eps) * (F.stddev_pop(actual) + eps))
     n = F.count(F.lit(1))

@@ -21,7 +21,7 @@ def holdings(paths: DataFrame, sched: DataFrame, k: int, threshold: float = 0.0,
     """
     h = F.col("variant") if rank_h is None else F.lit(rank_h)
     wanted = sched.select("variant", "exec_date", F.col("signal_date").alias("date"), h.cast("int").alias("h"))
-    signals = paths.where(F.col("value") >= threshold).join(F.broadcast(wanted), ["date", "h"])
+    signals = paths.where((F.col("value") >= threshold) & ~F.isnan("value")).join(F.broadcast(wanted), ["date", "h"])
     return best_k(signals, ["variant", "exec_date"], "value", k).select("variant", "exec_date", "symbol")
 
 

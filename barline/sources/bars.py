@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.functions.expr import BAR_FIELDS, PRICE_FIELDS
+from barline.functions.expr import BAR_FIELDS, PRICE_FIELDS, nan_to_null
 
 BAR_SCHEMA = "symbol string, date date, " + ", ".join(f"{c} double" for c in BAR_FIELDS)
 KEY = ["symbol", "date"]
@@ -25,8 +25,9 @@ def _within(df: DataFrame, start, end) -> DataFrame:
 
 
 def open_panel(spark: SparkSession, path: str) -> DataFrame:
-    """A bar table written by ``write_panel``, with its ``year`` directories."""
-    return spark.read.schema(f"{BAR_SCHEMA}, year int").parquet(path)
+    """A bar table written by ``write_panel``, with its ``year`` directories; NaN becomes NULL."""
+    rows = spark.read.schema(f"{BAR_SCHEMA}, year int").parquet(path)
+    return rows.withColumns({c: nan_to_null(c) for c in BAR_FIELDS})
 
 
 def read_bars(spark: SparkSession, source: DataFrame | str, symbol: str, start=None, end=None) -> DataFrame:

@@ -392,3 +392,12 @@ def test_sources_do_not_depend_on_partitioning(bars_of):
     a = features.cs_rank(features.technical_features(b.repartition(1)), ["feat_ma5_dist"])
     z = features.cs_rank(features.technical_features(b.orderBy(F.rand(1)).repartition(7)), ["feat_ma5_dist"])
     assert a.exceptAll(z).isEmpty()
+
+
+def test_nan_is_never_picked_nor_ranked(spark):
+    (d,) = days(1)
+    nan, inf = float("nan"), float("inf")
+    data = [(d, "A", nan, 1.0), (d, "B", 0.1, 2.0), (d, "C", 0.2, 3.0), (d, "D", 0.3, 4.0), (d, "E", 0.4, inf)]
+    df = spark.createDataFrame(data, "date date, symbol string, score double, label double")
+    assert rows(select.top_k(df, 2), "symbol") == [("D",), ("E",)]
+    assert rows(evaluate.rank_ic(df, "score", "label", ["date"]), "n", "rank_ic") == [(3, pytest.approx(1.0))]
