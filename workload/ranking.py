@@ -294,21 +294,17 @@ def _(spark, sf):
     return rounded(sc.batch_forecast(contexts(spark, sf), horizon=5))
 
 
-def drift(windows: list[np.ndarray], horizon: int) -> list[np.ndarray]:
-    """A caller's own forecaster: the line through first and last close."""
-    out = []
-    for w in windows:
-        close = w[:, 3]
-        out.append(close[-1] + np.arange(1, horizon + 1) * (close[-1] - close[0]) / (len(close) - 1))
-    return out
-
-
 @query(
     "batch_forecast_fn",
     sql("SELECT date, symbol, h, round(last + h * (last - first) / 11, 6) AS value FROM ctx_ends, (SELECT unnest(range(1, 6)) AS h)"),
 )
 def _(spark, sf):
-    return rounded(sc.batch_forecast(contexts(spark, sf), lambda w, h: drift(w, h), horizon=5))
+    def drift(windows: list[np.ndarray], horizon: int) -> list[np.ndarray]:
+        """A caller's own forecaster: the line through first and last close."""
+        closes = [w[:, 3] for w in windows]
+        return [c[-1] + np.arange(1, horizon + 1) * (c[-1] - c[0]) / (len(c) - 1) for c in closes]
+
+    return rounded(sc.batch_forecast(contexts(spark, sf), drift, horizon=5))
 
 
 # ---- selection ------------------------------------------------------------------------------
