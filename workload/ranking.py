@@ -14,10 +14,9 @@ from barline.operators import scores as sc
 from barline.operators import select as sel
 from barline.operators import windows as win
 from barline.operators.calendar import schedule
-from barline.plans.signals import blended_picks, feature_panel
+from barline.plans.signals import blended_picks
 from workload.base import (
     BENCHMARK,
-    FEATURE_SQL,
     W,
     all_bars,
     bars,

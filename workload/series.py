@@ -12,7 +12,6 @@ from barline.operators.calendar import schedule
 from barline.sources.bars import symbol_stats
 from workload.base import (
     FEATURE_SQL,
-    FIELDS,
     W,
     bars,
     calendar,
