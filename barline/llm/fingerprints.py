@@ -3,8 +3,9 @@
 Method: the 64-bit hash of every shingle names a bin (its top bits) and a value. A bin keeps its smallest value, so
 each shingle is hashed once for all bins. Empty bins borrow from a full one by optimal densification: every bin has its
 own fixed pseudo-random order of the other bins and takes the first full one, independently of all other bins. A
-fingerprint stores the four low bits of a mix of value and bin, packed into longs. Two unrelated bins agree in one case
-of 16; the likeness of two fingerprints takes this out: (share of equal bins - 1/16) / (1 - 1/16).
+fingerprint stores the eight low bits of each value (of a mix of value and bin, where it is borrowed), packed into
+longs. Two unrelated bins agree in one case of 256; the likeness of two fingerprints takes this out:
+(share of equal bins - 1/256) / (1 - 1/256).
 """
 
 from __future__ import annotations
@@ -14,17 +15,17 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import SPACE
 
-BIN_BITS = 8
+BIN_BITS = 7
 BINS = 1 << BIN_BITS
-LOW_BITS = 4
+LOW_BITS = 8
 WORDS = 5
 #: First attempts of a densification order are read straight from the bin list; the rest is decided over all full bins.
-PROBES = 6
+PROBES = 4
 
 _PER_LONG = 64 // LOW_BITS
 _LONGS = BINS // _PER_LONG
 _SHIFT = 64 - BIN_BITS
-_ONES = 0x1111111111111111
+_ONES = 0x0101010101010101
 
 
 def _signed(x: int) -> int:
@@ -56,27 +57,26 @@ def add_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     columns of their own, so that none is evaluated again inside a lambda.
     """
     w, h, s, m, d = (f"_{name}_{x}" for x in "whsmd")
-    out = df.withColumn(w, F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), ""), lambda x: F.xxhash64(x)))
+    out = df.withColumn(w, F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), SPACE))
     out = out.withColumn(
         h,
         F.expr(
-            f"CASE WHEN size({w}) = 0 THEN cast(array() AS array<bigint>) WHEN size({w}) < {WORDS} THEN array(xxhash64({w})) "
+            f"CASE WHEN {w}[0] = '' THEN cast(array() AS array<bigint>) WHEN size({w}) < {WORDS} THEN array(xxhash64({w})) "
             f"ELSE transform(sequence(0, size({w}) - {WORDS}), i -> xxhash64({', '.join(f'{w}[i + {j}]' if j else f'{w}[i]' for j in range(WORDS))})) END"
         ),
     )
     # with one ceiling a bin the sorted list has every bin, and its first entry of a bin is the bin's smallest value
     out = out.withColumn(s, F.expr(f"sort_array(concat({h}, {_longs(_CEILINGS)}))"))
     out = out.withColumn(m, F.expr(f"filter({s}, (x, i) -> i = 0 OR shiftright(x, {_SHIFT}) <> shiftright({s}[i - 1], {_SHIFT}))"))
-    empty = f"(x & {(1 << _SHIFT) - 1}L) = {(1 << _SHIFT) - 1}L"
-    full = f"filter({m}, x -> NOT ({empty}))"
-    out = out.withColumn(d, F.expr(full))
+    mask, low = f"{(1 << _SHIFT) - 1}L", f"{(1 << LOW_BITS) - 1}L"
+    out = out.withColumn(d, F.expr(f"filter({m}, x -> (x & {mask}) <> {mask})"))
     tries = []
     for attempt in range(PROBES):
         at = f"{m}[array({','.join(map(str, _probe(attempt)))})[i]]"
-        tries.append(f"CASE WHEN ({at} & {(1 << _SHIFT) - 1}L) <> {(1 << _SHIFT) - 1}L THEN {at} END")
+        tries.append(f"CASE WHEN ({at} & {mask}) <> {mask} THEN {at} END")
     # the full bin that comes first in bin i's order: the smallest hash of (i, full bin)
     rest = f"array_min(transform({d}, y -> struct(xxhash64(i, shiftright(y, {_SHIFT})) AS o, y AS y))).y"
-    dense = f"transform({m}, (x, i) -> xxhash64(CASE WHEN {empty} THEN coalesce({', '.join(tries)}, {rest}) ELSE x END, i) & {(1 << LOW_BITS) - 1}L)"
+    dense = f"transform({m}, (x, i) -> CASE WHEN (x & {mask}) <> {mask} THEN x & {low} ELSE xxhash64(coalesce({', '.join(tries)}, {rest}), i) & {low} END)"
     f = f"_{name}_f"
     out = out.withColumn(f, F.expr(f"CASE WHEN size({d}) > 0 THEN {dense} END"))
     pack = f"transform(sequence(0, {_LONGS - 1}), j -> aggregate(slice({f}, j * {_PER_LONG} + 1, {_PER_LONG}), 0L, (a, x) -> shiftleft(a, {LOW_BITS}) | x))"
@@ -85,8 +85,10 @@ def add_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1 of two packed columns: bias-corrected share of equal bins; 1 if both are empty, 0 if one is."""
-    x = "(p ^ q)"
-    folded = f"(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {_ONES}L)"
+    folded, step = "(p ^ q)", LOW_BITS // 2
+    while step:  # the lowest bit of each bin's field: any bit of it differs
+        folded, step = f"({folded} | shiftrightunsigned({folded}, {step}))", step // 2
+    folded = f"({folded} & {_ONES}L)"
     unequal = f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count({folded})), 0, (s, n) -> s + n)"
     chance = 2.0**-LOW_BITS
     share = f"greatest(0.0D, (1.0D - {unequal} / {float(BINS)}D - {chance}D) / {1 - chance}D)"
