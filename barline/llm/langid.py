@@ -73,8 +73,8 @@ class Model:
     trust: np.ndarray
 
     def losses(self, counts_sum: np.ndarray, n: int) -> np.ndarray:
-        """Weighted logistic loss of each language from the summed bit evidence of n n-grams."""
-        evidence = counts_sum / max(n, 1) * min(n, 200) / 4
+        """Weighted logistic loss of each language: mean evidence of the n-grams, weaker for fewer than 24 of them."""
+        evidence = counts_sum / max(n, 1) * min(n, 24) / 4
         return (np.logaddexp(0, -self.code * evidence) * self.trust).sum(axis=1) / self.trust.sum()
 
 
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least_margin: float = 0.05, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, second, margin, ambiguous) of every row of docs, from its whole text alone.
 
-    keep: further columns of docs to carry along. score: the share of the chosen language in exp(-16 loss), 0 to 1.
+    keep: further columns of docs to carry along. score: the share of the chosen language in exp(-2 loss), 0 to 1.
     margin: the loss of the second language less that of the first; ambiguous below least_margin. A text that is null
     or has no letter is `und` with score 0, and so is every text if the model knows no language. Null ids and repeated
     rows stay; an empty table gives no rows. The model (65,536 n-grams by bits) goes along with the tasks.
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     n += len(grams)
                 losses = model.losses(total, n)
                 order = np.argsort(losses, kind="stable")
-                share = np.exp(-16 * (losses - losses[order[0]]))
+                share = np.exp(-2 * (losses - losses[order[0]]))
                 pred.append(langs[order[0]])
                 score.append(float(1 / share.sum()))
                 second.append(langs[order[1]] if len(order) > 1 else None)

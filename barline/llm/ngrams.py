@@ -31,7 +31,7 @@ BLOCK_TOKENS = 1_000_000
 #: Distinct questions, over all blocks, that a shard answers.
 SHARD_KEYS = 400_000
 #: Strength of the unigram distribution in a state.
-STRENGTH = 300.0
+STRENGTH = 100.0
 STOP = np.uint64(0x2545F4914F6CDD1D)
 BLOCKS = "block long, n_docs int, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary, n_keys long"
 ASKED = "shard int, block long, kind int, keys binary, counts binary"
