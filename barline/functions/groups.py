@@ -1,10 +1,10 @@
 """Ranks inside groups that may be far larger than one task can sort.
 
 A cross-section (all rows of one date) has no natural upper size. Groups up to ``limit``
-rows are ranked with ordinary windows. Larger groups are cut into value ranges first: the
-cut points are approximate quantiles, the counts per range are exact, so the ranks are exact
-too. A value that fills a whole range by itself (a massive tie) needs no sort at all; its
-rank follows from the counts.
+rows are ranked with ordinary windows. Larger groups are cut into value ranges first, more of them the larger the
+group: the cut points are approximate quantiles, the counts per range are exact, so the ranks are exact
+too. A value that more than ``limit`` rows share needs no sort at all: its rank follows from the counts, and the turns
+inside it from ranges of the key.
 """
 
 from __future__ import annotations
@@ -15,28 +15,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 5_000_000
-CUTS = 64
+#: Value ranges for each ``limit`` rows of a large group, and sampled cut points of the key.
+CUTS = 4
+SALTS = 64
 GROUP_LIMIT_MAX_K = 1000
 
 
-def hot_groups(df: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """Keys holding more than ``limit`` rows: at most rows / limit keys, hence safe to broadcast."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).select(*by)
+def hot_groups(df: DataFrame, by: list[str], limit: int | None = GROUP_LIMIT) -> DataFrame | None:
+    """A local table (by.., ``_rows``) of the groups above ``limit`` rows, or None if there are none.
 
+    One aggregate that reads the keys only; at most rows / limit keys come out, hence it is safe to collect and to
+    broadcast. Callers that rank one panel several times look once and hand the result on.
+    """
+    if limit is None:
+        return None
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    found = sizes.collect()
+    return df.sparkSession.createDataFrame(found, sizes.schema) if found else None
+
+
+#: Stands for "not looked yet" where None says that no group is large.
+UNSEEN = object()
 
-def split_hot(df: DataFrame, by: list[str], limit: int | None) -> tuple[DataFrame, DataFrame | None]:
+
+def split_hot(df: DataFrame, by: list[str], limit: int | None, hot=UNSEEN) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary groups, and rows of groups above ``limit`` or None if there are no such groups.
 
-    The sizes are looked at here, by one aggregate that reads the keys only. Without the answer every plan would
-    have to carry both ways. ``limit`` None skips the look, for callers who know their groups.
+    The sizes are looked at here unless the caller brings them. Without the answer every plan would have to carry both
+    ways. ``limit`` None skips the look, for callers who know their groups.
     """
-    if limit is None:
+    hot = hot_groups(df, by, limit) if hot is UNSEEN else hot
+    if hot is None:
         return df, None
-    hot = hot_groups(df, by, limit)
-    if hot.isEmpty():
-        return df, None
-    hot = F.broadcast(hot)
-    return df.join(hot, by, "left_anti"), df.join(hot, by, "left_semi")
+    keys = F.broadcast(hot.select(*by))
+    return df.join(keys, by, "left_anti"), df.join(keys, by, "left_semi")
 
 
 def with_ranks(
@@ -46,16 +58,21 @@ def with_ranks(
     key: str = "symbol",
     limit: int | None = GROUP_LIMIT,
     turns: bool = False,
+    hot=UNSEEN,
 ) -> DataFrame:
     """Add a struct ``<col>_rk`` per column: n (values present), below, equal and, if asked for, turn.
 
     ``below`` counts smaller values, ``equal`` counts rows with the same value and ``turn`` is
     the position among those by ``key`` (a string), for which each column is sorted once more.
-    NULLs take no part and get NULL. (by, key) is unique.
+    NULLs take no part and get NULL. (by, key) is unique. ``hot``: what ``hot_groups`` said about df's groups.
     """
-    cold, hot = split_hot(df, by, limit)
+    hot = hot_groups(df, by, limit) if hot is UNSEEN else hot
+    cold, large = split_hot(df, by, limit, hot)
     ranked = _ranks_by_window(cold, by, cols, key, turns)
-    return ranked if hot is None else ranked.unionByName(_ranks_by_range(hot, by, cols, key, turns))
+    if large is None:
+        return ranked
+    most = hot.agg(F.max("_rows")).first()[0]
+    return ranked.unionByName(_ranks_by_range(large, by, cols, key, turns, max(1, limit), most))
 
 
 def average_rank(col: str) -> Column:
@@ -95,59 +112,62 @@ def _ranks_by_window(df: DataFrame, by: list[str], cols: list[str], key: str, tu
     return df.select("*", *[x.alias(n) for n, x in parts.items()])
 
 
-def _ranks_by_range(df: DataFrame, by: list[str], cols: list[str], key: str, turns: bool) -> DataFrame:
+def _ranks_by_range(df: DataFrame, by: list[str], cols: list[str], key: str, turns: bool, limit: int, most: int) -> DataFrame:
     item = [*by, "_col"]
-    long = df.select(
-        *by,
-        F.col(key).alias("_key"),
-        F.expr(f"stack({len(cols)}, " + ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols) + ") as (_col, _v)"),
-    ).where("_v is not null")
-    # a number that sorts like the first bytes of the key, used only to cut massive ties
-    prefix = F.substring(F.rpad(F.hex(F.col("_key")), 14, "0"), 1, 14)
-    long = long.withColumn("_knum", F.conv(prefix, 16, 10).cast("double"))
-    probs = [i / CUTS for i in range(1, CUTS)]
-    cuts = long.groupBy(*item).agg(
-        F.percentile_approx("_v", probs, 1000).alias("_vcut"),
-        F.percentile_approx("_knum", probs, 1000).alias("_kcut"),
-    )
-    tied = F.size(F.filter("_vcut", lambda x: x == F.col("_v"))) >= 2
-    placed = (
-        long.join(cuts, item)
-        .withColumn("_tied", tied)
-        .withColumn("_range", F.size(F.filter("_vcut", lambda x: x < F.col("_v"))) * 2 + F.when(tied, 1).otherwise(0))
-        .withColumn("_part", F.when(F.col("_tied"), F.size(F.filter("_kcut", lambda x: x < F.col("_knum")))).otherwise(0))
-        .drop("_vcut", "_kcut")
-    )
-    # with c cuts below: other values up to the next cut form range 2c, a massive tie on that cut range 2c + 1
+    kinds: dict[str, list[str]] = {}
+    for c, kind in df.select(*cols).dtypes:
+        kinds.setdefault(kind, []).append(c)
+    ranked = []
+    for same in kinds.values():  # values keep their type: one table for each
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).alias("_v")) for c in same]))
+        long = df.select(*by, F.col(key).alias("_key"), pairs.alias("_p")).select(*by, "_key", "_p._col", "_p._v").where("_v is not null")
+        ranked.append(_rank_long(long, item, turns, limit, most))
+    wide = union_all(ranked).groupBy(*by, F.col("_key").alias(key)).agg(*[F.max(F.when(F.col("_col") == c, F.col("_rk"))).alias(f"{c}_rk") for c in cols])
+    return df.join(wide, [*by, key], "left")
+
+
+def _rank_long(long: DataFrame, item: list[str], turns: bool, limit: int, most: int) -> DataFrame:
+    """(item.., _key, _rk) of (item.., _key, _v). Every table that is broadcast has a few times rows / limit rows."""
+    heavy = long.groupBy(*item, "_v").agg(F.count(F.lit(1)).alias("_ties")).where(F.col("_ties") > limit)
+    steps = max(2, CUTS * -(-most // limit))
+    quantiles = long.groupBy(*item).agg(F.percentile_approx("_v", [i / steps for i in range(1, steps)], 10 * steps).alias("_q"))
+    tops = heavy.groupBy(*item).agg(F.collect_list("_v").alias("_h"))
+    cuts = quantiles.join(tops, item, "left").select(*item, F.array_sort(F.array_distinct(F.concat("_q", F.coalesce("_h", F.slice("_q", 1, 0))))).alias("_cut"))
+    marked = long.join(F.broadcast(cuts), item).join(F.broadcast(heavy), [*item, "_v"], "left")
+    # with c cuts below: a heavy value on the next cut is range 2c + 1, other values up to that cut are range 2c
+    at = F.size(F.filter("_cut", lambda x: x < F.col("_v"))) * 2 + F.when(F.col("_ties").isNotNull(), 1).otherwise(0)
+    placed = marked.withColumn("_range", at).drop("_cut")
+    if turns:
+        # key cut points inside heavy values: a hash takes about CUTS * ties / limit of the whole keys
+        sample = placed.where(F.col("_ties").isNotNull() & (F.pmod(F.xxhash64("_key"), F.lit(max(1, limit // CUTS))) == 0))
+        keys = sample.groupBy(*item, "_v").agg(F.array_sort(F.collect_list("_key")).alias("_kcut"))
+        placed = placed.join(F.broadcast(keys), [*item, "_v"], "left")
+        part = F.when(F.col("_kcut").isNotNull(), F.size(F.filter("_kcut", lambda x: x < F.col("_key")))).otherwise(0)
+        placed = placed.withColumn("_part", part).drop("_kcut")
+    else:
+        placed = placed.withColumn("_part", F.lit(0))
     cell = [*item, "_range", "_part"]
     sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_size"))
-    ranges = Window.partitionBy(*item)
-    in_order = ranges.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*item)
+    in_order = whole.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *cell,
         F.coalesce(F.sum("_size").over(in_order), F.lit(0)).alias("_before"),
-        F.sum("_size").over(ranges).alias("_n"),
-        F.sum("_size").over(Window.partitionBy(*item, "_range")).alias("_range_size"),
+        F.sum("_size").over(whole).alias("_n"),
     ).withColumn("_range_before", F.min("_before").over(Window.partitionBy(*item, "_range")))
+    placed = placed.join(F.broadcast(offsets), cell)
+    own, tied = placed.where("_ties is null"), placed.where("_ties is not null")
     w = Window.partitionBy(*cell)
     by_value = w.orderBy("_v")
     below_here = F.rank().over(by_value).cast("long") - 1
     upto_here = F.count(F.lit(1)).over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    tie = F.col("_tied")
-    fields = [
-        F.col("_n").alias("n"),
-        F.when(tie, F.col("_range_before")).otherwise(F.col("_before") + below_here).alias("below"),
-        F.when(tie, F.col("_range_size")).otherwise(upto_here - below_here).alias("equal"),
-    ]
+    own_fields = [F.col("_n").alias("n"), (F.col("_before") + below_here).alias("below"), (upto_here - below_here).alias("equal")]
+    tied_fields = [F.col("_n").alias("n"), F.col("_range_before").alias("below"), F.col("_ties").alias("equal")]
     if turns:
-        place_here = F.row_number().over(w.orderBy("_v", "_key")).cast("long")
-        in_tie = F.col("_before") - F.col("_range_before") + place_here
-        fields.append(F.when(tie, in_tie).otherwise(place_here - below_here).alias("turn"))
-    ranked = placed.join(offsets, cell).select(*item, "_key", F.struct(*fields).alias("_rk"))
-    wide = ranked.groupBy(*by, F.col("_key").alias(key)).agg(
-        *[F.max(F.when(F.col("_col") == c, F.col("_rk"))).alias(f"{c}_rk") for c in cols]
-    )
-    return df.join(wide, [*by, key], "left")
+        own_fields.append((F.row_number().over(w.orderBy("_v", "_key")).cast("long") - below_here).alias("turn"))
+        turn = F.col("_before") - F.col("_range_before") + F.row_number().over(w.orderBy("_key")).cast("long")
+        tied_fields.append(turn.alias("turn"))
+    return own.select(*item, "_key", F.struct(*own_fields).alias("_rk")).unionByName(tied.select(*item, "_key", F.struct(*tied_fields).alias("_rk")))
 
 
 def best_k(df: DataFrame, by: list[str], score: str, k: int, key: str = "symbol") -> DataFrame:
@@ -160,7 +180,7 @@ def best_k(df: DataFrame, by: list[str], score: str, k: int, key: str = "symbol"
     rows = df.where(F.col(score).isNotNull() & ~F.isnan(score))
     if k > GROUP_LIMIT_MAX_K:
         part = Window.partitionBy(*by, "_salt").orderBy(*order)
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(CUTS)))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
         rows = salted.withColumn("_p", F.row_number().over(part)).where(F.col("_p") <= k).drop("_salt", "_p")
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

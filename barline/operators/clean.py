@@ -10,9 +10,9 @@ from barline.functions.timeline import along, carry
 
 
 def fill_amount(bars: DataFrame) -> DataFrame:
-    """Missing amount = volume x mean of the four prices; without volume both are 0."""
+    """Missing amount = volume x mean of the four prices, or 0 without volume; known amounts stay. Missing volume = 0."""
     mean = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / F.lit(4.0)
-    amount = F.when(F.col("volume").isNull(), F.lit(0.0)).otherwise(F.coalesce("amount", F.col("volume") * mean))
+    amount = F.coalesce("amount", F.col("volume") * mean, F.lit(0.0))
     return bars.withColumns({"amount": amount, "volume": F.coalesce("volume", F.lit(0.0))})
 
 
@@ -82,9 +82,23 @@ def classify_exchange(df: DataFrame, rules=EXCHANGE_RULES, default: str = "1") -
     return df.withColumn("exchange", out)
 
 
-def normalise_date(df: DataFrame, col: str = "date") -> DataFrame:
-    """Timestamp, zoned text or ISO text to a DATE, keeping the written local day."""
-    return df.withColumn(col, F.substring(F.col(col).cast("string"), 1, 10).try_cast("date"))
+#: Written days that are understood, with - / . or nothing between year, month and day; a time may follow.
+DAY_TEXT = r"^\s*(\d{4})(?:-(\d{1,2})-|/(\d{1,2})/|\.(\d{1,2})\.|(\d{2}))(\d{1,2})(?:[T\s].*)?$"
+
+
+def normalise_date(df: DataFrame, col: str = "date", strict: bool = False) -> DataFrame:
+    """Timestamp, zoned text or written day to a DATE, keeping the written local day.
+
+    Text that is no day gives NULL; with ``strict`` the first such text fails the job that reads it.
+    """
+    text = F.col(col).cast("string")
+    part = lambda i: F.regexp_extract(text, DAY_TEXT, i)
+    month = F.concat(part(2), part(3), part(4), part(5))
+    day = F.when(text.rlike(DAY_TEXT), F.concat_ws("-", part(1), F.lpad(month, 2, "0"), F.lpad(part(6), 2, "0")).try_cast("date"))
+    if strict:
+        bad = F.raise_error(F.concat(F.lit(f"no day in {col}: "), text)).cast("date")
+        day = F.when(text.isNull(), None).otherwise(F.coalesce(day, bad))
+    return df.withColumn(col, day)
 
 
 def validate_fields(df: DataFrame, fields: list[str]) -> None:

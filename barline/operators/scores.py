@@ -308,27 +308,23 @@ Forecaster = Callable[[list[np.ndarray], int], list[np.ndarray]]
 
 
 def batch_forecast(contexts: DataFrame, fn: Forecaster | None = None, horizon: int = 10, batch: int = 64, field: str = "close") -> DataFrame:
-    """Paths (date, symbol, h, value) from lookback contexts.
+    """Paths (date, symbol, h, value) from ``context_windows`` (rebal_date, symbol, win). No shuffle.
 
     Without ``fn`` the last value is carried on. ``fn`` gets up to ``batch`` windows of shape
-    (lookback, 6) and returns one array of ``horizon`` values per window.
+    (lookback, 6) and returns one array of ``horizon`` values per window. Windows are equally long.
     """
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon)))
     if fn is None:
-        last = contexts.groupBy("rebal_date", "symbol").agg(F.max_by(field, "pos").alias("value"))
-        return last.select(F.col("rebal_date").alias("date"), "symbol", steps.alias("h"), "value")
-    bar = F.struct("pos", *BAR_FIELDS)
-    packed = contexts.groupBy("rebal_date", "symbol").agg(F.array_sort(F.collect_list(bar)).alias("win"))
-    column = lambda f: F.col("win")[f].alias(f)
-    flat = packed.select(F.col("rebal_date").alias("date"), "symbol", *[column(f) for f in BAR_FIELDS])
+        return contexts.select(F.col("rebal_date").alias("date"), "symbol", steps.alias("h"), F.element_at("win", -1)[field].alias("value"))
+    flat = contexts.select(F.col("rebal_date").alias("date"), "symbol", *[F.col("win")[f].alias(f) for f in BAR_FIELDS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
-                windows = [np.column_stack([row[f] for f in BAR_FIELDS]) for _, row in part.iterrows()]
-                values = [list(map(float, v)) for v in fn(windows, horizon)]
-                yield pd.DataFrame({"date": part["date"].to_numpy(), "symbol": part["symbol"].to_numpy(), "_p": values})
+            if not len(pdf):
+                continue
+            windows = np.stack([np.stack(pdf[f].to_numpy()) for f in BAR_FIELDS], axis=2)
+            values = [np.asarray(v, dtype=float) for i in range(0, len(pdf), batch) for v in fn(list(windows[i : i + batch]), horizon)]
+            yield pd.DataFrame({"date": pdf["date"], "symbol": pdf["symbol"], "_p": values})
 
     out = flat.mapInPandas(run, "date date, symbol string, _p array<double>")
     return out.select("date", "symbol", F.posexplode("_p").alias("h", "value")).withColumn("h", F.col("h") + 1)

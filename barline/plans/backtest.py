@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions.groups import best_k
@@ -34,7 +34,7 @@ def run_backtest(
     """Daily returns, period returns and metrics per hold, from predicted return curves (date, symbol, h, value).
 
     With ``benchmark`` its own returns join the daily table as variant 'benchmark'. A hold without any daily
-    return has no metrics: see ``missing_variants``.
+    return fails the job that reads its metrics; ``missing_variants`` looks at once.
     """
     sched = schedule(cal, holds)
     if mode == "close":
@@ -47,33 +47,44 @@ def run_backtest(
     daily = daily.withColumn("variant", F.col("variant").cast("string"))
     if benchmark is not None:
         daily = daily.unionByName(benchmark_returns(bars, benchmark, cal))
-    return {"daily": daily, "period": period, "metrics": performance(daily)}
+    names = [str(h) for h in holds] + (["benchmark"] if benchmark is not None else [])
+    return {"daily": daily, "period": period, "metrics": _all_present(performance(daily), names)}
 
 
-def missing_variants(metrics: DataFrame, holds: list[int]) -> None:
-    """Raise when a hold produced no daily returns; looks at the metrics, one row per variant."""
-    found = {r["variant"] for r in metrics.select("variant").collect()}
+def _all_present(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """metrics of all names; one that is missing fails the job."""
+    wanted = metrics.sparkSession.createDataFrame([(n,) for n in names], "variant string")
+    missing = F.raise_error(F.concat(F.lit("no daily returns for variant "), F.col("variant"))).cast("long")
+    return wanted.join(metrics, "variant", "left").withColumn("n_days", F.coalesce("n_days", missing))
+
+
+def missing_variants(daily: DataFrame, holds: list[int]) -> None:
+    """Raise ValueError when a hold produced no daily returns; one row per variant is looked at."""
+    found = {r["variant"] for r in daily.select("variant").distinct().collect()}
     missing = [h for h in holds if str(h) not in found]
     if missing:
         raise ValueError(f"no daily returns for hold {missing}")
 
 
-PARAMS = "top_k int, hold int, threshold double, rank_h int"
+PARAMS = "variant int, top_k int, hold int, threshold double, rank_h int"
+PARAM_NAMES = ["top_k", "hold", "threshold", "rank_h"]
+
+
+def parameter_table(spark: SparkSession, params: list[tuple]) -> DataFrame:
+    """One row for each distinct (top_k, hold, threshold, rank_h), numbered as ``variant``; ``rank_h`` None means the hold."""
+    full = dict.fromkeys((int(k), int(h), float(t), int(h if r is None else r)) for k, h, t, r in params)
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(full)], PARAMS)
 
 
-def sweep_holdings(curves: DataFrame, sched: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(variant, ...) schedule and holdings for each parameter row.
+def sweep_holdings(curves: DataFrame, sched: DataFrame, params: DataFrame, k_max: int) -> tuple[DataFrame, DataFrame]:
+    """(variant, ...) schedule and holdings for each row of a parameter table.
 
     The panel is ranked once per (date, horizon) down to the largest k. A threshold keeps a prefix of that
-    order, so each variant is a filter on the few ranked rows.
+    order, so each variant is a filter on the few ranked rows. Parameter rows come from the caller's code, a schedule
+    has at most a row a day: both are broadcast.
     """
-    named = params.withColumn("rank_h", F.coalesce("rank_h", "hold")).withColumn(
-        "variant", F.concat_ws("|", "top_k", "hold", F.format_string("%.3f", "threshold"), "rank_h")
-    )
-    named = F.broadcast(named)
-    plan = sched.withColumnRenamed("variant", "hold").join(named, "hold")
+    plan = sched.withColumnRenamed("variant", "hold").join(F.broadcast(params), "hold")
     wanted = F.broadcast(plan.select(F.col("signal_date").alias("date"), F.col("rank_h").alias("h")).distinct())
-    k_max = params.agg(F.max("top_k")).first()[0]
     ranked = best_k(curves.join(wanted, ["date", "h"], "left_semi"), ["date", "h"], "value", k_max)
     picks = plan.join(ranked, (plan["signal_date"] == ranked["date"]) & (plan["rank_h"] == ranked["h"]))
     hold = picks.where((F.col("place") <= F.col("top_k")) & (F.col("value") >= F.col("threshold")))
@@ -81,29 +92,19 @@ def sweep_holdings(curves: DataFrame, sched: DataFrame, params: DataFrame) -> tu
 
 
 def sweep(curves: DataFrame, bars: DataFrame, cal: DataFrame, params: list[tuple], mode: str = "close") -> DataFrame:
-    """Metrics per (top_k, hold, threshold, rank_h), best Sharpe first. ``rank_h`` None means the hold."""
-    spark = curves.sparkSession
-    table = spark.createDataFrame([tuple(p) for p in params], PARAMS)
+    """Metrics per (top_k, hold, threshold, rank_h), best Sharpe first. ``rank_h`` None means the hold.
+
+    Parameters are joined back by number, so they come out as they went in. A row without any daily return stays, with
+    0 days and no metrics, at the end.
+    """
+    table = parameter_table(curves.sparkSession, params)
     sched = schedule(cal, sorted({p[1] for p in params}))
     if mode == "close":
         sched = sched.withColumn("exec_date", F.col("signal_date"))
-    plan, hold = sweep_holdings(curves, sched, table)
+    plan, hold = sweep_holdings(curves, sched, table, max(p[0] for p in params))
     _, daily = _returns(bars, hold, plan, cal, mode)
-    part = F.split("variant", r"\|")
-    return (
-        performance(daily)
-        .select(
-            F.get(part, F.lit(0)).cast("int").alias("top_k"),
-            F.get(part, F.lit(1)).cast("int").alias("hold"),
-            F.get(part, F.lit(2)).cast("double").alias("threshold"),
-            F.get(part, F.lit(3)).cast("int").alias("rank_h"),
-            "n_days",
-            "annualised_return",
-            "sharpe",
-            "max_drawdown",
-        )
-        .orderBy(F.col("sharpe").desc(), "top_k", "hold", "threshold", "rank_h")
-    )
+    out = table.join(performance(daily), "variant", "left").drop("variant").withColumn("n_days", F.coalesce("n_days", F.lit(0).cast("long")))
+    return out.select(*PARAM_NAMES, "n_days", "annualised_return", "sharpe", "max_drawdown").orderBy(F.col("sharpe").desc_nulls_last(), *PARAM_NAMES)
 
 
 def sweep_next_open(curves: DataFrame, bars: DataFrame, cal: DataFrame, ks: list[int], holds: list[int], metric: str = "sharpe") -> DataFrame:
@@ -116,8 +117,10 @@ def sweep_blend(
     a: DataFrame, b: DataFrame, bars: DataFrame, cal: DataFrame, weights: list[float], k: int, hold: int, threshold: float = 0.0, ddof: int = 1
 ) -> DataFrame:
     """Next-open metrics per blend weight w of w z(a) + (1 - w) z(b)."""
-    z = zscore_by_date(aligned(a, b), ddof, ["score_a", "score_b"])
     sched = schedule(cal, [hold]).drop("variant")
+    dates = F.broadcast(sched.select(F.col("signal_date").alias("date")))  # at most a row a day
+    both = aligned(a.join(dates, "date", "left_semi"), b.join(dates, "date", "left_semi"))
+    z = zscore_by_date(both, ddof, ["score_a", "score_b"])
     on_signal = z.join(F.broadcast(sched), z["date"] == sched["signal_date"])
     w = F.col("w")
     mixed = on_signal.withColumn("w", F.explode(F.array(*[F.lit(float(x)) for x in weights]))).withColumn(

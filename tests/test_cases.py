@@ -366,14 +366,44 @@ def test_sweep_equals_single_backtests(bars_of, spark):
     swept = backtest.sweep(paths, b, cal, [(2, 2, 0.0, None), (2, 3, 0.0, None), (1, 2, 0.01, 3)], "next_open")
     assert swept.count() == 3
     one = backtest.run_backtest(paths, b, cal, [2, 3], 2)
-    backtest.missing_variants(one["metrics"], [2, 3])
+    backtest.missing_variants(one["daily"], [2, 3])
     with pytest.raises(ValueError):
-        backtest.missing_variants(one["metrics"], [2, 7])
+        backtest.missing_variants(one["daily"], [2, 7])
+    with pytest.raises(Exception, match="no daily returns for variant 2"):
+        backtest.run_backtest(paths, b, cal, [2, 3], 2, threshold=1e9)["metrics"].collect()
     want = {int(r["variant"]): r["sharpe"] for r in one["metrics"].collect()}
     got = {r["hold"]: r["sharpe"] for r in swept.where("top_k = 2").collect()}
     assert got[2] == pytest.approx(want[2]) and got[3] == pytest.approx(want[3])
 
 
+def test_sweep_keeps_fine_thresholds_apart(bars_of):
+    b = bars_of({f"S{i}": _random_bars(60, i) for i in range(6)})
+    cal = b.select("date").distinct()
+    paths = b.select("date", "symbol", F.lit(2).alias("h"), ((F.col("close") / F.col("open") - 1) / 100).alias("value"))
+    steps = [0.0001, 0.0004, 0.00041, 0.02]
+    for mode in ("close", "next_open"):
+        both = {r["threshold"]: tuple(r) for r in backtest.sweep(paths, b, cal, [(2, 2, t, None) for t in steps], mode).collect()}
+        assert sorted(both) == steps and both[0.02][4] == 0 and both[0.02][6] is None
+        for t in steps:
+            assert tuple(backtest.sweep(paths, b, cal, [(2, 2, t, None)], mode).first()) == pytest.approx(both[t])
+
+
+def test_known_amounts_stay(spark):
+    data = [("A", 1.0, 3.0, 1.0, 3.0, None, 500.0), ("B", 1.0, 3.0, 1.0, 3.0, 10.0, None), ("C", 1.0, 3.0, 1.0, 3.0, None, None), ("D", 1.0, 3.0, 1.0, 3.0, 10.0, 7.0)]
+    df = spark.createDataFrame(data, "symbol string, open double, high double, low double, close double, volume double, amount double")
+    assert rows(clean.fill_amount(df), "symbol", "volume", "amount") == [("A", 0.0, 500.0), ("B", 10.0, 20.0), ("C", 0.0, 0.0), ("D", 10.0, 7.0)]
+
+
+def test_written_days(spark):
+    good = ["2024-01-02", "2024/1/2", "20240102", "2024.01.02", "2024-01-02T23:30:00+08:00", "2024-1-2 09:00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*good, "2024-13-01", "today", None])], "i int, date string")
+    got = [r["date"] for r in clean.normalise_date(df).orderBy("i").collect()]
+    assert got == [day("2024-01-02")] * len(good) + [None] * 3
+    with pytest.raises(Exception, match="no day in date"):
+        clean.normalise_date(df, strict=True).collect()
+    assert clean.normalise_date(df.where("i < 6"), strict=True).count() == 6
+
+
 def test_ranker_learns(spark):
     rng = np.random.default_rng(0)
     data = []

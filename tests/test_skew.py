@@ -44,6 +44,46 @@ def test_ranks_match_pandas(cross):
     assert abs(got["p"] - want).max() < 1e-12
 
 
+def test_ranks_keep_longs_and_decimals_apart(spark):
+    (d,) = days(1)
+    big = 2**53
+    rows = [(d, f"S{i}", big + i % 3, i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "date date, symbol string, a long, i int").withColumn("b", F.lit(big).cast("decimal(30,10)") + F.col("i") / F.lit(10**9).cast("decimal(20,0)"))
+    pick = ["symbol", *[F.col(f"{c}_rk.{f}").alias(f"{c}_{f}") for c in ("a", "b") for f in ("n", "below", "equal", "turn")]]
+    plain = g.with_ranks(df, ["date"], ["a", "b"], limit=None, turns=True).select(*pick)
+    split = g.with_ranks(df, ["date"], ["a", "b"], limit=50, turns=True).select(*pick)
+    assert plain.select("a_below").distinct().count() == plain.select("b_below").distinct().count() == 3
+    assert plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
+
+
+def test_a_massive_tie_of_similar_keys_is_spread(spark):
+    """Half of 200,000 rows share a value and the first bytes of their key: no window gets more than the limit."""
+    n, limit = 200_000, 10_000
+    df = spark.range(n).select(
+        F.lit("2024-01-01").cast("date").alias("date"),
+        F.format_string("SYMBOL%012d", F.col("id")).alias("symbol"),
+        F.when(F.col("id") % 2 == 0, F.lit(1.0)).otherwise(F.col("id").cast("double")).alias("a"),
+    )
+    out = g.with_ranks(df, ["date"], ["a"], limit=limit, turns=True).select("symbol", "a", "a_rk.*")
+    ties = out.where("a = 1.0")
+    assert ties.agg(F.count(F.lit(1)), F.min("turn"), F.max("turn"), F.countDistinct("turn")).first()[:] == (n // 2 + 1, 1, n // 2 + 1, n // 2 + 1)
+    assert ties.where("below <> 0 OR equal <> 100001").isEmpty()
+    order = ties.select(F.corr("turn", F.substring("symbol", 7, 12).cast("double"))).first()[0]
+    assert order > 0.999999
+    text = out._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in text
+    rest = out.where("a <> 1.0").agg(F.min("below"), F.max("below"), F.countDistinct("below")).first()
+    assert rest[:] == (n // 2 + 1, n - 1, n // 2 - 1)
+
+
+def test_sizes_are_looked_at_once(cross):
+    hot = g.hot_groups(cross, ["date"], 100)
+    one = g.with_ranks(cross, ["date"], ["a"], limit=100, hot=hot).select("date", "symbol", "a_rk.below")
+    two = g.with_ranks(cross, ["date"], ["a"], limit=100).select("date", "symbol", "a_rk.below")
+    assert one.exceptAll(two).isEmpty() and hot.collect()[0]["_rows"] == 3000
+    assert g.hot_groups(cross, ["date"], 10**6) is None
+
+
 def _ticks(spark, n=4000):
     rng = random.Random(3)
     rows = []

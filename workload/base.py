@@ -23,7 +23,7 @@ def cte(name: str, text: str) -> None:
 
 
 def sql(select: str) -> str:
-    """Prefix ``select`` with the named tables it uses, in dependency order."""
+    """Prefix ``select`` with the named tables it uses, in dependency order; slog(x) stands for what ``logged`` does."""
     order: list[str] = []
     seen: set[str] = set()
 
@@ -37,7 +37,19 @@ def sql(select: str) -> str:
     visit(select)
     if not order:
         return select
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + select
+    return signed_logs("WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + select)
+
+
+def signed_logs(text: str) -> str:
+    """Write out every slog(x)."""
+    while (at := text.find("slog(")) >= 0:
+        depth, end = 1, at + 5
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        x = text[at + 5 : end - 1]
+        text = f"{text[:at]}(sign({x}) * ln(1 + abs({x}))){text[end:]}"
+    return text
 
 
 def query(name: str, oracle: str | None = None):
@@ -70,8 +82,8 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def logged(df: DataFrame, *cols: str) -> DataFrame:
-    """Replace compounded figures by ln(1 + |x|): weekly prices of random orders compound past any fixed precision."""
-    return df.withColumns({c: F.log1p(F.abs(F.col(c))) for c in cols})
+    """Replace compounded figures by sign(x) ln(1 + |x|): weekly prices of random orders compound past any fixed precision."""
+    return df.withColumns({c: F.signum(F.col(c)) * F.log1p(F.abs(F.col(c))) for c in cols})
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -281,11 +293,17 @@ cte(
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder for tables written by a query: below the cluster's shared folder, else a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/panel-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A fresh folder for tables written by a query, below the cluster's shared folder.
+
+    Only a session that runs inside one machine may go without that setting; it gets a folder of its own then.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/panel-{uuid.uuid4().hex}"
 
 
 def r6(*cols: str) -> str:

@@ -45,22 +45,27 @@ def _(spark, sf):
 @query(
     "stream_complete_dates",
     sql(
-        """SELECT CAST(ts AS DATE) AS date, count(*) AS n_rows, round(avg(value), 6) AS mean_score, round(max(value), 6) AS max_score FROM events
-  GROUP BY CAST(ts AS DATE) HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR"""
+        """SELECT CAST(ts AS DATE) AS date, user_id AS symbol, round(arg_max(value, struct_pack(a := ts, b := value)), 6) AS score FROM events
+  GROUP BY CAST(ts AS DATE), user_id HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR"""
     ),
 )
 def _(spark, sf):
-    rows = _events(spark, sf).select("ts", "symbol", F.col("price").alias("score"))
+    """The complete cross-section of users of each closed day."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = raw.select("ts", F.col("user_id").alias("symbol"), F.col("value").alias("score"))
     return rounded(_drain(spark, live.stream_complete_dates(rows, "6 hours")))
 
 
 @query("stream_upsert", sql(f"SELECT symbol, date, {r6('open', 'high', 'low', 'close * 2 AS close', 'volume', 'amount')} FROM hourly"))
 def _(spark, sf):
+    """Version 2 in the first batch, the older version 1 in later ones; folded after every second batch."""
     path = scratch(spark)
     bars = hourly(spark, sf)
-    bars.withColumn("seq", F.lit(1)).write.parquet(f"{path}/in/{uuid.uuid4().hex}")
-    bars.withColumns({"close": F.col("close") * 2, "seq": F.lit(2)}).write.parquet(f"{path}/in/{uuid.uuid4().hex}")
-    schema = bars.withColumn("seq", F.lit(1)).schema
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    live.stream_upsert(stream, f"{path}/table", f"{path}/progress").awaitTermination()
+    versions = [bars.withColumns({"close": F.col("close") * 2, "seq": F.lit(2)})] + [bars.withColumn("seq", F.lit(1))] * 2
+    schema = versions[0].schema
+    for version in versions:  # one file a batch: the stream ends between them
+        version.coalesce(1).write.parquet(f"{path}/in/{uuid.uuid4().hex}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        live.stream_upsert(stream, f"{path}/table", f"{path}/progress", fold=2).awaitTermination()
     return rounded(live.current_bars(spark, f"{path}/table"))

@@ -138,21 +138,31 @@ def _(spark, sf):
 
 
 def labelled(spark, sf):
-    """Four features and the 5-step label, one shuffle by symbol."""
-    rows = feat.volume_ratio(feat.volatility(feat.momentum(feat.ma_dist(bars(spark, sf), 5), 20), 10))
-    return lab.forward_open_return(rows, 5).where("label is not null")
+    """All technical features, their ranks and the 5-step label."""
+    b = bars(spark, sf)
+    label = lab.forward_open_return(b, 5).where("label is not null").select("symbol", "date", "label")
+    return feat.cs_rank(feat.technical_features(b).join(label, ["symbol", "date"]), feat.TECH_FEATURES)
 
 
-RANKER_COLS = ["feat_ma5_dist", "feat_momentum_20", "feat_vol_10", "feat_volume_ratio"]
+VALIDATE = "date >= '2000-01-01'"
 
 
-@query("fit_ranker")
+@query(
+    "fit_ranker",
+    sql(
+        f"""SELECT date, symbol, round(({rank_sql('label')} - 0.5) / count(*) OVER (PARTITION BY date) - 0.5, 6) AS target, {VALIDATE} AS is_val,
+  count(*) OVER (PARTITION BY {VALIDATE}) AS split_rows, (SELECT count(DISTINCT d.date) FROM labels5 d WHERE d.label IS NOT NULL AND (d.{VALIDATE}) = (l.{VALIDATE})) AS split_dates
+  FROM labels5 l WHERE label IS NOT NULL"""
+    ),
+)
 def _(spark, sf):
-    panel = labelled(spark, sf).select("date", "symbol", "label", *RANKER_COLS)
-    model, summary = sc.fit_ranker(panel, RANKER_COLS, F.col("date") >= "2000-01-01", rounds=10)
-    rows = sc.assemble_features(panel.where("date >= '2000-01-01'"), RANKER_COLS)
-    rows = sc.tree_range_score(rows, model, max(1, summary["n_trees"] // 2), "score_half")
-    return rounded(sc.score_table(rows, {"score_full": model}).join(rows.select("date", "symbol", "score_half"), ["date", "symbol"]))
+    """Trains on all 26 features; what SQL can say of it are targets and splits, tests look at what was learned."""
+    cols = [*feat.TECH_FEATURES, *[c + feat.RANK_SUFFIX for c in feat.TECH_FEATURES]]
+    panel = labelled(spark, sf).select("date", "symbol", "label", *cols)
+    _, summary = sc.fit_ranker(panel, cols, F.expr(VALIDATE), rounds=3)
+    rows = sc.rank_target(panel).withColumn("is_val", F.expr(VALIDATE))
+    pick = lambda what: F.when(F.col("is_val"), summary["val"][what]).otherwise(summary["train"][what]).alias(f"split_{what}")
+    return rounded(rows.select("date", "symbol", "target", "is_val", pick("rows"), pick("dates")))
 
 
 cte(
@@ -275,27 +285,27 @@ def _(spark, sf):
 cte(
     "ctx_rows",
     """SELECT r.date AS rebal_date, b.*, row_number() OVER (PARTITION BY r.date, symbol ORDER BY b.date DESC) AS back
-  FROM bars b JOIN rebal r ON b.date BETWEEN r.date - 120 AND r.date""",
+  FROM bars b JOIN rebal r ON b.date BETWEEN r.date - 810 AND r.date""",
 )
 cte(
     "ctx",
-    """SELECT * FROM (SELECT *, 13 - back AS pos, count(*) OVER (PARTITION BY rebal_date, symbol) AS whole FROM ctx_rows WHERE back <= 12) WHERE whole = 12""",
+    """SELECT * FROM (SELECT *, 91 - back AS pos, count(*) OVER (PARTITION BY rebal_date, symbol) AS whole FROM ctx_rows WHERE back <= 90) WHERE whole = 90""",
 )
-cte("ctx_ends", "SELECT rebal_date AS date, symbol, max(close) FILTER (pos = 12) AS last, max(close) FILTER (pos = 1) AS first FROM ctx GROUP BY rebal_date, symbol")
+cte("ctx_ends", "SELECT rebal_date AS date, symbol, max(close) FILTER (pos = 90) AS last, max(close) FILTER (pos = 1) AS first FROM ctx GROUP BY rebal_date, symbol")
 
 
 def contexts(spark, sf):
-    return win.contexts(bars(spark, sf), rebal(spark, sf), lookback=12, recency_factor=10)
+    return win.context_windows(bars(spark, sf), rebal(spark, sf), lookback=90, recency_factor=9)
 
 
-@query("batch_forecast", sql("SELECT date, symbol, h, round(last, 6) AS value FROM ctx_ends, (SELECT unnest(range(1, 6)) AS h)"))
+@query("batch_forecast", sql("SELECT date, symbol, h, round(last, 6) AS value FROM ctx_ends, (SELECT unnest(range(1, 11)) AS h)"))
 def _(spark, sf):
-    return rounded(sc.batch_forecast(contexts(spark, sf), horizon=5))
+    return rounded(sc.batch_forecast(contexts(spark, sf), horizon=10))
 
 
 @query(
     "batch_forecast_fn",
-    sql("SELECT date, symbol, h, round(last + h * (last - first) / 11, 6) AS value FROM ctx_ends, (SELECT unnest(range(1, 6)) AS h)"),
+    sql("SELECT date, symbol, h, round(last + h * (last - first) / 89, 6) AS value FROM ctx_ends, (SELECT unnest(range(1, 11)) AS h)"),
 )
 def _(spark, sf):
     def drift(windows: list[np.ndarray], horizon: int) -> list[np.ndarray]:
@@ -303,7 +313,7 @@ def _(spark, sf):
         closes = [w[:, 3] for w in windows]
         return [c[-1] + np.arange(1, horizon + 1) * (c[-1] - c[0]) / (len(c) - 1) for c in closes]
 
-    return rounded(sc.batch_forecast(contexts(spark, sf), drift, horizon=5))
+    return rounded(sc.batch_forecast(contexts(spark, sf), drift, horizon=10))
 
 
 # ---- selection ------------------------------------------------------------------------------
@@ -503,22 +513,22 @@ def _(spark, sf):
     return rounded(ev.per_day_metrics(scored(spark, sf), K))
 
 
-PERIODS = {"Q": "year(date) || 'Q' || quarter(date)", "M": "strftime(date, '%Y-%m')", "Y": "CAST(year(date) AS VARCHAR)", "all": "'all'"}
+PERIODS = {"Q": "year(date) || 'Q' || quarter(date)", "M": "strftime(date, '%Y-%m')", "Y": "CAST(year(date) AS VARCHAR)", "all": "CASE WHEN date IS NOT NULL THEN 'all' END"}
 
 
 def period_sql(source: str, freq: str, extra: str = "") -> str:
     return f"""SELECT {extra + ', ' if extra else ''}'{freq}' AS freq, {PERIODS[freq]} AS period, count(*) AS days, round(avg(rank_ic), 6) AS mean_ic,
   round(CASE WHEN count(*) > 1 AND stddev_samp(rank_ic) > 0 THEN avg(rank_ic) / stddev_samp(rank_ic) END, 6) AS ic_ir,
   round(count(*) FILTER (rank_ic > 0) / count(*), 6) AS pct_ic_pos, round(avg(top_excess), 6) AS mean_top_excess, round(avg(overlap_topk), 6) AS mean_overlap,
-  round(avg(universe_mean), 6) AS universe_mean_label FROM {source} GROUP BY {extra + ', ' if extra else ''}{PERIODS[freq] if freq != 'all' else '2'}"""
+  round(avg(universe_mean), 6) AS universe_mean_label FROM {source} GROUP BY {extra + ', ' if extra else ''}{PERIODS[freq]}"""
 
 
-@query("aggregate_period", sql(" UNION ALL ".join(period_sql("daily_metrics", f) for f in ("Q", "M", "Y"))))
+@query("aggregate_period", sql(" UNION ALL ".join(period_sql("daily_metrics", f) for f in PERIODS)))
 def _(spark, sf):
-    return rounded(ev.aggregate_period(ev.per_day_metrics(scored(spark, sf), K), ["Q", "M", "Y"]))
+    return rounded(ev.aggregate_period(ev.per_day_metrics(scored(spark, sf), K), list(PERIODS)))
 
 
-RAW = ["feat_ma5_dist", "feat_momentum_20", "feat_vol_10", "feat_volume_ratio"]
+RAW = feat.TECH_FEATURES
 cte(
     "feature_long",
     " UNION ALL ".join(
@@ -539,9 +549,9 @@ cte(
 )
 
 
-@query("feature_diagnostics", sql(period_sql("feature_daily", "Q", "feature")))
+@query("feature_diagnostics", sql(" UNION ALL ".join(period_sql("feature_daily", f, "feature") for f in ("Q", "all"))))
 def _(spark, sf):
-    return rounded(ev.feature_diagnostics(labelled(spark, sf), RAW, K))
+    return rounded(ev.feature_diagnostics(labelled(spark, sf), RAW, K, ["Q", "all"]))
 
 
 cte(

@@ -154,7 +154,7 @@ def curve_sql(name: str, source: str, start: str = "") -> None:
 
 
 def perf_sql(source: str) -> str:
-    return f"""SELECT variant, count(*) AS n_days, round(ln(1 + abs(arg_max(equity, date) ** (252.0 / count(*)) - 1)), 6) AS annualised_return,
+    return f"""SELECT variant, count(*) AS n_days, round(slog(arg_max(equity, date) ** (252.0 / count(*)) - 1), 6) AS annualised_return,
   round(avg(ret) / (stddev_samp(ret) + 0.000000001) * sqrt(252.0), 6) AS sharpe, round(max((peak - equity) / nullif(peak, 0)), 6) AS max_drawdown
   FROM {source}_curve GROUP BY variant"""
 
@@ -181,13 +181,13 @@ def _(spark, sf):
     sql(
         """SELECT variant, n_days, """
         + r6(
-            "ln(1 + abs(total_return)) AS total_return",
+            "slog(total_return) AS total_return",
             "volatility",
             "max_drawdown",
-            "ln(1 + abs(annual)) AS annual_return",
-            "ln(1 + abs(coalesce((annual - 0.03) / nullif(volatility, 0), 0))) AS sharpe",
+            "slog(annual) AS annual_return",
+            "slog(coalesce((annual - 0.03) / nullif(volatility, 0), 0)) AS sharpe",
             "buy_hold_return",
-            "ln(1 + abs(total_return - buy_hold_return)) AS excess_return",
+            "slog(total_return - buy_hold_return) AS excess_return",
         )
         + """ FROM (SELECT *, (1 + total_return) ** (252.0 / n_days) - 1 AS annual FROM (SELECT variant, count(*) AS n_days, arg_max(equity, date) - 1 AS total_return,
    stddev_samp(ret) * sqrt(252.0) AS volatility, -max((peak - equity) / nullif(peak, 0)) AS max_drawdown,
@@ -272,32 +272,42 @@ def _backtest(mode):
 query("run_backtest", sql(perf_sql("bt_next_open")))(_backtest("next_open"))
 query("run_backtest_close", sql(perf_sql("bt_close")))(_backtest("close"))
 
-PARAMS = [(k, h, t, r) for k in (5, 10) for h in (3, 5) for t in (0.0, 0.02) for r in (None, 1)]
+PARAMS = [(k, h, t, r) for k in (5, 10) for h in (3, 5) for t in (0.0001, 0.0004, 0.02, 1e9) for r in (None, 1)]
 cte(
     "params",
     "SELECT * FROM (VALUES "
-    + ", ".join(f"({k}, {h}, CAST({t} AS DOUBLE), {r or h}, '{k}|{h}|{t:.3f}|{r or h}')" for k, h, t, r in PARAMS)
+    + ", ".join(f"({k}, {h}, CAST({t} AS DOUBLE), {r or h}, {i})" for i, (k, h, t, r) in enumerate(PARAMS))
     + ") v(top_k, hold, threshold, rank_h, variant)",
 )
-cte("sweep_plan", "SELECT p.variant, s.signal_date, s.signal_date AS exec_date FROM sched s JOIN params p ON p.hold = s.variant")
-cte(
-    "sweep_held",
-    """SELECT variant, exec_date, symbol FROM (SELECT p.variant, p.top_k, s.signal_date AS exec_date, c.symbol,
+for mode, exec_date in (("close", "signal_date"), ("open", "exec_date")):
+    cte(f"sweep_plan_{mode}", f"SELECT p.variant, s.signal_date, s.{exec_date} AS exec_date FROM sched s JOIN params p ON p.hold = s.variant")
+    cte(
+        f"sweep_held_{mode}",
+        f"""SELECT variant, exec_date, symbol FROM (SELECT p.variant, p.top_k, s.{exec_date} AS exec_date, c.symbol,
    row_number() OVER (PARTITION BY p.variant, s.signal_date ORDER BY c.value DESC, c.symbol) AS place FROM sched s JOIN params p ON p.hold = s.variant
    JOIN curves c ON c.date = s.signal_date AND c.h = p.rank_h WHERE c.value >= p.threshold) WHERE place <= top_k""",
-)
-close_sql("sw", "sweep_held", "sweep_plan")
+    )
+close_sql("sw", "sweep_held_close", "sweep_plan_close")
+next_open_sql("swo", "sweep_held_open", "sweep_plan_open")
 curve_sql("sw", "sw_daily")
+curve_sql("swo", "swo_daily")
 
 
-@query(
-    "sweep",
-    sql(f"SELECT top_k, hold, CAST(threshold AS DOUBLE) AS threshold, rank_h, m.* EXCLUDE (variant) FROM ({perf_sql('sw')}) m JOIN params p ON m.variant = p.variant"),
-)
+def sweep_sql(source: str) -> str:
+    return f"""SELECT top_k, hold, CAST(threshold AS DOUBLE) AS threshold, rank_h, coalesce(n_days, 0) AS n_days, annualised_return, sharpe, max_drawdown
+  FROM params p LEFT JOIN ({perf_sql(source)}) m ON m.variant = p.variant"""
+
+
+@query("sweep", sql(sweep_sql("sw")))
 def _(spark, sf):
     return rounded(logged(bt.sweep(curves(spark, sf), bars(spark, sf), calendar(spark, sf), PARAMS, "close"), ANN))
 
 
+@query("sweep_thresholds_open", sql(sweep_sql("swo")))
+def _(spark, sf):
+    return rounded(logged(bt.sweep(curves(spark, sf), bars(spark, sf), calendar(spark, sf), PARAMS, "next_open"), ANN))
+
+
 GRID = [(k, h) for k in (5, 10, 20) for h in (3, 5)]
 cte("grid", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {h}, '{k}|{h}')" for k, h in GRID) + ") v(top_k, hold, variant)")
 cte("grid_plan", "SELECT g.variant, s.exec_date FROM sched s JOIN grid g ON g.hold = s.variant")
@@ -383,7 +393,7 @@ METRICS = ["annualised_return", "sharpe", "max_drawdown"]
 )
 def _(spark, sf):
     out = sinks.compare_runs(_docs(spark, sf))
-    value = F.when(F.col("metric") == ANN, F.log1p(F.abs("value"))).otherwise(F.col("value"))
+    value = F.when(F.col("metric") == ANN, F.signum("value") * F.log1p(F.abs("value"))).otherwise(F.col("value"))
     return rounded(out.withColumn("value", value))
 
 

@@ -39,12 +39,12 @@ def rebal(spark, sf):
 cte(
     "context_rows",
     f"""SELECT r.date AS rebal_date, b.*, row_number() OVER (PARTITION BY r.date, symbol ORDER BY b.date DESC) AS back
-  FROM holes b JOIN rebal r ON b.date BETWEEN r.date - 120 AND r.date""",
+  FROM holes b JOIN rebal r ON b.date BETWEEN r.date - 810 AND r.date""",
 )
 cte(
     "contexts",
-    f"""SELECT * FROM (SELECT *, 13 - back AS pos, count(*) FILTER ({NOT_NULL}) OVER (PARTITION BY rebal_date, symbol) AS whole
-  FROM context_rows WHERE back <= 12) WHERE whole = 12""",
+    f"""SELECT * FROM (SELECT *, 91 - back AS pos, count(*) FILTER ({NOT_NULL}) OVER (PARTITION BY rebal_date, symbol) AS whole
+  FROM context_rows WHERE back <= 90) WHERE whole = 90""",
 )
 
 
@@ -53,7 +53,7 @@ cte(
     sql("SELECT rebal_date, symbol, count(*) AS n, min(date) AS first_date, round(sum(close * pos), 6) AS weighted FROM contexts GROUP BY rebal_date, symbol"),
 )
 def _(spark, sf):
-    rows = win.contexts(holes(spark, sf), rebal(spark, sf), lookback=12, recency_factor=10)
+    rows = win.contexts(holes(spark, sf), rebal(spark, sf), lookback=90, recency_factor=9)
     return rounded(
         rows.groupBy("rebal_date", "symbol").agg(
             F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.sum(F.col("close") * F.col("pos")).alias("weighted")
@@ -73,33 +73,33 @@ def _lead(c: str, n: int) -> str:
     "sliding_windows",
     sql(
         f"""SELECT symbol, start_date, round(first_close, 6) AS first_close, round(last_close, 6) AS last_close, round(volume, 6) AS volume FROM
-  (SELECT symbol, date AS start_date, close AS first_close, {_lead('close', 5)} AS last_close, sum(volume) {_ahead(5)} AS volume,
-   count(*) {_ahead(5)} AS n FROM bars) WHERE n = 6"""
+  (SELECT symbol, date AS start_date, close AS first_close, {_lead('close', 99)} AS last_close, sum(volume) {_ahead(99)} AS volume,
+   count(*) {_ahead(99)} AS n FROM bars) WHERE n = 100"""
     ),
 )
 def _(spark, sf):
-    w = win.sliding_windows(bars(spark, sf), 6)
+    w = win.sliding_windows(bars(spark, sf), 100)
     total = F.aggregate("win", F.lit(0.0), lambda a, b: a + b["volume"])
     at = lambda i: F.get("win", F.lit(i))["close"]
-    return rounded(w.select("symbol", "start_date", at(0).alias("first_close"), at(5).alias("last_close"), total.alias("volume")))
+    return rounded(w.select("symbol", "start_date", at(0).alias("first_close"), at(99).alias("last_close"), total.alias("volume")))
 
 
 @query(
     "inference_windows",
     sql(
-        f"""SELECT symbol, date, round(x_close, 6) AS x_close, round(y_close, 6) AS y_close FROM (SELECT symbol, {_lead('date', 7)} AS date,
-  sum(close) {_ahead(7)} AS x_close, sum(close) OVER ({W} ROWS BETWEEN 8 FOLLOWING AND 10 FOLLOWING) AS y_close, count(*) {_ahead(10)} AS n FROM bars) WHERE n = 11"""
+        f"""SELECT symbol, date, round(x_close, 6) AS x_close, round(y_close, 6) AS y_close FROM (SELECT symbol, {_lead('date', 89)} AS date,
+  sum(close) {_ahead(89)} AS x_close, sum(close) OVER ({W} ROWS BETWEEN 90 FOLLOWING AND 99 FOLLOWING) AS y_close, count(*) {_ahead(99)} AS n FROM bars) WHERE n = 100"""
     ),
 )
 def _(spark, sf):
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b["close"])
-    w = win.inference_windows(bars(spark, sf), 8, 3)
+    w = win.inference_windows(bars(spark, sf), 90, 10)
     return rounded(w.select("symbol", "date", total("x").alias("x_close"), total("y").alias("y_close")))
 
 
 def _norm(c: str, k: int) -> str:
     x = c if k == 0 else _lead(c, k)
-    return f"least(greatest(({x} - avg({c}) {_ahead(7)}) / (stddev_pop({c}) {_ahead(7)} + 0.00001::DOUBLE), -2.0), 2.0)"
+    return f"least(greatest(({x} - avg({c}) {_ahead(89)}) / (stddev_pop({c}) {_ahead(89)} + 0.00001::DOUBLE), -2.0), 2.0)"
 
 
 @query(
@@ -107,21 +107,21 @@ def _norm(c: str, k: int) -> str:
     sql(
         "SELECT symbol, start_date, "
         + r6("c0", "c7", "c10", "v10", "std_close / mean_close AS spread")
-        + f""" FROM (SELECT symbol, date AS start_date, {_norm('close', 0)} AS c0, {_norm('close', 7)} AS c7, {_norm('close', 10)} AS c10,
-  {_norm('volume', 10)} AS v10, avg(close) {_ahead(7)} AS mean_close, stddev_pop(close) {_ahead(7)} AS std_close, count(*) {_ahead(10)} AS n FROM bars) WHERE n = 11"""
+        + f""" FROM (SELECT symbol, date AS start_date, {_norm('close', 0)} AS c0, {_norm('close', 89)} AS c7, {_norm('close', 99)} AS c10,
+  {_norm('volume', 99)} AS v10, avg(close) {_ahead(89)} AS mean_close, stddev_pop(close) {_ahead(89)} AS std_close, count(*) {_ahead(99)} AS n FROM bars) WHERE n = 100"""
     ),
 )
 def _(spark, sf):
-    w = win.normalise_window(win.sliding_windows(bars(spark, sf), 11), 8, clip=2.0)
+    w = win.normalise_window(win.sliding_windows(bars(spark, sf), 100), 90, clip=2.0)
     at = lambda i, c: F.get("win", F.lit(i))[c]
     return rounded(
         w.select(
             "symbol",
             "start_date",
             at(0, "close").alias("c0"),
-            at(7, "close").alias("c7"),
-            at(10, "close").alias("c10"),
-            at(10, "volume").alias("v10"),
+            at(89, "close").alias("c7"),
+            at(99, "close").alias("c10"),
+            at(99, "volume").alias("v10"),
             (F.col("stats.std_close") / F.col("stats.mean_close")).alias("spread"),
         )
     )
@@ -276,11 +276,14 @@ def _keys(spark, sf):
 
 @query(
     "features_at",
-    sql(f"SELECT date, symbol, {r6('feat_ma5_dist', 'feat_vol_10')}, round({rank_sql('feat_ma5_dist')}, 6) AS feat_ma5_dist_cs_rank FROM keyed"),
+    sql(
+        f"SELECT date, symbol, {r6(*feat.TECH_FEATURES)}, "
+        + ", ".join(f"round({rank_sql(c)}, 6) AS {c}{feat.RANK_SUFFIX}" for c in feat.TECH_FEATURES)
+        + " FROM keyed"
+    ),
 )
 def _(spark, sf):
-    out = feat.features_at(bars(spark, sf), _keys(spark, sf), strict=False)
-    return rounded(out.select("date", "symbol", "feat_ma5_dist", "feat_vol_10", "feat_ma5_dist_cs_rank"))
+    return rounded(feat.features_at(bars(spark, sf), _keys(spark, sf), strict=False))
 
 
 cte("enriched", "SELECT k.date, k.symbol, f.* EXCLUDE (date, symbol) FROM keys k JOIN features f ON f.date = k.date AND f.symbol = k.symbol WHERE k.date IN (SELECT date FROM traded)")

@@ -191,7 +191,7 @@ def _(spark, sf):
     "fill_amount",
     sql(
         f"""SELECT symbol, date, {r6('open', 'high', 'low', 'close')}, round(coalesce(volume, 0), 6) AS volume,
-  round(CASE WHEN volume IS NULL THEN 0 ELSE coalesce(amount, volume * (open + high + low + close) / 4) END, 6) AS amount FROM holes"""
+  round(CASE WHEN amount IS NOT NULL THEN amount WHEN volume IS NULL THEN 0 ELSE volume * (open + high + low + close) / 4 END, 6) AS amount FROM holes"""
     ),
 )
 def _(spark, sf):
@@ -283,12 +283,19 @@ def _(spark, sf):
 
 @query(
     "normalise_date",
-    sql("SELECT date, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS date FROM events UNION ALL SELECT CAST(l_shipdate AS DATE) FROM lineitem) GROUP BY date"),
+    sql(
+        """SELECT date, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS date FROM events UNION ALL SELECT CAST(l_shipdate AS DATE) FROM lineitem
+  UNION ALL SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END FROM orders) GROUP BY date"""
+    ),
 )
 def _(spark, sf):
+    """Zoned stamps, stamps, and days written in four ways, every fifth unreadable."""
     zoned = table(spark, sf, "events").select(F.concat(F.col("ts").cast("string"), F.lit("+08:00")).alias("date"))
     stamps = table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("date"))
-    both = clean.normalise_date(zoned).unionByName(clean.normalise_date(stamps))
+    day = F.col("o_orderdate")
+    forms = [F.lit("31st of May"), F.date_format(day, "yyyy/M/d"), F.date_format(day, "yyyyMMdd"), F.date_format(day, "yyyy.MM.dd"), F.date_format(day, "yyyy-MM-dd'T'HH:mm")]
+    written = table(spark, sf, "orders").select(F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("date"))
+    both = clean.normalise_date(zoned).unionByName(clean.normalise_date(stamps)).unionByName(clean.normalise_date(written))
     return rounded(both.groupBy("date").agg(F.count(F.lit(1)).alias("n")))
 
 
