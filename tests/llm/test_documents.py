@@ -42,7 +42,7 @@ def test_fingerprints_follow_the_similarity(spark, rows):
 
 def test_one_hash_for_all_bins_and_no_python(spark):
     plan = queries.op1(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan) and plan.count("Exchange hashpartitioning(_b") == 1
+    assert not re.search("Python|Arrow|Pandas", plan) and plan.count("Exchange hashpartitioning(_b#") == 1
 
 
 def test_fingerprints_of_odd_rows(odd, none):
