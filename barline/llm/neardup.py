@@ -25,14 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import runs, stored
+from barline.llm.common import stored
 from barline.llm.shingles import WordHashes, exact_set, shingle_set, words
 
 K = 64
 #: Chance that the sketches of one linked pair share fewer than the counted values.
 LOSS = 1e-10
-#: Members of a list that one task compares with each other; longer lists are cut into blocks of this size.
-BLOCK = 256
 #: Class texts are fetched by a broadcast of their ids (8 bytes each) up to this number, by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -139,48 +137,34 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def across(lists: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one list in different components that pass size and sketch, each list in blocks.
+def still_apart(open_nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open nodes (nid, comp, n) in different components that can be linked, judged by full sets.
 
-    lists: (v, nid, comp, members). A list of m members is cut into m / BLOCK blocks, and each pair of blocks is one
-    group of bounded size; only pairs that pass leave it.
+    Each set is ordered from its rarest value among the open nodes to the most frequent. Two sets of n and m values that
+    are linked share at least o = ceil(percent (n + m) / (100 + percent)) of them, so their first common value is among
+    the first n - o + 1 and m - o + 1. Values that no other open node has come first and make no list: a text that has
+    more of its own than a partner may lack meets nobody.
     """
-    floor = least_shared(k, percent)
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    cut = lists.withColumn("parts", blocks).withColumn("own", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "comp")
-    full = dealt.join(nodes.select("nid", "n", "sketch"), "nid")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["v", "i", "j"]):
-            nid, comp, n, own = (group[c].to_numpy() for c in ("nid", "comp", "n", "own"))
-            if len(nid) < 2 or (comp == comp[0]).all():
-                continue
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            sketch = [np.asarray(x, dtype=np.int64) for x in group["sketch"].to_pylist()]
-            length = np.array([len(x) for x in sketch])
-            values, column = np.unique(np.concatenate(sketch), return_inverse=True)
-            holds = np.zeros((len(nid), len(values)), dtype=np.float32)
-            holds[np.repeat(np.arange(len(nid)), length), column] = 1
-            holds = holds[:, holds.sum(axis=0) > 1]
-            shared = (holds @ holds.T).astype(np.int64)
-            whole = (n[:, None] <= k) & (n[None, :] <= k)
-            ok = np.where(whole, 100 * shared >= percent * (length[:, None] + length[None, :] - shared), shared >= floor)
-            ok &= (comp[:, None] != comp[None, :]) & (np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent)
-            ok &= ((own[:, None] == i) & (own[None, :] == j)) if i != j else (nid[:, None] < nid[None, :])
-            a_out, b_out = [], []
-            for x, y in zip(*np.nonzero(ok)):
-                s, t = sketch[x], sketch[y]
-                # values of the union's sketch that both retain: those up to its kth smallest
-                if whole[x, y] or (np.intersect1d(s, t, assume_unique=True) <= np.union1d(s, t)[:k][-1]).sum() >= floor:
-                    a_out.append(min(nid[x], nid[y]))
-                    b_out.append(max(nid[x], nid[y]))
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a_out, dtype=np.int64)), pa.array(np.array(b_out, dtype=np.int64))], names=["a", "b"])
-
-    clustered = full.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
-    return clustered.mapInArrow(compare, "a long, b long").distinct()
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(words(t), hashes).view(np.int64) for t in batch.column(3).to_pylist()]
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), np.concatenate([*sets, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["nid", "comp", "n", "values"])
+
+    sets = open_nodes.join(texts, "nid").select("nid", "comp", "n", "text").mapInArrow(full, "nid long, comp long, n long, values array<long>")
+    values = stored(sets.select("nid", "comp", "n", F.explode("values").alias("v")), "values")
+    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    held = values.join(shared, "v").groupBy("nid").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("freq", "v"))).alias("held"))
+    own = F.col("n") - F.size("held")
+    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - own  # the longest prefix that any partner's size asks for
+    prefix = held.where(first > 0).select("nid", "comp", "n", own.alias("own"), F.posexplode(F.slice("held", F.lit(1), first.cast("int"))).alias("i", "x"))
+    prefix = stored(prefix.select("nid", "comp", "n", F.col("x.v").alias("v"), (F.col("own") + F.col("i") + 1).alias("pos")), "prefixes")
+    left, right = (prefix.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("nid", "comp", "n", "pos")]) for side in "ab")
+    o = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
+    met = left.join(right, (left["v"] == right["v"]) & F.expr("nid_a < nid_b AND comp_a <> comp_b") & close_sizes("n_a", "n_b", percent) & (F.col("pos_a") <= F.col("n_a") - o + 1) & (F.col("pos_b") <= F.col("n_b") - o + 1))
+    return met.select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,20 +178,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, id_col: str
     An empty table gives no rows; extra columns are ignored.
     """
     rows = stored(sketches(docs, k, id_col, text_col), "sketches")
-    grouped = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    grouped = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     # ids of classes hold once the table is written
     classes = stored(grouped.withColumn("nid", F.monotonically_increasing_id()), "classes")
 
-    values = classes.select("nid", "n", F.explode("sketch").alias("v"))
+    values = classes.select("nid", "n", "copies", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    held = values.join(shared, "v").groupBy("nid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("freq", "v"))).alias("held"))
+    held = values.join(shared, "v").groupBy("nid").agg(
+        F.first("n").alias("n"), F.first("copies").alias("copies"), F.sum("freq").alias("central"), F.sort_array(F.collect_list(F.struct("freq", "v"))).alias("held")
+    )
     spare = F.size("held") - need(F.col("n"), k, percent) + 1
-    lists = held.where(spare > 0).select("nid", F.explode(F.slice("held", F.lit(1), spare.cast("int"))).alias("x")).select("nid", F.col("x.v").alias("v"))
-    lists = stored(lists, "lists")
+    lists = held.where(spare > 0).select("nid", "copies", "central", F.explode(F.slice("held", F.lit(1), spare.cast("int"))).alias("x"))
+    lists = stored(lists.select("nid", "copies", "central", F.col("x.v").alias("v")), "lists")
+    # the member whose values most others retain, the one with most copies, and one by a hash
     ends = lists.groupBy("v").agg(
-        F.count(F.lit(1)).alias("members"), F.min("nid").alias("p0"), F.max("nid").alias("p1"), F.min(F.struct(F.xxhash64("nid").alias("h"), F.col("nid").alias("p"))).alias("p2")
+        F.count(F.lit(1)).alias("members"), F.max(F.struct("central", "nid")).alias("p0"), F.max(F.struct("copies", "nid")).alias("p1"), F.min(F.struct(F.xxhash64("nid"), F.col("nid"))).alias("p2")
     ).where("members > 1")
-    ends = stored(ends.select("v", "members", F.array_distinct(F.array("p0", "p1", "p2.p")).alias("pivots")), "pivots")
+    ends = stored(ends.select("v", F.array_distinct(F.array("p0.nid", "p1.nid", "p2.nid")).alias("pivots")), "pivots")
+    lists = lists.select("nid", "v")
 
     ids = lists.join(ends.select("v"), "v").select("nid").distinct()
     nodes = classes.join(ids, "nid").select("nid", "sig", "min_id", "n", "sketch")
@@ -219,12 +207,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, id_col: str
     first = stored(linked(likely(near, nodes, k, percent), texts, percent), "links")
     labels = stored(components(first), "labels")
 
-    # lists whose members are not all in one component yet
+    # lists whose members are not all in one component yet, and their members
     member = lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    open_lists = member.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("v", "members")
-    rest = across(member.join(open_lists, "v"), nodes, k, percent)
-    tested = near.select("a", "b")
-    second = linked(rest.join(tested, ["a", "b"], "left_anti"), texts, percent)
+    open_lists = member.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
+    open_nodes = member.join(open_lists, "v", "left_semi").groupBy("nid").agg(F.first("comp").alias("comp"))
+    rest = still_apart(open_nodes.join(nodes.select("nid", "n"), "nid"), texts, percent)
+    second = linked(likely(rest.join(near, ["a", "b"], "left_anti"), nodes, k, percent), texts, percent)
     links = stored(first.unionByName(second), "links")
     labels = components(links)
 

@@ -103,11 +103,6 @@ def test_near_copies_that_share_a_passage(spark):
     assert got == groups(rows, 85)
 
 
-def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
-    test_near_copies_that_share_a_passage(spark)
-
-
 def test_near_duplicates_of_odd_rows(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
