@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ STRENGTH = 100.0
 STOP = np.uint64(0x2545F4914F6CDD1D)
 BLOCKS = "block long, n_docs int, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary, n_keys long"
 ASKED = "shard int, block long, kind int, keys binary, counts binary"
-ANSWERS = "block long, kind int, shard int, width int, totals binary, n_words long, n_tokens long"
+ANSWERS = "block long, kind int, shard int, totals binary, n_words long, n_tokens long"
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int) -> DataFrame:
@@ -50,7 +51,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int) -
         def block() -> pa.RecordBatch:
             stream = np.concatenate(parts)
             distinct, tokens = np.unique(stream, return_inverse=True)
-            values = [(task << 32) | number, len(ids), ids, outs, [len(p) for p in parts], distinct.tobytes(), tokens.astype(np.uint32).tobytes(), len(bigrams(stream, [len(p) for p in parts])[0]) + len(distinct)]
+            values = [(task << 32) | number, len(ids), ids, outs, [len(p) for p in parts], squeezed(np.diff(distinct, prepend=np.uint64(0))), squeezed(tokens), len(bigrams(stream, [len(p) for p in parts])[0]) + len(distinct)]
             types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["block", "n_docs", "doc_ids", "held", "sizes", "words", "tokens", "n_keys"])
 
@@ -87,13 +88,20 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+def squeezed(a: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes as the largest needs, all first bytes first, compressed."""
+    a = np.ascontiguousarray(a.astype(np.min_scalar_type(int(a.max(initial=0)))))
+    return bytes([a.itemsize]) + zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 3)
+
+
+def opened_up(data: bytes) -> np.ndarray:
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data[1:]), dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words, word number of each token, sizes, held of each token) of a block."""
-    distinct, tokens = np.frombuffer(row["words"], dtype=np.uint64), np.frombuffer(row["tokens"], dtype=np.uint32)
+    distinct, tokens = keys_of(row["words"]), opened_up(row["tokens"]).astype(np.int64)
     sizes = np.asarray(row["sizes"], dtype=np.int64)
     return distinct, tokens, sizes, np.repeat(np.asarray(row["held"], dtype=bool), sizes)
 
@@ -112,8 +120,8 @@ def ask(cut: DataFrame, shards: int) -> DataFrame:
                     counts = np.bincount(at[~held], minlength=len(keys))
                     edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
                     for s in np.flatnonzero(np.diff(edges)):
-                        part, n = keys[edges[s] : edges[s + 1]], narrow(counts[edges[s] : edges[s + 1]])
-                        for column, value in zip(out, (s, row["block"], kind, planes(part), n.tobytes())):
+                        part, n = keys[edges[s] : edges[s + 1]], counts[edges[s] : edges[s + 1]]
+                        for column, value in zip(out, (s, row["block"], kind, squeezed(np.diff(part, prepend=np.uint64(0))), squeezed(n))):
                             column.append(value)
                 types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["shard", "block", "kind", "keys", "counts"])
@@ -121,19 +129,9 @@ def ask(cut: DataFrame, shards: int) -> DataFrame:
     return cut.select("block", "held", "sizes", "words", "tokens").mapInArrow(slices, ASKED)
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, all first bytes first: the high bytes are zeros and compress."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
 def keys_of(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64)
-
-
-def widened(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{len(data) // n}").astype(np.int64)
+    """Sorted keys from their squeezed differences."""
+    return np.cumsum(opened_up(data), dtype=np.uint64)
 
 
 def answer(asked: DataFrame) -> DataFrame:
@@ -143,18 +141,18 @@ def answer(asked: DataFrame) -> DataFrame:
         for group in runs(batches, ["shard", "kind"]):
             rows = group.to_pylist()
             keys = [keys_of(r["keys"]) for r in rows]
-            counts = [widened(r["counts"], len(k)) for r, k in zip(rows, keys)]
+            counts = [opened_up(r["counts"]) for r in rows]
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
             word = rows[0]["kind"] == 0
             begin = 0
             for i, (r, k) in enumerate(zip(rows, keys)):
-                mine = narrow(total[at[begin : begin + len(k)]])
+                mine = squeezed(total[at[begin : begin + len(k)]])
                 begin += len(k)
                 first = word and i == 0
-                values = [r["block"], r["kind"], r["shard"], mine.itemsize, mine.tobytes(), int((total > 0).sum()) if first else 0, int(total.sum()) if first else 0]
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["block", "kind", "shard", "width", "totals", "n_words", "n_tokens"])
+                values = [r["block"], r["kind"], r["shard"], mine, int((total > 0).sum()) if first else 0, int(total.sum()) if first else 0]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["block", "kind", "shard", "totals", "n_words", "n_tokens"])
 
     clustered = asked.repartition("shard", "kind").sortWithinPartitions("shard", "kind")
     return clustered.mapInArrow(totals, ANSWERS)
@@ -163,7 +161,7 @@ def answer(asked: DataFrame) -> DataFrame:
 def traverse(totals: list[dict], row: dict, n_words: int, n_tokens: int, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known tokens, base, score) of each text of a block."""
     distinct, tokens, sizes, _ = opened(row)
-    joined = [np.concatenate([np.frombuffer(t["totals"], dtype=f"<u{t['width']}").astype(np.int64) for t in sorted((t for t in totals if t["kind"] == kind), key=lambda t: t["shard"])]) for kind in (0, 1)]
+    joined = [np.concatenate([opened_up(t["totals"]).astype(np.int64) for t in sorted((t for t in totals if t["kind"] == kind), key=lambda t: t["shard"])]) for kind in (0, 1)]
     stream = distinct[tokens]
     _, number = bigrams(stream, sizes)
     count = joined[0][tokens].astype(np.float64)
@@ -192,7 +190,7 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, strength: float = STRE
     shards = max(1, -(-asked_keys // SHARD_KEYS))
     answers = stored(answer(ask(cut, shards)), "answers")
     n_words, n_tokens = (x or 0 for x in answers.agg(F.sum("n_words"), F.sum("n_tokens")).first())
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "width", "totals")).alias("answers"))
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "totals")).alias("answers"))
     both = cut.drop("n_keys").join(by_block, "block")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
