@@ -10,9 +10,12 @@ from barline.functions.timeline import along, carry
 
 
 def fill_amount(bars: DataFrame) -> DataFrame:
-    """Missing amount = volume x mean of the four prices, or 0 without volume; known amounts stay. Missing volume = 0."""
+    """Missing amount = volume x mean of the four prices (NULL if one is), or 0 without volume; known amounts stay.
+
+    Missing volume = 0.
+    """
     mean = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / F.lit(4.0)
-    amount = F.coalesce("amount", F.col("volume") * mean, F.lit(0.0))
+    amount = F.coalesce("amount", F.when(F.col("volume").isNull(), F.lit(0.0)).otherwise(F.col("volume") * mean))
     return bars.withColumns({"amount": amount, "volume": F.coalesce("volume", F.lit(0.0))})
 
 

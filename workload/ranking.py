@@ -150,7 +150,7 @@ VALIDATE = "date >= '2000-01-01'"
 @query(
     "fit_ranker",
     sql(
-        f"""SELECT date, symbol, round(({rank_sql('label')} - 0.5) / count(*) OVER (PARTITION BY date) - 0.5, 6) AS target, {VALIDATE} AS is_val,
+        f"""SELECT date, symbol, round({rank_sql('label')} - 0.5 / count(*) OVER (PARTITION BY date) - 0.5, 6) AS target, {VALIDATE} AS is_val,
   count(*) OVER (PARTITION BY {VALIDATE}) AS split_rows, (SELECT count(DISTINCT d.date) FROM labels5 d WHERE d.label IS NOT NULL AND (d.{VALIDATE}) = (l.{VALIDATE})) AS split_dates
   FROM labels5 l WHERE label IS NOT NULL"""
     ),

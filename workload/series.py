@@ -36,10 +36,19 @@ def rebal(spark, sf):
     return schedule(calendar(spark, sf), [8]).select(F.date_add("signal_date", 2).alias("date"))
 
 
+# bars with holes for one symbol of ten, whole ones for the rest: both outcomes occur with 90 bars
+cte("some_holes", "SELECT * FROM holes WHERE symbol LIKE '%7' UNION ALL BY NAME SELECT * FROM bars WHERE symbol NOT LIKE '%7'")
+
+
+def some_holes(spark, sf):
+    seven = F.col("symbol").endswith("7")
+    return holes(spark, sf).where(seven).unionByName(bars(spark, sf).where(~seven), allowMissingColumns=True)
+
+
 cte(
     "context_rows",
     f"""SELECT r.date AS rebal_date, b.*, row_number() OVER (PARTITION BY r.date, symbol ORDER BY b.date DESC) AS back
-  FROM holes b JOIN rebal r ON b.date BETWEEN r.date - 810 AND r.date""",
+  FROM some_holes b JOIN rebal r ON b.date BETWEEN r.date - 810 AND r.date""",
 )
 cte(
     "contexts",
@@ -50,13 +59,13 @@ cte(
 
 @query(
     "contexts",
-    sql("SELECT rebal_date, symbol, count(*) AS n, min(date) AS first_date, round(sum(close * pos), 6) AS weighted FROM contexts GROUP BY rebal_date, symbol"),
+    sql("SELECT rebal_date, symbol, count(*) AS n, min(date) AS first_date, round(sum(close * pos) / 4095, 6) AS weighted FROM contexts GROUP BY rebal_date, symbol"),
 )
 def _(spark, sf):
-    rows = win.contexts(holes(spark, sf), rebal(spark, sf), lookback=90, recency_factor=9)
+    rows = win.contexts(some_holes(spark, sf), rebal(spark, sf), lookback=90, recency_factor=9)
     return rounded(
         rows.groupBy("rebal_date", "symbol").agg(
-            F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.sum(F.col("close") * F.col("pos")).alias("weighted")
+            F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), (F.sum(F.col("close") * F.col("pos")) / 4095).alias("weighted")
         )
     )
 
