@@ -2,59 +2,86 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks that a task keeps; at the limit it forgets all and goes on.
-KEPT_CHUNKS = 400_000
+#: Distinct chunks that a task keeps; beyond, it forgets all and goes on.
+KEPT_CHUNKS = 600_000
+#: Bytes of text handled at once; a longer text is handled on its own.
+GROUP = 2_000_000
+#: A border between a letter or digit and such a sign is one for the tokenizer too, so a space may stand there.
+SIGN = re.compile(rb"([A-Za-z0-9])([.,!?;:])")
+
+
+class Places(dict):
+    """A number for each chunk; new ones are noted as fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return n
 
 
 class ChunkEncoder:
-    """Ids of whole texts for a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts for a tokenizer that lowers letters, drops white space and never joins across it.
 
-    word_bpe_49k is such a tokenizer. Texts are cut at ASCII white space only; other white space stays inside a chunk and
-    is dropped by the tokenizer itself.
+    word_bpe_49k is such a tokenizer. Texts are cut at ASCII white space and before a sign that follows an ASCII letter
+    or digit; other white space stays inside a chunk and is dropped by the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.start = np.zeros(1 << 12, dtype=np.int64)
-        self.length = np.zeros(1 << 12, dtype=np.int64)
-        self.used = 0
-
-    def learn(self, chunks: list[bytes]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)):
-            ids, n = found.ids, len(self.place)
-            if n == len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * n), np.resize(self.length, 2 * n)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.place[chunk], self.start[n], self.length[n] = n, self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        self.place = Places()
+        self.ids = np.empty(0, dtype=np.uint32)
+        self.start, self.length = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def learn(self) -> None:
+        fresh, self.place.fresh = self.place.fresh, []
+        if fresh:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)]
+            length = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(length.sum()))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+            self.length, self.ids = np.concatenate([self.length, length]), np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text as uint32; a null text has none."""
+        group, size = [], 0
         for text in texts:
-            chunks = (text or "").encode("utf-8").split()
-            place = self.place
-            fresh = [c for c in set(chunks) if c not in place]
-            if fresh:
-                if len(place) + len(fresh) > KEPT_CHUNKS:
-                    self.forget()
-                    fresh = list(set(chunks))
-                    place = self.place
-                self.learn(fresh)
-            at = np.fromiter(map(place.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-            length = self.length[at]
-            total = int(length.sum())
-            shift = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(length)[:-1]]) if len(at) else at, length)
-            yield self.flat[shift + np.arange(total)]
+            data = (text or "").encode("utf-8")
+            if group and size + len(data) > GROUP:
+                yield from self.encode_group(group)
+                group, size = [], 0
+            group.append(data)
+            size += len(data)
+        if group:
+            yield from self.encode_group(group)
+
+    def encode_group(self, group: list[bytes]) -> Iterator[np.ndarray]:
+        parts = [SIGN.sub(rb"\1 \2", data.lower()).split() for data in group]
+        if len(self.place) > KEPT_CHUNKS:
+            self.forget()
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(sizes.sum()))
+        self.learn()
+        length = self.length[at]
+        upto = np.cumsum(length)
+        shift = np.repeat(self.start[at] - (upto - length), length)
+        ids = self.ids[shift + np.arange(len(shift))]
+        ends = np.concatenate([[0], upto])[np.cumsum(sizes)]
+        for begin, end in zip([0, *ends[:-1]], ends):
+            yield ids[begin:end]
