@@ -56,13 +56,15 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_backoff_scores")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
-    return ngrams.score(table(spark, sf, "documents"), folds=5, fold=1)
+    scored = ngrams.score(table(spark, sf, "documents"), folds=5, fold=1)
+    # to six places: both engines add the tokens' logarithms in an order of their own
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 @query("op5_poisson_mix")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.poisson_mix(table(spark, sf, "documents"))
-    return mixed.select("doc_id", "source", "lang", "copy", "copies", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return mixed.select("doc_id", "source", "lang", "copy", "copies", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("op6_best_two_fit")
@@ -106,6 +108,54 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- SQL --------------------------------------------------------------------------------------------------------
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD_LIST = rf"list_filter(string_split_regex({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: crc32 of the id as text, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"""
+
+ORACLES["op2_near_duplicates"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORD_LIST} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.v = b.v AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
+
+ORACLES["op4_backoff_scores"] = f"""
+WITH d AS (SELECT doc_id, {CRC} % 5 = 1 AS held_out, list_append({WORD_LIST}, '') AS t FROM documents),
+tok AS (SELECT doc_id, held_out, unnest(t) AS w, unnest(list_prepend('', t[1:len(t) - 1])) AS h FROM d),
+uni AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w), bi AS (SELECT h, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY h, w),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM uni),
+p AS (SELECT t.doc_id, t.held_out, coalesce(u.c, 0) AS c, coalesce(b.c, 0) AS cb, coalesce(s.c, 0) AS ch, n.n, (coalesce(u.c, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)) AS q
+  FROM tok t LEFT JOIN uni u ON t.w = u.w LEFT JOIN bi b ON t.h = b.h AND t.w = b.w LEFT JOIN uni s ON t.h = s.w, n)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, n AS train_tokens, round(sum(log10(q)), 6) AS base_score,
+  round(sum(log10((cb + {ngrams.STRENGTH}::DOUBLE * q) / (ch + {ngrams.STRENGTH}::DOUBLE))), 6) AS score FROM p GROUP BY doc_id, held_out, n
+"""
+
+ASSIGN = secrets.RULES[0].pattern.replace("'", "''")
+
+
+def _found(rank: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d"""
+
+
+ORACLES["op7_blob_ledger"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_found(i, r) for i, r in enumerate(secrets.RULES))}),
+u AS (SELECT doc_id, rank, kind, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS stop FROM u),
+f AS (SELECT doc_id, rank, kind, stop - length(hit) AS start, stop FROM s WHERE kind <> 'assign' OR length(regexp_extract(hit, '{ASSIGN}', 2)) >= 8),
+g AS (SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id)
+SELECT doc_id, n_assign, n_access, n_hex, sha256(spans) AS base_sha256, spans FROM g
+"""
+
 ORACLES["op5_poisson_mix"] = """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, sqrt(CAST(n AS DOUBLE)) / (SELECT CAST(sum(CAST(sqrt(CAST(n AS DOUBLE)) AS DECIMAL(28, 10))) AS DOUBLE) FROM counts)
@@ -115,7 +165,7 @@ cdf AS (SELECT source, rate, 0 AS k, -rate AS term, exp(-rate) AS total FROM rat
   FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
 drawn AS (SELECT *, CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
 counted AS (SELECT d.*, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.total <= d.u) AS copies FROM drawn d)
-SELECT doc_id, source, lang, CAST(copy AS INTEGER) AS copy, CAST(copies AS INTEGER) AS copies, CAST(length(text) AS BIGINT) AS n_chars, crc32_of.crc AS text_crc32
+SELECT doc_id, source, lang, CAST(copy AS INTEGER) AS copy, CAST(copies AS INTEGER) AS copies, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5
 FROM counted, generate_series(1, copies) AS g(copy)
 """
 

@@ -37,6 +37,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 32),
 )
 RULE_VERSION = "2"
+#: Findings (some 60 bytes each) that go to all executors rather than being joined by a shuffle of the rows.
+BROADCAST_SPANS = 500_000
 
 
 def rule_spans(text: str, rule: Rule, rank: int) -> Column:
@@ -83,7 +85,8 @@ def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
 
     ledger: a path all executors share; None: a fresh one in the cluster's shared folder. New findings are appended to
     it before the join, so later calls find them. A blob is kept once by each map task before the shuffle, so groups of
-    copies do not meet; only blobs with findings take part in the join back to the rows.
+    copies do not meet; only blobs with findings take part in the join back to the rows. They are broadcast up to
+    BROADCAST_SPANS findings, counted first, and joined by a shuffle beyond.
 
     Null texts count as empty (no findings); equal texts share a blob; repeated rows stay; an empty table gives no rows.
     Columns of docs named blob or spans are replaced. A rule change needs a new rule_version.
@@ -99,6 +102,8 @@ def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
     hits = ledger_rows(spark, ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
     # a pair is written once, but two scans at the same time may both append it
     hits = hits.groupBy("blob").agg(F.first("spans").alias("spans"))
+    if (hits.agg(F.sum(F.size("spans") + 2)).first()[0] or 0) <= BROADCAST_SPANS:
+        hits = F.broadcast(hits)
     rows = docs.drop("blob", "spans").withColumn("blob", blob)
     joined = rows.join(hits, "blob", "left")
     return joined.select(*rows.columns, F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))

@@ -19,10 +19,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity 0.8 or more of five-word shingles): the smallest id."""
+    """One document of each group of near-duplicates (similarity 0.8 or more of five-word shingles): the smallest id.
+
+    Rows without an id stay; of rows that repeat an id one stays.
+    """
     found = neardup.near_duplicates(docs, percent=80)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return kept.withColumn("_row", nameless).dropDuplicates(["doc_id", "_row"]).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
