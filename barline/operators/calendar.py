@@ -117,7 +117,7 @@ def sample_universe(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def future_dates(last_dates: DataFrame, n: int, holidays: DataFrame) -> DataFrame:
     """The next ``n`` weekdays after each row's ``date`` that are not in ``holidays``."""
-    days_off = holidays.select("date").distinct()
+    days_off = holidays.select("date").distinct().where(F.col("date") > last_dates.agg(F.min("date")).scalar())
     # n + holidays weekdays are certain to hold n open ones
     reach = days_off.agg(F.count(F.lit(1))).scalar() + F.lit(n)
     horizon = F.ceil(reach / 5).cast("int") * 7 + 7

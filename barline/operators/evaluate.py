@@ -193,10 +193,15 @@ def forecast_fidelity(paths: DataFrame, actual: DataFrame, last: DataFrame) -> D
         ratio(count_if(moved & agree), count_if(moved)).alias("direction_acc"),
         F.avg(F.when(F.col("act_ret") > 0, 1.0).otherwise(0.0)).alias("always_up_rate"),
     )
-    ics = ic_ir(rank_ic(rows, "pred_ret", "act_ret", ["date", "h"]), "forecast", ["h"])
-    return errors.join(
-        ics.select("h", F.col("mean_ic").alias("ic_mean"), "ic_ir", F.col("pct_positive").alias("ic_positive_rate")), "h", "left"
+    daily = rank_ic(rows, "pred_ret", "act_ret", ["date", "h"])
+    spread = F.stddev_pop("rank_ic")
+    ics = daily.groupBy("h").agg(
+        F.avg("rank_ic").alias("ic_mean"),
+        spread.alias("ic_std"),
+        F.when(spread > 1e-9, ratio(F.avg("rank_ic"), spread)).alias("ic_ir"),
+        ratio(count_if(F.col("rank_ic") > 0), F.count("rank_ic")).alias("ic_positive_rate"),
     )
+    return errors.join(ics, "h", "left")
 
 
 def score_complementarity(a: DataFrame, b: DataFrame) -> DataFrame:

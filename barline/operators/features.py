@@ -205,7 +205,10 @@ def index_trend(bars: DataFrame) -> DataFrame:
         )
         return volumes.withColumn("_ma19", F.lag("ma5", 19).over(w))
 
-    last = along(bars, step, back=80, ahead=1).where(F.col("_next").isNull())
+    # the longest look back is 60 bars, of ma5 24: older bars go before the frames see them
+    newest = Window.partitionBy("symbol").orderBy(F.col("date").desc())
+    recent = bars.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= 81).drop("_age")
+    last = along(recent, step, back=80, ahead=1).where(F.col("_next").isNull())
     lift = (
         change("ma5", "_ma19") * 0.4
         + change("close", "_close19") * 0.4

@@ -127,8 +127,8 @@ def next_open_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, cal: D
 
 def benchmark_returns(bars: DataFrame, benchmark: str, cal: DataFrame) -> DataFrame:
     """One-step changes of the benchmark's close laid on the calendar, gaps carried forward."""
-    closes = bars.where(F.col("symbol") == benchmark).select("date", "close")
-    line = F.broadcast(cal.select("date").distinct()).join(closes, "date", "left").withColumn("symbol", F.lit(benchmark))
+    closes = bars.where(F.col("symbol") == benchmark).select("date", "close")  # a row a day
+    line = cal.select("date").distinct().join(F.broadcast(closes), "date", "left").withColumn("symbol", F.lit(benchmark))
     w = Window.partitionBy("symbol").orderBy("date")
     filled = carry(line, ["close"]).withColumn("ret", change("close", F.lag("close").over(w)))
     return filled.where("ret is not null").select(F.lit("benchmark").alias("variant"), "date", "ret")

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RESULT_SCHEMA = (
-    "variants array<struct<variant: string, dates: array<string>, daily_returns: array<double>, "
-    "metrics: map<string, double>>>, run string"
-)
+RESULT_SCHEMA = "run string, variant string, dates array<string>, daily_returns array<double>, metrics map<string,double>"
 
 
 def write_panel(df: DataFrame, path: str, by: str = "year", fmt: str = "parquet") -> None:
@@ -27,10 +24,9 @@ def write_panel(df: DataFrame, path: str, by: str = "year", fmt: str = "parquet"
 
 
 def write_result_doc(ret: DataFrame, metrics: DataFrame, path: str, run: str = "run") -> None:
-    """One JSON document: per variant its dates, daily returns and metrics.
+    """JSON lines, one for each variant of a run: its dates, daily returns and metrics.
 
-    A return series has one value per trading day and a run a handful of variants, so the
-    document is small by nature; the panel itself is never nested.
+    A line has one value per trading day; variants are spread over the tasks.
     """
     days = F.array_sort(F.collect_list(F.struct("date", "ret")))
     series = ret.groupBy("variant").agg(days.alias("_s")).select(
@@ -42,24 +38,16 @@ def write_result_doc(ret: DataFrame, metrics: DataFrame, path: str, run: str = "
     pairs = F.map_from_entries(
         F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in names])
     )
-    doc = series.join(metrics.select("variant", pairs.alias("metrics")), "variant").agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("variant").cast("string").alias("variant"), "dates", "daily_returns", "metrics")),
-            lambda a, b: F.when(a["variant"] < b["variant"], -1).when(a["variant"] > b["variant"], 1).otherwise(0),
-        ).alias("variants")
-    )
-    doc.withColumn("run", F.lit(run)).write.mode("overwrite").json(path)
+    doc = series.join(metrics.select("variant", pairs.alias("metrics")), "variant")
+    lines = doc.select(F.lit(run).alias("run"), F.col("variant").cast("string").alias("variant"), "dates", "daily_returns", "metrics")
+    lines.write.mode("overwrite").json(path)
 
 
 def read_result_docs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Long table (run, variant, date, ret, metrics) from one or many documents."""
-    one = spark.read.schema(RESULT_SCHEMA).json(path).select("run", F.explode("variants").alias("v"))
-    return one.select(
-        "run",
-        F.col("v.variant").alias("variant"),
-        F.col("v.metrics").alias("metrics"),
-        F.explode(F.arrays_zip(F.col("v.dates").alias("date"), F.col("v.daily_returns").alias("ret"))).alias("d"),
-    ).select("run", "variant", F.col("d.date").cast("date").alias("date"), F.col("d.ret").alias("ret"), "metrics")
+    zipped = F.explode(F.arrays_zip(F.col("dates").alias("date"), F.col("daily_returns").alias("ret")))
+    rows = spark.read.schema(RESULT_SCHEMA).json(path).select("run", "variant", "metrics", zipped.alias("d"))
+    return rows.select("run", "variant", F.col("d.date").cast("date").alias("date"), F.col("d.ret").alias("ret"), "metrics")
 
 
 def cached_scores(df: DataFrame, path: str) -> DataFrame:

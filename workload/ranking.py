@@ -569,11 +569,11 @@ cte("close_ics", f"SELECT date, h, {corr_sql('rp', 'ra')} AS rank_ic FROM close_
     "forecast_fidelity",
     sql(
         """SELECT e.h, n, round(mape, 6) AS mape, round(mape_naive, 6) AS mape_naive, round(rmse_ret, 6) AS rmse_ret, round(direction_acc, 6) AS direction_acc,
-  round(always_up_rate, 6) AS always_up_rate, round(ic_mean, 6) AS ic_mean, round(ic_ir, 6) AS ic_ir, round(ic_positive_rate, 6) AS ic_positive_rate FROM
+  round(always_up_rate, 6) AS always_up_rate, round(ic_mean, 6) AS ic_mean, round(ic_std, 6) AS ic_std, round(ic_ir, 6) AS ic_ir, round(ic_positive_rate, 6) AS ic_positive_rate FROM
   (SELECT h, count(*) AS n, avg(abs(pred - act) / abs(act)) AS mape, avg(abs(close - act) / abs(act)) AS mape_naive, sqrt(avg((pr - ar) * (pr - ar))) AS rmse_ret,
     count(*) FILTER (abs(pr) > 1e-9 AND abs(ar) > 1e-9 AND sign(pr) = sign(ar)) / nullif(count(*) FILTER (abs(pr) > 1e-9 AND abs(ar) > 1e-9), 0) AS direction_acc,
     avg(CASE WHEN ar > 0 THEN 1.0 ELSE 0.0 END) AS always_up_rate FROM close_returns GROUP BY h) e JOIN
-  (SELECT h, avg(rank_ic) AS ic_mean, avg(rank_ic) / nullif(stddev_pop(rank_ic), 0) AS ic_ir, count(*) FILTER (rank_ic > 0) / count(rank_ic) AS ic_positive_rate
+  (SELECT h, avg(rank_ic) AS ic_mean, stddev_pop(rank_ic) AS ic_std, avg(rank_ic) / nullif(stddev_pop(rank_ic), 0) AS ic_ir, count(*) FILTER (rank_ic > 0) / count(rank_ic) AS ic_positive_rate
    FROM close_ics GROUP BY h) i ON e.h = i.h"""
     ),
 )
