@@ -423,6 +423,23 @@ def _(spark, sf):
     return rounded(sel.period_weights(held(spark, sf), weights(spark, sf)))
 
 
+# weights by date: volumes, of every other symbol, in two weeks of three
+cte("dated_cap", "SELECT date, symbol, volume AS weight FROM bars WHERE weekofyear(date) % 3 <> 0 AND CAST(substr(symbol, 2) AS INT) % 2 = 0")
+
+
+@query(
+    "period_weights_dated",
+    sql(
+        """SELECT variant, exec_date, h.symbol, round(CASE WHEN d.date IS NOT NULL THEN coalesce(c.weight, 0) END, 6) AS weight FROM held h
+  LEFT JOIN dated_cap c ON h.symbol = c.symbol AND h.exec_date = c.date LEFT JOIN (SELECT DISTINCT date FROM dated_cap) d ON h.exec_date = d.date"""
+    ),
+)
+def _(spark, sf):
+    every_other = F.expr("weekofyear(date) % 3 <> 0 AND CAST(substr(symbol, 2) AS INT) % 2 = 0")
+    dated = bars(spark, sf).where(every_other).select("date", "symbol", F.col("volume").alias("weight"))
+    return rounded(sel.period_weights(held(spark, sf), dated))
+
+
 # ---- evaluation -----------------------------------------------------------------------------
 
 
