@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ def places(df: DataFrame, group: list[str], order: list[Column], name: str, spre
     return out.withColumn(name, (F.col("_at") + F.col("_start")).cast("long")).drop("_cell", "_at", "_start", *[f"_k_{k}" for k in keys])
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a text column holds `size` bytes or a single row: what tasks build from a slice stays small."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        piece = lengths.cumsum() // size
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(piece.searchsorted(piece[start], side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def runs(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal key columns, put together across batches. The input is clustered by key."""
     kept: list[pa.RecordBatch] = []

@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barline.llm.common import slices
+
 LEAF = 32
 #: Distinct pre-tokens whose counts a task keeps.
-KEPT = 500_000
+KEPT = 300_000
+#: Bytes of text whose trees a task holds at once; a longer text is held alone.
+SLICE = 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -199,7 +203,7 @@ def with_trees(docs: DataFrame, tokenizer: str | None = None, text_col: str = "t
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in batches:
+        for batch in slices(batches, place, SLICE):
             trees, totals = [], []
             for text in batch.column(place).to_pylist():
                 tree = Tree.of(text or "", counter)
@@ -232,7 +236,7 @@ def recount(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in batches:
+        for batch in slices(batches, place[text_col], SLICE):
             texts, trees, totals, work = [], [], [], []
             for text, tree, edits in zip(*[batch.column(place[c]).to_pylist() for c in (text_col, "tree", "edits")]):
                 state = Tree.kept(tree["lengths"], tree["counts"], tree["leaves"])
