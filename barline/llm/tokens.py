@@ -15,6 +15,10 @@ KEPT_CHUNKS = 600_000
 GROUP = 2_000_000
 #: A border between a letter or digit and such a sign is one for the tokenizer too, so a space may stand there.
 SIGN = re.compile(rb"([A-Za-z0-9])([.,!?;:])")
+#: A capital before a mark from U+0300 to U+037F: NFC composes the two before the tokenizer lowers letters, and some pairs only compose in lower case.
+MARKED = re.compile(rb"[A-Z][\xcc\xcd]")
+#: Special tokens begin so; they are found in texts as they are, in their own case.
+SPECIAL = b"<|"
 
 
 class Places(dict):
@@ -30,6 +34,18 @@ class Places(dict):
         return n
 
 
+def case_matters(data: bytes) -> bool:
+    """Whether ASCII letters must be left for the tokenizer to lower. Any other ASCII capital neither composes with its neighbours nor is part of a special token."""
+    return SPECIAL in data or (not data.isascii() and MARKED.search(data) is not None)
+
+
+def chunks(data: bytes) -> list[bytes]:
+    """The chunks of a text, in lower case where that changes no id, so that more of them are alike."""
+    if not case_matters(data):
+        return SIGN.sub(rb"\1 \2", data.lower()).split()
+    return [c if case_matters(c) else c.lower() for c in SIGN.sub(rb"\1 \2", data).split()]
+
+
 class ChunkEncoder:
     """Ids of whole texts for a tokenizer that lowers letters, drops white space and never joins across it.
 
@@ -72,7 +88,7 @@ class ChunkEncoder:
             yield from self.encode_group(group)
 
     def encode_group(self, group: list[bytes]) -> Iterator[np.ndarray]:
-        parts = [SIGN.sub(rb"\1 \2", data.lower()).split() for data in group]
+        parts = [chunks(data) for data in group]
         if len(self.place) > KEPT_CHUNKS:
             self.forget()
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))

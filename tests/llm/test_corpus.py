@@ -175,6 +175,17 @@ def test_chunks_encode_like_whole_texts(text):
     assert list(next(ChunkEncoder(packing.tokenizer_path()).encode([text]))) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+CASES = ["a<|ENDOFTEXT|>b", "A<|endoftext|>B", "<|StartOfText|> X", "T\u0308est", "J\u030c", "H\u0331", "W\u030a Y\u030a", "E\u0301T\u0308T\u0301. End", "\u212a\u0331A <| T\u0308", "CAF\u00c9 \u0130stanbul"]
+
+
+@pytest.mark.parametrize("text", [*CASES, " ".join(CASES), "Plain Words, ".join(CASES)])
+def test_case_is_left_to_the_tokenizer(text):
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    encoder = ChunkEncoder(packing.tokenizer_path())
+    for t in (text.lower(), text, text.upper()):  # one encoder: chunks kept for one case must not serve another
+        assert list(next(encoder.encode([t]))) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def encoding():
     with open(recount.tokenizer_path(), "rb") as f:
