@@ -6,12 +6,14 @@ curve, rows are ordered by that place and the order is cut into runs of equal ro
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import places
+from barline.llm.common import partitions, places, stored
 
 #: Rows of one curve cell are numbered in so many independent sub-cells.
 SPREAD = 64
@@ -46,12 +48,41 @@ def hilbert_index(levels: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(column: Column, kind: str) -> Column:
-    """A number that keeps the column's order: itself, or the first seven bytes of a text."""
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return column.cast("double")
+def text_cuts(rows: DataFrame, columns: list[str], parts: int) -> dict[str, list[str]]:
+    """The values at ranks n/parts, 2n/parts, .. of each text column, n its rows that are not null; whole values, counted exactly.
+
+    Rows are counted by value first. Values lie in ranges of their order, so that their counts add up in many tasks; the
+    driver sees the sum of each range and the cuts.
+    """
+    if not columns:
+        return {}
+    spark = rows.sparkSession
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).alias("value")) for i, c in enumerate(columns)])).alias("x")
+    counts = rows.select(values).select("x.*").where("value IS NOT NULL").groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = stored(counts, "values").repartitionByRange(partitions(spark), "dim", "value").withColumn("run", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    sums = ranged.groupBy("dim", "run").agg(F.sum("n").alias("n")).orderBy("dim", "run").collect()
+    total: dict[int, int] = defaultdict(int)
+    starts = []
+    for r in sums:
+        starts.append((r["dim"], r["run"], total[r["dim"]]))
+        total[r["dim"]] += r["n"]
+    ranks = [(d, -(-n * j // parts)) for d, n in total.items() for j in range(1, parts)]
+    if not ranks:
+        return {}
+    wanted: dict[tuple[int, int, int], list[int]] = {}
+    for d, rank in ranks:
+        start = max((s for s in starts if s[0] == d and s[2] < rank), key=lambda s: s[2])
+        wanted.setdefault(start, []).append(rank)
+    asked = spark.createDataFrame([(*k, sorted(set(v))) for k, v in wanted.items()], "_dim int, _run int, _start long, _ranks array<long>")
+    # only ranges with a cut are read again
+    mine = ranged.join(F.broadcast(asked), (F.col("dim") == F.col("_dim")) & (F.col("run") == F.col("_run")))
+    upto = F.col("_start") + F.sum("n").over(Window.partitionBy("dim", "run").orderBy("value"))
+    found = mine.withColumn("_upto", upto).where(F.exists("_ranks", lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("n"))))
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in found.select("dim", "value").collect():
+        out[columns[r["dim"]]].append(r["value"])
+    return out
 
 
 def hilbert_shards(
@@ -60,8 +91,9 @@ def hilbert_shards(
     """(id, size, text_crc32, curve, position, shard, slot) of every row of docs.
 
     size: UTF-8 bytes of the text plus 8. Shards take runs of the curve order whose row counts differ by one at
-    most. Inside a curve cell rows follow a hash and then the id. Quantiles come from one pass over all rows; only the
-    2^bits - 1 cuts of each dimension reach the driver.
+    most. Inside a curve cell rows follow a hash and then the id. Quantiles of numbers come from one pass over all rows,
+    those of texts from the exact counts of their whole values; only the 2^bits - 1 cuts of each dimension, and for
+    texts the row count of each range of values, reach the driver.
 
     Null dimensions take the lowest level, null texts have no bytes (crc32 0), a null id is kept as it is, repeated
     rows each get their own slot, an empty table gives no rows. Extra columns are ignored. Dimensions missing from
@@ -73,16 +105,20 @@ def hilbert_shards(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        *[ordinal(F.col(d), kinds.get(d, "")).alias(f"_d{i}") for i, d in enumerate(dims)],
+        *[(F.col(d) if kinds.get(d) == "string" else F.col(d).cast("double")).alias(f"_d{i}") for i, d in enumerate(dims)],
     )
-    steps = [(j + 1) / 2**bits for j in range(2**bits - 1)]
-    cuts = rows.agg(*[F.percentile_approx(f"_d{i}", F.array(*[F.lit(s) for s in steps]), F.lit(10_000)).alias(f"c{i}") for i in range(len(dims))]).first()
+    texts = [f"_d{i}" for i, d in enumerate(dims) if kinds.get(d) == "string"]
+    numbers = [f"_d{i}" for i in range(len(dims)) if f"_d{i}" not in texts]
+    cuts: dict[str, list] = dict(text_cuts(rows, texts, 2**bits))
+    if numbers:
+        steps = F.array(*[F.lit((j + 1) / 2**bits) for j in range(2**bits - 1)])
+        cuts |= rows.agg(*[F.percentile_approx(c, steps, F.lit(10_000)).alias(c) for c in numbers]).first().asDict()
 
     def level(i: int) -> Column:
-        edges = sorted(set(cuts[i] or []))
+        edges = sorted(set(cuts.get(f"_d{i}") or []))
         if not edges:
             return F.lit(0)
-        return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(f"_d{i}"))), F.lit(0))
+        return F.coalesce(F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(f"_d{i}"))), F.lit(0))
 
     @F.pandas_udf("long")
     def curve(levels: pd.DataFrame) -> pd.Series:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -159,6 +160,28 @@ def test_shards_are_even_and_gapless(docs, rows, odd, none):
     assert shards.hilbert_shards(none).count() == 0
 
 
+@pytest.mark.parametrize("head", ["source_", "common_crawl_", "https://www.a.example/", "\U0001f600\uffee", ""])
+def test_texts_with_a_common_head_get_levels_of_their_own(spark, head):
+    # four values, of 100, 200, 300 and 400 rows, and 100 nulls
+    turns = [*"abbcccdddd", None]
+    data = [(i, "t", turns[i % 11] and head + turns[i % 11]) for i in range(1100)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: r.curve for r in shards.hilbert_shards(df, 4, dims=("source",), bits=4).collect()}
+    seen = {}
+    for i, _, source in data:
+        seen.setdefault(source, set()).add(got[i])
+    assert all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == 5
+
+
+def test_text_cuts_are_exact_quantiles(spark):
+    values = [f"https://site.example/{(i * 7919) % 3001:05d}" for i in range(3001)] + ["https://site.example/01000"] * 1000 + [None] * 50
+    df = spark.createDataFrame([(v, "x" if v else None) for v in values], "a string, b string").repartition(4)
+    cuts = shards.text_cuts(df, ["a", "b"], 16)
+    order = sorted(v for v in values if v)
+    assert sorted(set(cuts["a"])) == sorted({order[-(-len(order) * j // 16) - 1] for j in range(1, 16)}) and cuts["b"] == ["x"]
+    assert not shards.text_cuts(df.where("a IS NULL"), ["a", "b"], 16)
+
+
 def test_shards_cover_fewer_sources_than_a_deal_by_id(docs, tmp_path, spark):
     placed = shards.hilbert_shards(docs, 8)
     both = placed.join(docs.select(F.col("doc_id").alias("i"), "source", "lang", "n_chars"), F.col("doc_id") == F.col("i"))
