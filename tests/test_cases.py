@@ -15,6 +15,7 @@ from barline.operators import clean, evaluate, features, labels, portfolio, post
 from barline.plans import backtest
 from barline.sources import bars as src
 from barline.sources import parsing
+from workload import base, ranking
 
 
 def test_upsert_is_idempotent_and_last_write_wins(spark, bars_of):
@@ -417,6 +418,48 @@ def test_ranker_learns(spark):
     assert summary["rank_ic"] > 0.2 and summary["val"]["dates"] == 8 and summary["n_trees"] >= 1
 
 
+def _walk(node, x):
+    """A tree of Spark by hand: nulls, which are NaN in the vector, go right."""
+    while node.numDescendants():
+        split = node.split()
+        node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+    return node.prediction()
+
+
+def test_ranker_scores_walk_its_trees(spark):
+    rng = np.random.default_rng(1)
+    data = [(d, f"S{i}", x, noise, 2 * x + 0.1 * noise) for d in days(20) for i in range(20) for x, noise in [map(float, rng.normal(size=2))]]
+    data.append((days(20)[3], "null", None, 0.1, 0.0))
+    panel = spark.createDataFrame(data, "date date, symbol string, feat_x double, feat_n double, label double")
+    cols = ["feat_x", "feat_n"]
+    gbt = scores.GBTRegressor(featuresCol="features", labelCol="label", maxDepth=3, maxIter=6, stepSize=0.3, seed=1)
+    model = gbt.fit(scores.assemble_features(panel.where("feat_x IS NOT NULL"), cols))
+    assert model.getNumTrees == 6
+    trees = [(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights)]
+    got = {(r.date, r.symbol): r for r in ranking.tree_scores(panel, model, cols).collect()}
+    assert len(got) == len(data)
+    for d, symbol, x, noise, _ in data:
+        each = [w * _walk(root, [float("nan") if x is None else x, noise]) for root, w in trees]
+        r = got[d, symbol]
+        assert r.score_full == pytest.approx(sum(each)) and r.score_half == pytest.approx(sum(each[: len(each) // 2]))
+
+
+def test_registered_ranker_trains_all_rounds_on_all_features(spark, monkeypatch):
+    seen, fit = [], scores.GBTRegressor
+
+    def watched(**kw):
+        seen.append(kw)
+        return fit(**{**kw, "maxIter": 1})
+
+    monkeypatch.setattr(scores, "GBTRegressor", watched)
+    sf = "/root/testdata/sf0.001"
+    base.QUERIES["fit_ranker"](spark, sf)
+    out = base.QUERIES["score_ranker"](spark, sf)
+    assert [kw["maxIter"] for kw in seen] == [200, 200] and len(ranking.RANKER_COLS) == 26
+    want = ranking.labelled(spark, sf).where(ranking.VALIDATE).count()
+    assert out.count() == want and out.where("score_full IS NULL OR score_half IS NULL").count() == 0
+
+
 def test_sources_do_not_depend_on_partitioning(bars_of):
     b = bars_of({f"S{i}": _random_bars(30, i) for i in range(4)})
     a = features.cs_rank(features.technical_features(b.repartition(1)), ["feat_ma5_dist"])

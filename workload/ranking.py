@@ -145,6 +145,20 @@ def labelled(spark, sf):
 
 
 VALIDATE = "date >= '2000-01-01'"
+RANKER_COLS = [*feat.TECH_FEATURES, *[c + feat.RANK_SUFFIX for c in feat.TECH_FEATURES]]
+
+
+def ranker(spark, sf):
+    """The panel of all 26 features, the model trained on it with the default rounds, and its summary."""
+    panel = labelled(spark, sf).select("date", "symbol", "label", *RANKER_COLS)
+    return panel, *sc.fit_ranker(panel, RANKER_COLS, F.expr(VALIDATE))
+
+
+def tree_scores(panel, model, cols):
+    """Every row of panel with its label, the score by all trees and the score by the first half of them, one at least."""
+    full = sc.score_table(sc.assemble_features(panel, cols), {"score_full": model})
+    half = sc.tree_range_score(sc.assemble_features(full, cols), model, max(1, model.getNumTrees // 2), "score_half")
+    return half.select("date", "symbol", "label", "score_full", "score_half")
 
 
 @query(
@@ -156,15 +170,43 @@ VALIDATE = "date >= '2000-01-01'"
     ),
 )
 def _(spark, sf):
-    """Trains on all 26 features; what SQL can say of it are targets and splits, tests look at what was learned."""
-    cols = [*feat.TECH_FEATURES, *[c + feat.RANK_SUFFIX for c in feat.TECH_FEATURES]]
-    panel = labelled(spark, sf).select("date", "symbol", "label", *cols)
-    _, summary = sc.fit_ranker(panel, cols, F.expr(VALIDATE), rounds=3)
+    """Trains on all 26 features; what SQL can say of it are targets and splits, score_ranker gives what was learned."""
+    panel, _, summary = ranker(spark, sf)
     rows = sc.rank_target(panel).withColumn("is_val", F.expr(VALIDATE))
     pick = lambda what: F.when(F.col("is_val"), summary["val"][what]).otherwise(summary["train"][what]).alias(f"split_{what}")
     return rounded(rows.select("date", "symbol", "target", "is_val", pick("rows"), pick("dates")))
 
 
+@query("score_ranker")
+def _(spark, sf):
+    """The whole validation panel scored by the trained ranker. SQL has no trees that are learned; tests walk them."""
+    panel, model, _ = ranker(spark, sf)
+    return rounded(tree_scores(panel.where(VALIDATE), model, RANKER_COLS))
+
+
+def small_trees(spark):
+    """Two trees of one split each: feat_momentum_20 at 0.01 gives 0.5 or 2.5, then feat_ma5_dist at 0.02 half of -1 or 1."""
+    from pyspark.ml.regression import GBTRegressor
+
+    cols = ["feat_momentum_20", "feat_ma5_dist"]
+    grid = spark.createDataFrame([(0.01 + x, 0.02 + y, 2.0 * (x > 0) + (y > 0)) for x in (-1, 1) for y in (-1, 1)], [*cols, "target"])
+    gbt = GBTRegressor(featuresCol="features", labelCol="target", maxDepth=1, maxIter=2, stepSize=0.5, seed=1)
+    return gbt.fit(sc.assemble_features(grid, cols)), cols
+
+
+@query(
+    "score_trees",
+    sql(
+        f"""SELECT f.date, f.symbol, round(label, 6) AS label, CASE WHEN feat_momentum_20 <= 0.01 THEN 0.5 ELSE 2.5 END AS score_half,
+  CASE WHEN feat_momentum_20 <= 0.01 THEN 0.5 ELSE 2.5 END + CASE WHEN feat_ma5_dist <= 0.02 THEN -0.5 ELSE 0.5 END AS score_full
+  FROM features f JOIN labels5 l ON f.symbol = l.symbol AND f.date = l.date WHERE label IS NOT NULL AND f.{VALIDATE}"""
+    ),
+)
+def _(spark, sf):
+    model, cols = small_trees(spark)
+    return rounded(tree_scores(labelled(spark, sf).where(VALIDATE).select("date", "symbol", "label", *cols), model, cols))
+
+
 cte(
     "spearman",
     f"""SELECT date, symbol, score, label, {rank_sql('score')} AS rs, {rank_sql('label')} AS rl,
