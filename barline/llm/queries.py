@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import edits, fingerprints, langid, mixing, neardup, ngrams, packing, recount, secrets, shards, topk
+from barline.llm import edits, fingerprints, langid, mixing, neardup, ngrams, packing, phrases, recount, secrets, shards, simhash, spelling, topk
 from barline.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,21 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), "reencoded", F.sha2(F.col("text"), 256).alias("edited_sha256"))
 
 
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"), slips_every=97)
+
+
+@query("op12_collocations")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"), threshold=100, top=2000)
+
+
+@query("op13_simhash_duplicates")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf, "documents"), radius=4)
+
+
 # ---- SQL --------------------------------------------------------------------------------------------------------
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -177,3 +192,38 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS D
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
+
+#: crc32 of `<doc_id>:<w>` over UTF-8 bytes; letters beyond ASCII are U+00C0 to U+00FF, two bytes each.
+WORD_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"""
+
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+g AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w), h AS (SELECT w, c, {WORD_CRC} AS h FROM g),
+x AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM x WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, v.word FROM less l JOIN v ON l.rest = v.word UNION SELECT v.word, l.word FROM less l JOIN v ON l.rest = v.word),
+r AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place FROM near JOIN v ON b = word),
+f AS (SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 2 * v.n THEN b END AS form, CASE WHEN r.n >= 2 * v.n THEN r.n END AS form_n FROM v LEFT JOIN r ON v.word = r.a AND place = 1),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON w.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk w ON f.word = w.word JOIN f e ON w.at = e.word AND e.form IS NULL
+"""
+
+ORACLES["op12_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?
+-
+]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[ 	]+'), lambda x: x <> '') AS w FROM p), t AS MATERIALIZED (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS o(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+u AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, a, cut, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM u JOIN f x ON u.lang = x.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON u.lang = y.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') JOIN t ON u.lang = t.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM s),
+k AS (SELECT * FROM b WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.phrase <> b.phrase AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a)),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k)
+SELECT * FROM o WHERE rank <= 2000
+"""
