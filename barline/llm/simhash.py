@@ -66,7 +66,9 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "
 
 def embedded(fp: Column) -> Column:
     """The bit count of each two-bit segment, in the segment's two bits."""
-    return fp - F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(EVEN))
+    upper = F.shiftrightunsigned(fp, 1)
+    one, two = fp.bitwiseXOR(upper).bitwiseAND(F.lit(EVEN)), fp.bitwiseAND(upper).bitwiseAND(F.lit(EVEN))
+    return one.bitwiseOR(F.shiftleft(two, 1))
 
 
 def manhattan(x: Column, y: Column) -> Column:
