@@ -35,8 +35,10 @@ COUNTERS = 1_000_000
 BLOCK_KEYS = 3_000_000
 #: Texts are handled so many bytes at a time (a longer text on its own).
 SLICE = 2_000_000
-#: The table of survivors has 2 ** TABLE_BITS bits at most (16 MB).
-TABLE_BITS = 27
+#: The table of survivors has 2 ** TABLE_BITS bits (8 MB), whatever the corpus.
+TABLE_BITS = 26
+#: Bits of a key at least. A width that followed small corpora would make their summaries smaller by key than large ones.
+KEY_BITS = 40
 #: Words end at space and tab, pieces at these signs and line ends; A-Z in lower case.
 SIGNS = b".,;:!?\n\x0b\x0c\r"
 SPLIT = bytes.maketrans(ascii_uppercase.encode() + b"\t" + SIGNS, ascii_lowercase.encode() + b" " + b"\n" * len(SIGNS))
@@ -154,7 +156,7 @@ def summaries(rows: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
     return rows.mapInArrow(build, "shard int, mass long, keys binary, counts binary")
 
 
-def survivors(blocks: DataFrame, threshold: int, slack: int, bits: int, table_bits: int) -> DataFrame:
+def survivors(blocks: DataFrame, threshold: int, slack: int, bits: int, table_bits: int = TABLE_BITS) -> DataFrame:
     """(place, part, n): for each partition the stretch of the bit table that its summary fills."""
     masses = blocks.groupBy("shard").agg(F.sum("mass").alias("whole"))
     dealt = blocks.join(masses, "shard").repartition("shard").sortWithinPartitions("shard")
@@ -191,19 +193,18 @@ def phrase_counts(docs: DataFrame, threshold: int = 100, order: int = ORDER, sla
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # two bytes a word at least, `order` n-grams a word at most
     most = order * int(rows.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 1)
-    bits = min(62, max(32, most.bit_length() + 6))
-    table_bits = min(TABLE_BITS, max(16, (most // threshold).bit_length() + 2), bits)
+    bits = min(62, max(KEY_BITS, most.bit_length() + 3))
     shards = max(partitions(docs.sparkSession), -(-slack * most // (threshold * COUNTERS)))
     blocks = stored(summaries(rows, order, bits, shards), "summaries")
-    table = np.zeros((1 << table_bits) // 8 + 8, dtype=np.uint8)
+    table = np.zeros((1 << TABLE_BITS) // 8 + 8, dtype=np.uint8)
     # each row is the stretch of one partition: the table's size in all
-    for part in survivors(blocks, threshold, slack, bits, table_bits).select("place", "part").toLocalIterator():
+    for part in survivors(blocks, threshold, slack, bits).select("place", "part").toLocalIterator():
         stretch = np.frombuffer(part["part"], dtype=np.uint8)
         table[part["place"] : part["place"] + len(stretch)] |= stretch
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        down = np.uint64(64 - table_bits)
+        down = np.uint64(64 - TABLE_BITS)
 
         def found(lang: str, k: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
             n = len(phrases)
