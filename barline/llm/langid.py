@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm.common import slices
+
 UNKNOWN = "und"
 DIMENSIONS = 1 << 16
 LENGTHS = (2, 3)
@@ -25,6 +27,8 @@ SAMPLE_PER_LANGUAGE = 2_000
 EXHAUSTIVE = 6
 #: Characters of a text handled at once.
 PIECE = 1 << 20
+#: Bytes of text that a task holds as Python strings.
+SLICE = 1_000_000
 SCHEMA = "doc_id long, lang_pred string, score double, second string, margin double, ambiguous boolean"
 
 
@@ -42,24 +46,43 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     return np.array(out).T
 
 
-def gram_hashes(text: str) -> np.ndarray:
-    """Hashed n-grams of the lower-cased text, whole words with their borders; runs of white space are one space."""
-    codes = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+def hashed(text: str, after: int) -> np.ndarray:
+    """Hashed n-grams of text that end past its first `after` code points."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     out, h = [], np.zeros(len(codes), dtype=np.uint64)
     for n in range(1, max(LENGTHS) + 1):
         if len(codes) < n:
             break
         h = (h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[n - 1 :] * np.uint64(0xD1B54A32D192ED03))
         if n in LENGTHS:
-            out.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64))
+            end = h[max(0, after - n + 1) :]
+            out.append(((end ^ (end >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64))
     return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
 
 
+def gram_hashes(text: str, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """Hashed n-grams of the lower-cased text, whole words with their borders; runs of white space are one space.
+
+    A long text comes in pieces; each carries the end of the one before it, so that the cuts change nothing.
+    """
+    low, last = text.lower(), " "
+    for at in range(0, len(low), piece):
+        part = low[at : at + piece]
+        body = " ".join(part.split())
+        lead = " " if part[0].isspace() and last[-1] != " " else ""
+        tail = " " if body and part[-1].isspace() else ""
+        more = lead + body + tail
+        yield hashed(last + more, len(last))
+        last = (last + more)[-(max(LENGTHS) - 1) :]
+    if last[-1] != " ":
+        yield hashed(last + " ", len(last))
+
+
 def gram_counts(text: str) -> np.ndarray:
-    """Counts of the hashed n-grams, in pieces of bounded memory; n-grams across a piece's end are left out."""
+    """Counts of the hashed n-grams."""
     total = np.zeros(DIMENSIONS)
-    for at in range(0, len(text), PIECE):
-        total += np.bincount(gram_hashes(text[at : at + PIECE]), minlength=DIMENSIONS)
+    for grams in gram_hashes(text):
+        total += np.bincount(grams, minlength=DIMENSIONS)
     return total
 
 
@@ -81,7 +104,8 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Classifiers from labelled rows of docs. Nulls in text or lang are left out.
 
-    The sample is bounded: per language about per_language rows, taken by a hash of their id. Tasks send one count
+    The sample is bounded: per language about per_language rows, taken by a hash of id and text: null or repeated ids
+    bias nothing, repeated rows are taken or left together. Without labelled rows the model knows no language. Tasks send one count
     vector a language; as the sample is bounded, so is what the driver adds up.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -92,12 +116,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, per_language / r["n"]))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_003)) < share * 1_000_003)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)), F.lit(1_000_003)) < share * 1_000_003)
     index = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 1, SLICE):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts = gram_counts(text)
                 # a text counts by its shape, not by its length
@@ -143,7 +167,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, code, weights, trust = shared.value
         model = Model(langs, code, weights, trust)
-        for batch in batches:
+        for batch in slices(batches, 1, SLICE):
             pred, score, second, margin = [], [], [], []
             for text, letter in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not letter or not langs:
@@ -153,8 +177,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     margin.append(0.0)
                     continue
                 total, n = np.zeros(weights.shape[1]), 0
-                for at in range(0, len(text), PIECE):
-                    grams = gram_hashes(text[at : at + PIECE])
+                for grams in gram_hashes(text):
                     total += np.take(weights, grams, axis=0).sum(axis=0, dtype=np.float64)
                     n += len(grams)
                 losses = model.losses(total, n)

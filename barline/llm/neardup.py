@@ -25,10 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import stored
+from barline.llm.common import slices, stored
 from barline.llm.shingles import WordHashes, exact_set, shingle_set, words
 
 K = 64
+#: Bytes of text that a task turns into words at once.
+SLICE = 1_000_000
+#: Bytes of words whose hashes a task keeps.
+KEPT_BYTES = 50_000_000
 #: Chance that the sketches of one linked pair share fewer than the counted values.
 LOSS = 1e-10
 #: Class texts are fetched by a broadcast of their ids (8 bytes each) up to this number, by a shuffled join beyond.
@@ -46,11 +50,11 @@ def least_shared(k: int, percent: int, loss: float = LOSS) -> int:
 
 
 def sketches(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, sig, sketch): set size, 128-bit hash of the set, the k smallest shingle hashes."""
+    """(doc_id, mark, n_shingles, sig, sketch): hash of the text, set size, 128-bit hash of the set, the k smallest shingle hashes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
+        hashes = WordHashes(KEPT_BYTES)
+        for batch in slices(batches, 1, SLICE):
             sizes, sigs, least = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(words(text), hashes)
@@ -58,10 +62,10 @@ def sketches(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 least.append(s[:k].view(np.int64))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in least])]).astype(np.int32), np.concatenate([*least, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), lists], names=["doc_id", "n_shingles", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), lists], names=["doc_id", "mark", "n_shingles", "sig", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(build, "doc_id long, n_shingles long, sig binary, sketch array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    return rows.mapInArrow(build, "doc_id long, mark long, n_shingles long, sig binary, sketch array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 kept.popitem(last=False)
             return s
 
-        for batch in batches:
+        for batch in slices(batches, 2, SLICE):
             out = []
             for a, b, ta, tb in zip(*[c.to_pylist() for c in batch.columns]):
                 x, y = of(a, ta), of(b, tb)
@@ -147,8 +151,8 @@ def still_apart(open_nodes: DataFrame, texts: DataFrame, percent: int) -> DataFr
     """
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
+        hashes = WordHashes(KEPT_BYTES)
+        for batch in slices(batches, 3, SLICE):
             sets = [shingle_set(words(t), hashes).view(np.int64) for t in batch.column(3).to_pylist()]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), np.concatenate([*sets, np.empty(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["nid", "comp", "n", "values"])
@@ -167,14 +171,15 @@ def still_apart(open_nodes: DataFrame, texts: DataFrame, percent: int) -> DataFr
     return met.select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs.
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs, with marks also `mark`: xxhash64 of its text.
 
     Shingles are five lower-cased words (fewer words: one shingle). Rows are linked if 100 * intersection >= percent *
     union; component_id is the smallest id reachable over links; kept: the row has that id.
 
     Texts that are null, empty or white have no shingles and no links: each is a component of its own. A null id has a
-    null component_id and is kept, and hands links on like any row. Of rows that repeat an id all are kept or none.
+    null component_id and is kept, and hands links on like any row. Rows that
+    repeat an id are judged each by its own text; mark tells them apart.
     An empty table gives no rows; extra columns are ignored.
     """
     rows = stored(sketches(docs, k, id_col, text_col), "sketches")
@@ -220,9 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, id_col: str
     named = stored(named, "named")
     least = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     by_sig = named.join(least, "comp").select("sig", "component_id")
-    out = rows.select("doc_id", "n_shingles", "sig").join(by_sig, "sig", "left")
+    out = rows.select("doc_id", "mark", "n_shingles", "sig").join(by_sig, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *(["mark"] if marks else []))
 
 
 def class_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -236,8 +241,8 @@ def class_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -
     unnamed = rows.where("min_id IS NULL")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
+        hashes = WordHashes(KEPT_BYTES)
+        for batch in slices(batches, 0, SLICE):
             sig = [xxhash.xxh3_128_digest(shingle_set(words(t), hashes).tobytes()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), batch.column(0)], names=["sig", "text"])
 

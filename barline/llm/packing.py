@@ -13,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.llm.common import places, stored
-from barline.llm.tokens import ChunkEncoder
+from barline.llm.common import places, slices, stored
+from barline.llm.tokens import GROUP, ChunkEncoder
 
 CAPACITY = 4096
 END = 1
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
-        for batch in batches:
+        for batch in slices(batches, 1, GROUP):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
@@ -166,10 +166,15 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
     """(sequence_id, ids, doc_ids): the packed ids themselves, from pieces with ids and their places.
 
-    Pieces are matched by (doc_id, piece), which are unique here; a sequence holds `capacity` ids at most.
+    Pieces are matched by (doc_id, piece, ids_crc32); pieces alike in all three (repeated rows, copies of a mix, null ids)
+    are numbered on both sides, as any of them may take any of their places. A sequence holds `capacity` ids at most. An empty
+    table gives no rows.
     """
-    at = placed.select(F.col("doc_id").alias("_d"), F.col("piece").alias("_p"), "sequence_id", "offset")
-    joined = cut.join(at, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("piece") == F.col("_p")))
+    same = ["doc_id", "piece", "ids_crc32"]
+    turn = F.row_number().over(Window.partitionBy(*same).orderBy("length"))
+    at = placed.withColumn("turn", turn).select(*[F.col(c).alias(f"at_{c}") for c in [*same, "turn"]], "sequence_id", "offset")
+    own = cut.select(*same, "length", "ids").withColumn("turn", turn)
+    joined = own.join(at, F.col("doc_id").eqNullSafe(F.col("at_doc_id")) & (F.col("piece") == F.col("at_piece")) & (F.col("ids_crc32") == F.col("at_ids_crc32")) & (F.col("turn") == F.col("at_turn")))
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
     grouped = joined.groupBy("sequence_id").agg(parts.alias("parts"))
     return grouped.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.col("parts.doc_id").alias("doc_ids"))

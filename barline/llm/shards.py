@@ -145,8 +145,24 @@ def hilbert_shards(
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", max_rows: int = 1_000_000) -> None:
-    """docs as Parquet below path/shard=N, in slot order. Ids are unique here. Large shards are cut into several files."""
-    where = placed.select(F.col("doc_id").alias("_id"), "shard", "slot").withColumn("_run", F.expr(f"slot div {max_rows}"))
-    out = docs.join(where, F.col(id_col) == F.col("_id")).drop("_id")
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 1_000_000) -> None:
+    """docs as Parquet below path/shard=N, in slot order. Large shards are cut into several files.
+
+    Rows are matched by id and crc32 of the text; rows alike in both (repeated rows, null ids) are numbered on both sides, as
+    any of them may take any of their slots: each row is written once. An empty table writes no file. A column of
+    docs named shard or slot is replaced.
+    """
+    alike = ["id_", "crc_", "turn_"]
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    key = docs.select(*names)
+    for a in range(len(alike)):  # names that docs does not have
+        while alike[a] in names:
+            alike[a] += "_"
+    ident, crc, turn = alike
+    number = lambda order: F.row_number().over(Window.partitionBy(ident, crc).orderBy(order))
+    where = placed.select(F.col("doc_id").alias(ident), F.col("text_crc32").alias(crc), "shard", "slot").withColumn(turn, number("slot")).withColumn("_run", F.expr(f"slot div {max_rows}"))
+    own = key.withColumns({ident: F.col(id_col), crc: F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long")}).withColumn(turn, number(F.lit(0)))
+    right = where.select(*[F.col(c).alias(f"{c}r") for c in alike], "shard", "slot", "_run")
+    on = F.col(ident).eqNullSafe(F.col(f"{ident}r")) & (F.col(crc) == F.col(f"{crc}r")) & (F.col(turn) == F.col(f"{turn}r"))
+    out = own.join(right, on).select(*names, "shard", "slot", "_run")
     out.repartition("shard", "_run").sortWithinPartitions("shard", "slot").drop("_run").write.partitionBy("shard").parquet(path)

@@ -6,8 +6,8 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-#: Distinct words whose hashes a task keeps.
-KEPT_WORDS = 1_000_000
+#: Bytes of distinct words (and some 150 more for each) whose hashes a task keeps.
+KEPT_BYTES = 160_000_000
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)]
 
 
@@ -18,9 +18,15 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, each computed once while it is kept."""
 
+    def __init__(self, kept: int = KEPT_BYTES):
+        super().__init__()
+        self.kept, self.size = kept, 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
+        if self.size >= self.kept:
             self.clear()
+            self.size = 0
+        self.size += len(word) + 150
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 

@@ -300,3 +300,44 @@ def test_pipeline_stage_by_stage(spark, tmp_path, docs):
             assert now.agg(F.sum("length")).first()[0] == sum(len(tokens.encode(r.text, add_special_tokens=False).ids) + 1 for r in before)
             sound(now.toPandas(), 4096)
     assert shingles("") == set()
+
+
+def test_groups_of_texts_encode_like_each_text():
+    """Texts of one group, with marks, special tokens and the group's own mark inside."""
+    texts = ["Plain Words, plain.", None, "", "a\0b \0 c", "T\u0308est <|endoftext|> X,y", "naïve café! 12,5", " \t\n"] * 3
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    for group in (texts, [t for t in texts if t and t.isascii() and "\0" not in t and "<" not in t], [t for t in texts if t and "\0" in t]):
+        got = [list(x) for x in ChunkEncoder(packing.tokenizer_path()).encode(group)]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in group]
+
+
+def test_sequences_of_repeated_pieces(spark):
+    """Copies, null ids and different texts under one id come out once each, with the ids of their texts."""
+    texts = [(1, "some words here"), (1, "some words here"), (1, "other words"), (None, "no id"), (None, "no id"), (2, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    cut = packing.pieces(df)
+    got = packing.sequences(cut, packing.pack_documents(df)).collect()
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    want = sorted([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t in texts)
+    flat = [i for r in got for i in r.ids]
+    assert len(flat) == sum(map(len, want)) and sorted(split_ends(flat)) == want
+    assert sorted([d for r in got for d in r.doc_ids], key=repr) == sorted([i for i, _ in texts], key=repr)
+
+
+def split_ends(ids: list[int]) -> list[list[int]]:
+    out: list[list[int]] = [[]]
+    for i in ids:
+        out[-1].append(i)
+        if i == 1:
+            out.append([])
+    return out[:-1]
+
+
+def test_pipeline_dedup_judges_texts_under_one_id_apart(spark):
+    import corpus_pipeline
+
+    texts = [(1, " ".join(f"a{i}" for i in range(30))), (1, " ".join(f"b{i}" for i in range(30))), (1, " ".join(f"b{i}" for i in range(30))), (5, " ".join(f"a{i}" for i in range(30))), (None, "x y"), (None, "x y")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=repr) == sorted([texts[0], texts[1], texts[4], texts[5]], key=repr)
+    assert corpus_pipeline.near_duplicates(spark, df.where("false"), "").count() == 0

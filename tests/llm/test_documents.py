@@ -280,3 +280,35 @@ def test_languages_of_odd_rows(odd, none):
     assert {r.doc_id for r in got if r.lang_pred == "und"} == {2, 3, 4, 7}
     assert langid.identify(none, model).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(none)).collect()} == {"und"}
+
+
+def test_cuts_of_long_texts_change_no_gram():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        text = "".join(rng.choice(list("aéZ \n\t  ßΣ"), rng.integers(1, 80)))
+        whole = np.sort(np.concatenate(list(langid.gram_hashes(text))))
+        plain = " " + " ".join(text.lower().split()) + " "
+        want = np.sort(np.concatenate([langid.hashed(plain, 0)])) if text.split() else None
+        if want is not None:
+            assert np.array_equal(whole, want)
+            for piece in (1, 2, 3, 7, 50):
+                assert np.array_equal(np.sort(np.concatenate(list(langid.gram_hashes(text, piece)))), want)
+
+
+def test_sample_hangs_on_id_and_text(spark):
+    texts = [(None if i % 2 else 7, f"{'der die das' if i % 4 < 2 else 'the of and'} {i}", "de" if i % 4 < 2 else "en") for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=20)
+    assert model.weights.any()
+    got = langid.identify(df, model, keep=["lang"]).select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 380
+
+
+def test_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, "a b c"), (None, "a b c"), (1, "x"), (1, "x"), (1, "y"), (2, None), (2, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "own") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, turn_ string").repartition(3)
+    placed = shards.hilbert_shards(df, shards=3)
+    shards.write_shards(df, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted([(r.doc_id, r.text) for r in back], key=repr) == sorted(rows, key=repr)
+    assert len({(r.shard, r.slot) for r in back}) == len(rows)
