@@ -21,17 +21,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8 or more of five-word shingles): the smallest id.
 
-    Rows without an id stay; of rows that repeat an id one stays.
+    Rows without an id stay. Rows that share an id are judged each by its own text; of those with the same text one stays.
     """
-    found = neardup.near_duplicates(docs, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = neardup.near_duplicates(docs, percent=80, marks=True)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark_gone")).distinct()
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    kept = marked.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_mark") == F.col("_mark_gone")), "left_anti")
     nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_row", nameless).dropDuplicates(["doc_id", "_row"]).select(*COLUMNS)
+    return kept.withColumn("_row", nameless).dropDuplicates(["doc_id", "_mark", "_row"]).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked; n_chars follows the text."""
+    """All documents, their secrets masked; n_chars follows the text. Null texts stay null, repeated rows stay, an empty table stays empty."""
     found = secrets.ledger_scan(docs)
     text = F.when(F.col("text").isNotNull(), secrets.masked("text", "spans"))
     changed = found.withColumn("text", text)
@@ -39,12 +40,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at the square root of their share, as many documents as before on average, in shuffled order."""
+    """Sources at the square root of their share, as many documents as before on average, in shuffled order.
+
+    A null source is a source of its own; null ids share one draw; repeated rows draw alike; an empty table stays empty.
+    """
     return mixing.poisson_mix(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all documents in sequences of 4096 tokens."""
+    """Places of all pieces of all documents in sequences of 4096 tokens. Null and empty texts are one end token; repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
