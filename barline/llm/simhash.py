@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import slices, stored
+from barline.llm.common import partitions, slices, stored
 from barline.llm.neardup import components
 from barline.llm.shingles import words
 
@@ -32,6 +32,8 @@ SEGMENTS = 32
 EVEN = 0x5555555555555555
 #: Chance that one segment of two random fingerprints has the same bit count: (1 + 4 + 1) / 16.
 SAME = 0.375
+#: Bands at least: up to some six million fingerprints a cell is shared by chance by less than one other.
+LEAST_BANDS = 8
 #: Shingles whose bits are added up at once.
 AT_ONCE = 65_536
 
@@ -82,7 +84,7 @@ def manhattan(x: Column, y: Column) -> Column:
 def band_count(nodes: int, radius: int) -> int:
     """The least number of bands whose cells are so fine that a node meets about one other by chance."""
     wanted = min(log(max(nodes, 2)) / -log(SAME), SEGMENTS / 2 + radius)
-    bands = radius + 1
+    bands = max(LEAST_BANDS, radius + 1)
     while SEGMENTS * (bands - radius) / bands < wanted:
         bands += 1
     return bands
@@ -101,10 +103,11 @@ def links(nodes: DataFrame, radius: int, bands: int | None = None) -> DataFrame:
     bands = bands or band_count(nodes.count(), radius)
     vector = embedded(F.col("fp"))
     cells = F.posexplode(F.array(*[vector.bitwiseAND(F.lit(m)) for m in cell_masks(bands, radius)])).alias("grid", "cell")
-    placed = nodes.select("fp", "copies", cells)
+    # nodes are few bytes, their cells are many: dealt out before they multiply
+    placed = nodes.repartition(partitions(nodes.sparkSession)).select("fp", "copies", cells)
     turn = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), F.col("fp")), F.col("fp")))["fp"]
     ends = placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("copies", "fp"))["fp"].alias("p0"), turn(1).alias("p1"), turn(2).alias("p2"))
-    ends = stored(ends.where("members > 1").select("grid", "cell", F.array_distinct(F.array("p0", "p1", "p2")).alias("pivots")), "cells")
+    ends = stored(ends.where("members > 1").select("grid", "cell", "members", F.array_distinct(F.array("p0", "p1", "p2")).alias("pivots")), "cells")
     member = stored(placed.select("grid", "cell", "fp").join(ends, ["grid", "cell"]), "members")
 
     within = lambda a, b: (manhattan(embedded(F.col(a)), embedded(F.col(b))) <= radius) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius)
@@ -113,7 +116,9 @@ def links(nodes: DataFrame, radius: int, bands: int | None = None) -> DataFrame:
 
     labels = stored(components(first), "labels")
     sized = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp").select(F.col("node").alias("fp"), "comp", "size")
-    named = member.select("grid", "cell", "fp").join(sized, "fp", "left").select("grid", "cell", "fp", F.coalesce("comp", "fp").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    # with one member beside its pivots at most, every pair of a cell has been compared
+    crowded = member.where(F.col("members") - F.size("pivots") > 1)
+    named = crowded.select("grid", "cell", "fp").join(sized, "fp", "left").select("grid", "cell", "fp", F.coalesce("comp", "fp").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
     named = stored(named, "named")
     main = named.groupBy("grid", "cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
     main = stored(main.where("x <> y").select("grid", "cell", "main"), "open")
