@@ -23,6 +23,28 @@ def write_panel(df: DataFrame, path: str, by: str = "year", fmt: str = "parquet"
         writer.format(fmt).save(path)
 
 
+def store_by_symbol(df: DataFrame, path: str, name: str, buckets: int | None = None) -> DataFrame:
+    """df as a table bucketed by symbol and sorted by (symbol, date), one file a bucket; returns the stored table.
+
+    Windows along a symbol read it without an exchange, joins by symbol with a table of as many buckets too. Rows are dealt
+    once, by the hash that the buckets use. buckets: the session's shuffle partitions unless given; a bucket is what
+    one task reads, so large panels want more of them. An existing table of that name is replaced. Rows without a symbol share a
+    bucket; an empty table gives an empty table.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [c for c in ("symbol", "date") if c in df.columns]
+    dealt = df.repartition(n, "symbol").sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").format("parquet").bucketBy(n, "symbol").sortBy(*order).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_by_symbol(spark: SparkSession, path: str, name: str, schema: str, buckets: int) -> DataFrame:
+    """A table that ``store_by_symbol`` wrote at path in another session, with its layout. schema and buckets must be those it was written with."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY (symbol) SORTED BY (symbol, date) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_result_doc(ret: DataFrame, metrics: DataFrame, path: str, run: str = "run") -> None:
     """JSON lines, one for each variant of a run: its dates, daily returns and metrics.
 

@@ -474,3 +474,20 @@ def test_nan_is_never_picked_nor_ranked(spark):
     df = spark.createDataFrame(data, "date date, symbol string, score double, label double")
     assert rows(select.top_k(df, 2), "symbol") == [("D",), ("E",)]
     assert rows(evaluate.rank_ic(df, "score", "label", ["date"]), "n", "rank_ic") == [(3, pytest.approx(1.0))]
+
+
+def test_window_moments_equal_folded_windows(bars_of):
+    """Frame aggregates against array folds: short symbols, constant prices, values beyond the clip."""
+    ds = days(30)
+    noisy = [(d, 10.0 + i % 7, 12.0 + i % 5, 9.0, 10.0 + (i * 37) % 11, 1000.0 * (i % 4), 5.0) for i, d in enumerate(ds)]
+    noisy[20] = (ds[20], 1e9, 1e9, 1.0, 1e9, 1e12, 5.0)
+    b = bars_of({"A": noisy, "B": flat_bars(ds), "C": flat_bars(ds[:5])})
+    folded = windows.normalise_window(windows.sliding_windows(b, 10), 7, clip=3.0)
+    framed = windows.normalised_windows(b, 10, 7, clip=3.0)
+    key = lambda r: (r.symbol, r.start_date)
+    want, got = sorted(folded.collect(), key=key), sorted(framed.collect(), key=key)
+    assert [key(r) for r in got] == [key(r) for r in want] and len(got) == 42
+    for x, y in zip(got, want):
+        assert x.stats.asDict() == pytest.approx(y.stats.asDict(), rel=1e-9, abs=1e-6)
+        for p, q in zip(x.win, y.win):
+            assert p.date == q.date and p[1:] == pytest.approx(q[1:], rel=1e-6, abs=1e-3)

@@ -12,6 +12,7 @@ from tests.conftest import days, flat_bars, rows
 from barline.functions.groups import best_k
 from barline.operators import features, labels, scores
 from barline.operators.windows import contexts
+from barline.operators import windows as win_ops
 from barline.sources import bars as src
 from barline.sources import sinks
 from barline.streaming import bars as live
@@ -43,6 +44,28 @@ def test_features_labels_and_windows_share_one_shuffle(spark, bars_of, tmp_path)
     assert plan(features.technical_features(bars)).count("Exchange hashpartitioning") == 1
 
 
+def test_a_panel_stored_by_symbol_needs_no_exchange(spark, bars_of, tmp_path):
+    rows_ = {s: flat_bars(days(100, "2020-01-01"), price=10.0 + i) for i, s in enumerate("ABCDE")}
+    rows_["E"] = rows_["E"][:30]
+    by_symbol = sinks.store_by_symbol(bars_of(rows_), str(tmp_path / "layout"), "layout_a", buckets=4)
+    again = sinks.open_by_symbol(spark, str(tmp_path / "layout"), "layout_b", src.BAR_SCHEMA, 4)
+    usual = bars_of(rows_)
+    for stored_ in (by_symbol, again):
+        assert stored_.count() == 430
+        assert "Exchange" not in plan(features.technical_features(stored_))
+        assert "Exchange" not in plan(labels.forward_open_return(stored_, 5))
+        assert "Exchange" not in plan(labels.own_path(stored_, 5))
+        assert "Exchange" not in plan(win_ops.normalised_windows(stored_, 10, 5))
+        assert sorted(features.technical_features(stored_).collect()) == sorted(features.technical_features(usual).collect())
+    # bars are read by bucket, the reference dates alone are dealt out
+    refs = usual.select("symbol", "date").where("date = '2020-02-03'")
+    path = labels.actual_path(by_symbol, refs, 3)
+    assert not [line for line in plan(path).split("\n") if "Exchange" in line and "close" in line]
+    assert sorted(path.collect()) == sorted(labels.actual_path(usual, refs, 3).collect())
+    empty = sinks.store_by_symbol(usual.where("false"), str(tmp_path / "none"), "layout_none", buckets=4)
+    assert empty.count() == 0
+
+
 def test_features_are_pruned_to_the_ones_used(spark, bars_of, tmp_path):
     bars = src.open_panel(spark, stored(bars_of, tmp_path))
     text = plan(features.technical_features(bars).select("symbol", "date", "feat_ma5_dist"))

@@ -292,6 +292,9 @@ cte(
 )
 
 
+LOCAL_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder for tables written by a query, below the cluster's shared folder.
 
@@ -301,8 +304,9 @@ def scratch(spark: SparkSession) -> str:
     if not shared:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not LOCAL_SCRATCH:
+            LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="spark-"))
+        shared = LOCAL_SCRATCH[0]
     return f"{shared.rstrip('/')}/panel-{uuid.uuid4().hex}"
 
 

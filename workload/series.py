@@ -121,7 +121,7 @@ def _norm(c: str, k: int) -> str:
     ),
 )
 def _(spark, sf):
-    w = win.normalise_window(win.sliding_windows(bars(spark, sf), 100), 90, clip=2.0)
+    w = win.normalised_windows(bars(spark, sf), 100, 90, clip=2.0)
     at = lambda i, c: F.get("win", F.lit(i))[c]
     return rounded(
         w.select(

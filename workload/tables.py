@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from barline.operators import calendar as cal_ops
 from barline.operators import clean
+from barline.operators import features as feat
+from barline.operators import labels as lab
 from barline.sources import bars as src
 from barline.sources import parsing, sinks
 from workload.base import (
@@ -179,6 +181,29 @@ def _(spark, sf):
     return rounded(back, 4)
 
 
+@query(
+    "panel_by_symbol",
+    sql(
+        f"""SELECT b.symbol, b.date, round(f.feat_ma5_dist, 6) AS feat_ma5_dist, round(f.feat_vol_10, 6) AS feat_vol_10, round(f.feat_volume_trend, 6) AS feat_volume_trend,
+  round(l.label, 6) AS label, count(*) OVER (PARTITION BY b.symbol) AS n_bars
+  FROM bars b JOIN features f ON b.symbol = f.symbol AND b.date = f.date JOIN labels5 l ON b.symbol = l.symbol AND b.date = l.date"""
+    ),
+)
+def _(spark, sf):
+    """Stored once by symbol; features, labels and counts then read it without another exchange."""
+    folder = scratch(spark)
+    stored = sinks.store_by_symbol(bars(spark, sf), folder + "/by_symbol", "panel_" + folder.rpartition("-")[2])
+    return rounded(by_symbol(stored))
+
+
+def by_symbol(stored):
+    from pyspark.sql import Window
+
+    feats = feat.volume_trend(feat.volatility(feat.ma_dist(lab.forward_open_return(stored, 5), 5), 10))
+    counted = feats.withColumn("n_bars", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    return counted.select("symbol", "date", "feat_ma5_dist", "feat_vol_10", "feat_volume_trend", "label", "n_bars")
+
+
 @query("history_cutoff", sql(f"SELECT {BAR6} FROM bars WHERE date >= (SELECT max(date) FROM bars) - 730"))
 def _(spark, sf):
     return rounded(src.history_cutoff(bars(spark, sf), 2))
