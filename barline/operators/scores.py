@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.functions.expr import BAR_FIELDS, change, ratio, std
-from barline.functions.groups import GROUP_LIMIT, average_rank, place_up, with_ranks
+from barline.functions.expr import BAR_FIELDS, change, is_finite, pearson, ratio, std
+from barline.functions.groups import GROUP_LIMIT, average_rank, hot_groups, place_up, with_ranks
 from barline.operators.calendar import numbered
 from barline.operators.labels import calendar_forward_return
 
@@ -192,6 +193,81 @@ def rank_target(panel: DataFrame, limit: int | None = GROUP_LIMIT) -> DataFrame:
     return ranked.withColumn("target", target).drop("label_rk")
 
 
+def tree_prefix_scores(rows: DataFrame, model: GBTRegressionModel, out: str = "prefixes") -> DataFrame:
+    """``out`` holds the score by the first 1, 2, .. trees, so that every tree is walked once for all prefixes.
+
+    Spark ML walks the trees and names the leaf of each; its value is looked up in Arrow batches and summed along the trees.
+    ``rows`` carry the vector ``features``. A missing feature goes right at every split, as in Spark ML.
+    """
+    values = [w * np.array(_leaves(tree)) for tree, w in zip(model.trees, model.treeWeights)]
+    first = np.concatenate([[0], np.cumsum([len(v) for v in values])[:-1]]).astype(int)
+    flat = np.concatenate(values)
+
+    @F.pandas_udf("array<double>")
+    def running(leaf: pd.Series) -> pd.Series:
+        if leaf.empty:
+            return leaf
+        return pd.Series(list(np.cumsum(flat[first + np.stack(leaf.to_numpy()).astype(int)], axis=1)))
+
+    walked = model.copy({model.leafCol: "_leaf", model.predictionCol: "_whole"}).transform(rows)
+    return walked.withColumn(out, running(vector_to_array("_leaf"))).drop("_leaf", "_whole")
+
+
+def _leaves(tree) -> list[float]:
+    """Leaf values from left to right, the order in which Spark ML numbers them."""
+    return [float(line.split("Predict:")[1]) for line in tree.toDebugString.splitlines() if "Predict:" in line]
+
+
+def prefix_metrics(rows: DataFrame, model: GBTRegressionModel, min_n: int = 3, limit: int | None = GROUP_LIMIT) -> DataFrame:
+    """(trees, n_dates, rank_ic): the mean rank IC over dates of every tree prefix, in one job.
+
+    The label is ranked once for each date, not once for each prefix. A prefix that scores all rows of a date alike has no
+    IC there. A row with a NULL, NaN or infinite label takes no part.
+    """
+    wanted = rows.where(is_finite("label")).select("date", "symbol", "label", "features")
+    hot = hot_groups(wanted, ["date"], limit)
+    ranked = with_ranks(wanted, ["date"], ["label"], limit=limit, hot=hot)
+    long = tree_prefix_scores(ranked.withColumn("_actual", average_rank("label")), model).select(
+        "date", "symbol", "_actual", F.posexplode("prefixes").alias("_tree", "score")
+    )
+    by = ["date", "_tree"]
+    if hot is not None:  # a date has as many rows in every prefix
+        hot = hot.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(model.getNumTrees - 1))))
+    scored = with_ranks(long, by, ["score"], limit=limit, hot=hot)
+    daily = scored.groupBy(*by).agg(pearson(average_rank("score"), F.col("_actual"), min_n).alias("rank_ic"))
+    figures = daily.groupBy((F.col("_tree") + 1).alias("trees"))
+    return figures.agg(F.count("rank_ic").alias("n_dates"), F.avg("rank_ic").alias("rank_ic"))
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first ``n`` trees, with the same columns."""
+    if n >= model.getNumTrees:
+        return model
+    sc = SparkContext.getOrCreate()
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(model.trees[:n], model.treeWeights)):
+        trees[i], weights[i] = tree._java_obj, float(weight)
+    cut = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, trees, weights)
+    cut.set(cut.featuresCol(), model.getFeaturesCol())
+    cut.set(cut.predictionCol(), model.getPredictionCol())
+    return GBTRegressionModel(cut)
+
+
+def best_prefix(trace: list[float | None], patience: int) -> tuple[int, bool]:
+    """Prefix with the highest figure up to the first tree after which ``patience`` trees brought nothing better, and whether that was reached.
+
+    The first of equal figures counts; None and NaN never improve. Without any figure the first tree is kept.
+    """
+    best, at = -math.inf, 0
+    for n, value in enumerate(trace, 1):
+        if value is not None and value > best:
+            best, at = value, n
+        if n - max(at, 1) >= patience:
+            return max(at, 1), True
+    return max(at, 1), False
+
+
 def fit_ranker(
     panel: DataFrame,
     cols: list[str],
@@ -202,33 +278,44 @@ def fit_ranker(
     max_bins: int = 64,
     seed: int = 42,
     k: int = 10,
+    patience: int = 20,
 ) -> tuple[GBTRegressionModel, dict]:
     """Boosted trees on the per-date rank of the label; ``val`` marks the validation dates.
 
-    An action: it trains. Returns the model and a summary.
+    The number of trees is chosen by the mean rank IC of the validation dates: growing ends once ``patience`` trees in a row did not
+    beat the best prefix, ``rounds`` trees at most, and the best prefix is kept. Boosting is deterministic, so it runs over
+    2 * patience trees first and over twice as many while the choice is still open: the result is that of one tree at a time.
+    An action: it trains. Returns the model and a summary with the IC of every prefix looked at (``trace``).
     """
     from barline.operators.evaluate import select_metric
 
     rows = assemble_features(rank_target(panel.where(F.col("label").isNotNull())).withColumn("is_val", val), cols)
     # trees read the rows many times; what does not fit in memory goes to local disk, what is lost is recomputed
     train = rows.select("date", "symbol", "label", "target", "is_val", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    gbt = GBTRegressor(
-        featuresCol="features",
-        labelCol="target",
-        validationIndicatorCol="is_val",
-        maxDepth=depth,
-        stepSize=eta,
-        maxIter=rounds,
-        maxBins=max_bins,
-        validationTol=1e-4,
-        subsamplingRate=1.0,
-        seed=seed,
-    )
-    model = gbt.fit(train)
-    scored = model.transform(train.where("is_val")).withColumnRenamed("prediction", "score")
+    held = train.where("is_val")
+    grown, done = min(rounds, 2 * patience), False
+    while not done:
+        gbt = GBTRegressor(
+            featuresCol="features",
+            labelCol="target",
+            maxDepth=depth,
+            stepSize=eta,
+            maxIter=grown,
+            maxBins=max_bins,
+            subsamplingRate=1.0,
+            seed=seed,
+        )
+        model = gbt.fit(train.where("NOT is_val"))
+        figures = {r["trees"]: r["rank_ic"] for r in prefix_metrics(held, model).collect()}
+        trace = [figures.get(n) for n in range(1, model.getNumTrees + 1)]
+        best, settled = best_prefix(trace, patience)
+        done = settled or grown >= rounds
+        grown = min(rounds, 2 * grown)
+    model = first_trees(model, best)
+    scored = model.transform(held).withColumnRenamed("prediction", "score")
     counts = train.groupBy("is_val").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("date").alias("dates")).collect()
     summary = {("val" if r["is_val"] else "train"): {"rows": r["rows"], "dates": r["dates"]} for r in counts}
-    summary["n_trees"] = model.getNumTrees
+    summary |= {"n_trees": model.getNumTrees, "trace": trace}
     for metric in ("rank_ic", "top_k_excess", "ndcg"):
         summary[metric] = select_metric(scored, metric, k).first()["value"]
     train.unpersist()

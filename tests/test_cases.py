@@ -444,18 +444,60 @@ def test_ranker_scores_walk_its_trees(spark):
         assert r.score_full == pytest.approx(sum(each)) and r.score_half == pytest.approx(sum(each[: len(each) // 2]))
 
 
-def test_registered_ranker_trains_all_rounds_on_all_features(spark, monkeypatch):
-    seen, fit = [], scores.GBTRegressor
-
-    def watched(**kw):
-        seen.append(kw)
-        return fit(**{**kw, "maxIter": 1})
-
-    monkeypatch.setattr(scores, "GBTRegressor", watched)
+def test_tree_prefixes_add_up_along_the_trees(spark):
+    rng = np.random.default_rng(2)
+    data = [(d, f"S{i}", x, noise, x + noise) for d in days(8) for i in range(12) for x, noise in [map(float, rng.normal(size=2))]]
+    data += [(days(8)[2], "null", None, 0.1, 0.0), (days(8)[3], "nan", float("nan"), 0.1, float("nan"))]
+    panel = spark.createDataFrame(data, "date date, symbol string, feat_x double, feat_n double, label double")
+    cols = ["feat_x", "feat_n"]
+    gbt = scores.GBTRegressor(featuresCol="features", labelCol="label", maxDepth=3, maxIter=5, stepSize=0.3, seed=1)
+    model = gbt.fit(scores.assemble_features(panel.where("feat_x IS NOT NULL AND NOT isnan(feat_x)"), cols))
+    roots = [(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights)]
+    ready = scores.assemble_features(panel, cols)
+    got = {(r.date, r.symbol): r.prefixes for r in scores.tree_prefix_scores(ready, model).collect()}
+    assert len(got) == len(data)
+    for d, symbol, x, noise, _ in data:
+        each = [w * _walk(root, [float("nan") if x is None else x, noise]) for root, w in roots]
+        assert got[d, symbol] == pytest.approx(list(np.cumsum(each)))
+    whole = {}
+    for n in range(1, 6):
+        cut = scores.first_trees(model, n)
+        assert cut.getNumTrees == n
+        whole[n] = cut.transform(ready).withColumnRenamed("prediction", "score")
+        assert {(r.date, r.symbol): pytest.approx(r.score) for r in whole[n].collect()} == {k: v[n - 1] for k, v in got.items()}
+    for limit in (5, scores.GROUP_LIMIT):
+        figures = {r.trees: (r.n_dates, r.rank_ic) for r in scores.prefix_metrics(ready, model, limit=limit).collect()}
+        assert figures == {n: (8, pytest.approx(evaluate.select_metric(rows_, "rank_ic").first().value)) for n, rows_ in whole.items()}
+    assert scores.prefix_metrics(ready.where("false"), model).count() == 0
+
+
+def test_best_prefix_is_the_first_best_before_patience_ends():
+    nan = float("nan")
+    assert scores.best_prefix([0.1, 0.3, 0.2, 0.3, 0.9], 2) == (2, True)
+    assert scores.best_prefix([0.1, 0.3, 0.2, 0.4], 2) == (4, False)
+    assert scores.best_prefix([None, nan, 0.1], 3) == (3, False)
+    assert scores.best_prefix([None, nan, None], 2) == (1, True)
+    assert scores.best_prefix([], 2) == (1, False)
+
+
+def test_ranker_growth_by_doubling_equals_one_tree_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    data = [(d, f"S{i}", x, noise, x * x + 0.3 * noise) for d in days(30) for i in range(15) for x, noise in [map(float, rng.normal(size=2))]]
+    panel = spark.createDataFrame(data, "date date, symbol string, x double, noise double, label double")
+    val = F.col("date") >= F.lit(days(30)[20])
+    short, figures = scores.fit_ranker(panel, ["x", "noise"], val, rounds=12, eta=0.3, depth=2, patience=2)
+    long, whole = scores.fit_ranker(panel, ["x", "noise"], val, rounds=12, eta=0.3, depth=2, patience=12)
+    want, _ = scores.best_prefix(whole["trace"], 2)
+    assert len(whole["trace"]) == 12 and figures["n_trees"] == want == short.getNumTrees > 1
+    assert figures["trace"] == pytest.approx(whole["trace"][: len(figures["trace"])])
+    assert figures["rank_ic"] == pytest.approx(whole["trace"][want - 1])
+    assert [t.toDebugString.split("\n", 1)[1] for t in short.trees] == [t.toDebugString.split("\n", 1)[1] for t in long.trees[:want]] or want > long.getNumTrees
+
+
+def test_registered_ranker_scores_every_validation_row(spark):
+    assert len(ranking.RANKER_COLS) == 26
     sf = "/root/testdata/sf0.001"
-    base.QUERIES["fit_ranker"](spark, sf)
     out = base.QUERIES["score_ranker"](spark, sf)
-    assert [kw["maxIter"] for kw in seen] == [200, 200] and len(ranking.RANKER_COLS) == 26
     want = ranking.labelled(spark, sf).where(ranking.VALIDATE).count()
     assert out.count() == want and out.where("score_full IS NULL OR score_half IS NULL").count() == 0
 

@@ -207,6 +207,15 @@ def _(spark, sf):
     return rounded(tree_scores(labelled(spark, sf).where(VALIDATE).select("date", "symbol", "label", *cols), model, cols))
 
 
+cte(
+    "two_trees",
+    f"""SELECT f.date, f.symbol, label, unnest([1, 2]) AS trees, unnest([CASE WHEN feat_momentum_20 <= 0.01 THEN 0.5 ELSE 2.5 END,
+  CASE WHEN feat_momentum_20 <= 0.01 THEN 0.5 ELSE 2.5 END + CASE WHEN feat_ma5_dist <= 0.02 THEN -0.5 ELSE 0.5 END]) AS score
+  FROM features f JOIN labels5 l ON f.symbol = l.symbol AND f.date = l.date WHERE label IS NOT NULL AND f.{VALIDATE}""",
+)
+cte("two_tree_ranks", f"SELECT date, trees, {rank_sql('score', 'date, trees')} AS rs, {rank_sql('label', 'date, trees')} AS rl FROM two_trees")
+
+
 cte(
     "spearman",
     f"""SELECT date, symbol, score, label, {rank_sql('score')} AS rs, {rank_sql('label')} AS rl,
@@ -220,6 +229,23 @@ def corr_sql(x: str, y: str, min_n: int = 3) -> str:
 
 
 cte("ics", f"SELECT date, count(*) AS n, {corr_sql('rs', 'rl')} AS rank_ic FROM spearman GROUP BY date")
+
+
+@query(
+    "tree_prefix_metrics",
+    sql(
+        f"""SELECT trees, count(rank_ic) AS n_dates, round(avg(rank_ic), 6) AS rank_ic
+  FROM (SELECT date, trees, {corr_sql('rs', 'rl')} AS rank_ic FROM two_tree_ranks GROUP BY date, trees) GROUP BY trees"""
+    ),
+)
+def _(spark, sf):
+    """Mean rank IC of each prefix of the two known trees over the validation panel, the figure by which fit_ranker chooses."""
+    model, cols = small_trees(spark)
+    panel = labelled(spark, sf).where(VALIDATE).select("date", "symbol", "label", *cols)
+    figures = sc.prefix_metrics(sc.assemble_features(panel, cols), model)
+    return rounded(figures.select(F.col("trees").cast("int").alias("trees"), "n_dates", "rank_ic"))
+
+
 cte(
     "excess",
     f"SELECT date, max(n) AS n, avg(label) FILTER (place <= {K}) AS top_mean, avg(label) AS universe_mean FROM spearman GROUP BY date HAVING max(n) >= {K}",
