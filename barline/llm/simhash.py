@@ -110,8 +110,10 @@ def links(nodes: DataFrame, radius: int, bands: int | None = None) -> DataFrame:
     ends = stored(ends.where("members > 1").select("grid", "cell", "members", F.array_distinct(F.array("p0", "p1", "p2")).alias("pivots")), "cells")
     member = stored(placed.select("grid", "cell", "fp").join(ends, ["grid", "cell"]), "members")
 
-    within = lambda a, b: (manhattan(embedded(F.col(a)), embedded(F.col(b))) <= radius) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius)
-    near = member.select(F.col("fp").alias("a"), F.explode("pivots").alias("b")).where("a <> b").where(within("a", "b"))
+    within = lambda a, b: (manhattan(embedded(a), embedded(b)) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
+    # most members of a cell meet by chance: pivots are filtered and verified where they lie, only links become rows
+    linked = F.filter("pivots", lambda p: (p != F.col("fp")) & within(F.col("fp"), p))
+    near = member.select(F.col("fp").alias("a"), F.explode(linked).alias("b"))
     first = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
     labels = stored(components(first), "labels")
@@ -126,7 +128,7 @@ def links(nodes: DataFrame, radius: int, bands: int | None = None) -> DataFrame:
     left = opened.where("comp <> main").select("grid", "cell", F.col("fp").alias("a"), F.col("comp").alias("comp_a"))
     right = opened.select("grid", "cell", F.col("fp").alias("b"), F.col("comp").alias("comp_b"), "main")
     # of two members outside the largest component one order is enough
-    rest = left.join(right, ["grid", "cell"]).where("comp_a <> comp_b AND (comp_b = main OR a < b)").where(within("a", "b"))
+    rest = left.join(right, ["grid", "cell"]).where("comp_a <> comp_b AND (comp_b = main OR a < b)").where(within(F.col("a"), F.col("b")))
     return first.unionByName(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
