@@ -26,21 +26,24 @@ def _average(value: str) -> Column:
     return F.when(F.count("weight") > 0, weighted).otherwise(F.avg(value))
 
 
+def close_periods(sched: DataFrame, on: str = "exec_date") -> DataFrame:
+    """(variant, set_date, end_date) from each rebalance date to the next; the last one opens no period."""
+    w = Window.partitionBy("variant").orderBy(on)
+    return sched.select("variant", F.col(on).alias("set_date"), F.lead(on).over(w).alias("end_date")).where("end_date is not null")
+
+
 def close_to_close_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, on: str = "exec_date") -> tuple[DataFrame, DataFrame]:
     """Period and daily returns when trading at the close of the rebalance dates.
 
     A period runs from one date to the next, both included. Daily returns fall on the days after the first,
     so periods never share a day. A period without any priced holding returns 0.
     """
-    w = Window.partitionBy("variant").orderBy(on)
-    periods = sched.select("variant", F.col(on).alias("set_date"), F.lead(on).over(w).alias("end_date")).where("end_date is not null")
+    periods = close_periods(sched, on)
     sets = _weighted(hold).withColumnRenamed("exec_date", "set_date").join(F.broadcast(periods), ["variant", "set_date"])
-    held = range_join(bars.select("symbol", "date", "close"), sets, "date", "set_date", "end_date", 32, on=["symbol"])
     own = ["variant", "set_date", "symbol"]
-    step = change("close", F.lag("close").over(Window.partitionBy(*own).orderBy("date")))
-    moves = held.withColumn("ret", step)
+    moves = close_moves(bars, sets, own[:2])
     daily = moves.where(F.col("ret").isNotNull()).groupBy("variant", "date").agg(_average("ret").alias("ret")).where("ret is not null")
-    per_symbol = held.groupBy(*own).agg(
+    per_symbol = moves.groupBy(*own).agg(
         change(F.max_by("close", "date"), F.min_by("close", "date")).alias("ret"), F.count("close").alias("_n"), F.max("weight").alias("weight")
     ).where("_n >= 2")
     per_set = per_symbol.groupBy("variant", "set_date").agg(_average("ret").alias("ret"))
@@ -85,26 +88,18 @@ def return_legs(sched: DataFrame, cal: DataFrame) -> DataFrame:
     return exploded.select("variant", "set_date", "first", "day", "_l.*")
 
 
-def next_open_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, cal: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Period and daily returns when trading at the open of the execution dates.
-
-    An execution day compounds the old set's gap and the new set's day, and is left out unless both exist.
-    A symbol without a price on either end of a leg does not count for it. Nothing follows the last
-    execution day but its own day leg.
-    """
-    asked = return_legs(sched, cal).join(_weighted(hold).withColumnRenamed("exec_date", "set_date"), ["variant", "set_date"])
+def priced_legs(bars: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (symbol, leg, num_date, den_date, ..) with ``ret``; rows without a price on either end are gone."""
     quotes = bars.select("symbol", "date", "open", "close")
     num = quotes.select("symbol", F.col("date").alias("num_date"), F.col("open").alias("num_open"), F.col("close").alias("num_close"))
     den = quotes.select("symbol", F.col("date").alias("den_date"), F.col("open").alias("den_open"), F.col("close").alias("den_close"))
     top = F.when(F.col("leg").isin("gap", "period"), F.col("num_open")).otherwise(F.col("num_close"))
     bottom = F.when(F.col("leg").isin("open", "period"), F.col("den_open")).otherwise(F.col("den_close"))
-    priced = asked.join(num, ["symbol", "num_date"]).join(den, ["symbol", "den_date"]).withColumn("ret", change(top, bottom))
-    per_leg = (
-        priced.where(F.col("ret").isNotNull())
-        .groupBy("variant", "set_date", "day", "leg", "first")
-        .agg(_average("ret").alias("ret"))
-        .where("ret is not null")
-    )
+    return asked.join(num, ["symbol", "num_date"]).join(den, ["symbol", "den_date"]).withColumn("ret", change(top, bottom))
+
+
+def compound_legs(per_leg: DataFrame) -> DataFrame:
+    """Daily returns (variant, date, ret) from the mean return of each (variant, set_date, day, leg, first)."""
     value = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("ret")))
     by_day = per_leg.where("leg <> 'period'").groupBy("variant", "day").agg(
         value("open").alias("_open"),
@@ -115,7 +110,46 @@ def next_open_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, cal: D
     both = (F.lit(1.0) + F.col("_gap")) * (F.lit(1.0) + F.col("_open")) - F.lit(1.0)
     # a day between executions has only a mid leg, an execution day only open and gap
     ret = F.coalesce("_mid", F.when(F.col("_first"), F.col("_open")), both)
-    daily = by_day.select("variant", F.col("day").alias("date"), ret.alias("ret")).where("ret is not null")
+    return by_day.select("variant", F.col("day").alias("date"), ret.alias("ret")).where("ret is not null")
+
+
+def prefix_means(rows: DataFrame, keys: list[str], k_max: int) -> DataFrame:
+    """(keys.., place, ret): the mean of ``ret`` over the places 1..place, for every place up to ``k_max``.
+
+    rows (keys.., place, ret) hold a place at most once for each key; a place without a return counts for nothing, and
+    places before the first return have no row. One shuffle by the keys, ``k_max`` rows a group at most. NULL returns
+    are left out; an empty table gives no rows.
+    """
+    w = Window.partitionBy(*keys).orderBy("place")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = rows.where("ret is not null").select(
+        *keys, "place", F.avg("ret").over(upto).alias("ret"), (F.coalesce(F.lead("place").over(w), F.lit(k_max + 1)) - 1).alias("_until")
+    )
+    return steps.select(*keys, F.explode(F.sequence("place", "_until")).alias("place"), "ret")
+
+
+def close_moves(bars: DataFrame, sets: DataFrame, own: list[str]) -> DataFrame:
+    """Daily moves of held symbols: sets (own.., symbol, set_date, end_date) with date and ``ret``, NULL on a first day."""
+    held = range_join(bars.select("symbol", "date", "close"), sets, "date", "set_date", "end_date", 32, on=["symbol"])
+    return held.withColumn("ret", change("close", F.lag("close").over(Window.partitionBy(*own, "symbol").orderBy("date"))))
+
+
+def next_open_returns(bars: DataFrame, hold: DataFrame, sched: DataFrame, cal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Period and daily returns when trading at the open of the execution dates.
+
+    An execution day compounds the old set's gap and the new set's day, and is left out unless both exist.
+    A symbol without a price on either end of a leg does not count for it. Nothing follows the last
+    execution day but its own day leg.
+    """
+    asked = return_legs(sched, cal).join(_weighted(hold).withColumnRenamed("exec_date", "set_date"), ["variant", "set_date"])
+    per_leg = (
+        priced_legs(bars, asked)
+        .where(F.col("ret").isNotNull())
+        .groupBy("variant", "set_date", "day", "leg", "first")
+        .agg(_average("ret").alias("ret"))
+        .where("ret is not null")
+    )
+    daily = compound_legs(per_leg)
     w = Window.partitionBy("variant").orderBy("exec_date")
     sets = sched.select("variant", F.col("exec_date").alias("date"), F.lead("exec_date").over(w).alias("_next"))
     whole = per_leg.where("leg = 'period'").select("variant", F.col("day").alias("date"), "ret")

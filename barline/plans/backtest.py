@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from barline.functions.groups import best_k
 from barline.operators.calendar import schedule
-from barline.operators.portfolio import benchmark_returns, close_to_close_returns, next_open_returns, performance
+from barline.operators.portfolio import (
+    benchmark_returns,
+    close_moves,
+    close_periods,
+    close_to_close_returns,
+    compound_legs,
+    next_open_returns,
+    performance,
+    prefix_means,
+    priced_legs,
+    return_legs,
+)
 from barline.operators.scores import aligned, zscore_by_date
 from barline.operators.select import holdings
 
@@ -76,19 +87,38 @@ def parameter_table(spark: SparkSession, params: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(full)], PARAMS)
 
 
-def sweep_holdings(curves: DataFrame, sched: DataFrame, params: DataFrame, k_max: int) -> tuple[DataFrame, DataFrame]:
-    """(variant, ...) schedule and holdings for each row of a parameter table.
+ORDER = ["hold", "rank_h", "set_date"]
 
-    The panel is ranked once per (date, horizon) down to the largest k. A threshold keeps a prefix of that
-    order, so each variant is a filter on the few ranked rows. Parameter rows come from the caller's code, a schedule
-    has at most a row a day: both are broadcast.
+
+def sweep_orders(curves: DataFrame, sched: DataFrame, params: DataFrame, k_max: int) -> tuple[DataFrame, DataFrame]:
+    """The ranked symbols of each (hold, rank_h, set_date) down to ``k_max``, and how many of them each variant holds.
+
+    The panel is ranked once per (date, horizon). top_k and threshold both keep a prefix of that order, so a variant is one
+    number a date: ``place``, its last place. Parameter rows come from the caller's code, a schedule has at most a row a
+    day: their product is broadcast. Variants that hold nothing on a date have no row there.
     """
-    plan = sched.withColumnRenamed("variant", "hold").join(F.broadcast(params), "hold")
-    wanted = F.broadcast(plan.select(F.col("signal_date").alias("date"), F.col("rank_h").alias("h")).distinct())
-    ranked = best_k(curves.join(wanted, ["date", "h"], "left_semi"), ["date", "h"], "value", k_max)
-    picks = plan.join(ranked, (plan["signal_date"] == ranked["date"]) & (plan["rank_h"] == ranked["h"]))
-    hold = picks.where((F.col("place") <= F.col("top_k")) & (F.col("value") >= F.col("threshold")))
-    return plan.select("variant", "signal_date", "exec_date"), hold.select("variant", "exec_date", "symbol")
+    plan = sched.withColumnRenamed("variant", "hold").join(F.broadcast(params), "hold").withColumnRenamed("exec_date", "set_date")
+    wanted = plan.select(*ORDER, F.col("signal_date").alias("date"), F.col("rank_h").alias("h")).distinct()
+    dates = F.broadcast(wanted.select("date", "h").distinct())
+    ranked = best_k(curves.select("date", "symbol", "h", "value").join(dates, ["date", "h"], "left_semi"), ["date", "h"], "value", k_max)
+    orders = ranked.join(F.broadcast(wanted), ["date", "h"]).select(*ORDER, "symbol", "place", "value")
+    values = orders.groupBy(*ORDER).agg(F.collect_list("value").alias("_values"))
+    kept = F.least(F.col("top_k"), F.size(F.filter("_values", lambda v: v >= F.col("threshold"))))
+    prefixes = values.join(F.broadcast(plan.select("variant", *ORDER, "top_k", "threshold")), ORDER).select("variant", *ORDER, kept.alias("place"))
+    return orders.drop("value"), prefixes.where("place > 0")
+
+
+def sweep_daily(bars: DataFrame, orders: DataFrame, prefixes: DataFrame, sched: DataFrame, cal: DataFrame, mode: str, k_max: int) -> DataFrame:
+    """(variant, date, ret) of all variants from one table of prefix means: bars meet each order once, however many variants cut it."""
+    if mode == "next_open":
+        legs = return_legs(sched, cal).where("leg <> 'period'").withColumnRenamed("variant", "hold")
+        rows = priced_legs(bars, legs.join(orders, ["hold", "set_date"]))
+        means = prefix_means(rows, [*ORDER, "day", "leg", "first"], k_max)
+        return compound_legs(means.join(prefixes, [*ORDER, "place"]))
+    periods = close_periods(sched).withColumnRenamed("variant", "hold")
+    rows = close_moves(bars, orders.join(F.broadcast(periods), ["hold", "set_date"]), ORDER)
+    means = prefix_means(rows, [*ORDER, "date"], k_max)
+    return means.join(prefixes, [*ORDER, "place"]).select("variant", "date", "ret")
 
 
 def sweep(curves: DataFrame, bars: DataFrame, cal: DataFrame, params: list[tuple], mode: str = "close") -> DataFrame:
@@ -98,11 +128,14 @@ def sweep(curves: DataFrame, bars: DataFrame, cal: DataFrame, params: list[tuple
     0 days and no metrics, at the end.
     """
     table = parameter_table(curves.sparkSession, params)
+    if mode not in ("close", "next_open"):
+        raise ValueError(f"mode must be 'next_open' or 'close', got {mode!r}")
     sched = schedule(cal, sorted({p[1] for p in params}))
     if mode == "close":
         sched = sched.withColumn("exec_date", F.col("signal_date"))
-    plan, hold = sweep_holdings(curves, sched, table, max(p[0] for p in params))
-    _, daily = _returns(bars, hold, plan, cal, mode)
+    k_max = max(1, *(p[0] for p in params))
+    orders, prefixes = sweep_orders(curves, sched, table, k_max)
+    daily = sweep_daily(bars, orders, prefixes, sched, cal, mode, k_max)
     out = table.join(performance(daily), "variant", "left").drop("variant").withColumn("n_days", F.coalesce("n_days", F.lit(0).cast("long")))
     return out.select(*PARAM_NAMES, "n_days", "annualised_return", "sharpe", "max_drawdown").orderBy(F.col("sharpe").desc_nulls_last(), *PARAM_NAMES)
 

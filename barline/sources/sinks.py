@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.sources.bars import BAR_SCHEMA, open_panel, upsert_bars
+
 RESULT_SCHEMA = "run string, variant string, dates array<string>, daily_returns array<double>, metrics map<string,double>"
 
 
@@ -23,6 +25,34 @@ def write_panel(df: DataFrame, path: str, by: str = "year", fmt: str = "parquet"
         writer.format(fmt).save(path)
 
 
+def _by_year(rows: DataFrame):
+    order = ["year", "symbol", "date"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("year")
+
+
+def merge_panel(updates: DataFrame, path: str, staging: str, seq: str = "seq") -> list[int]:
+    """Upsert into the panel that ``write_panel`` stored at path; returns the years it touched.
+
+    Only the years of the updates (one number a year reaches the driver) are read and rewritten, all other files stay as
+    they are. The merged years are written to ``staging`` first, a folder of this batch alone, and replace the panel's from
+    there: a merge that broke off half-way is called again with the same staging and repeats the second step. The same batch
+    twice gives the same table. Among updates of one key the highest ``seq`` wins. Updates without a symbol or date
+    name no bar and are left out; without updates nothing is written.
+    """
+    spark = updates.sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(staging, "_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        new = updates.where("symbol is not null and date is not null")
+        years = sorted(r[0] for r in new.select(F.year("date")).distinct().collect())
+        if not years:
+            return []
+        base = open_panel(spark, path).where(F.col("year").isin(years)).drop("year")
+        _by_year(upsert_bars(base, new, seq).withColumn("year", F.year("date"))).parquet(staging)
+    merged = spark.read.schema(f"{BAR_SCHEMA}, year int").parquet(staging)
+    _by_year(merged).option("partitionOverwriteMode", "dynamic").parquet(path)
+    return sorted(r[0] for r in merged.select("year").distinct().collect())
+
+
 def store_by_symbol(df: DataFrame, path: str, name: str, buckets: int | None = None) -> DataFrame:
     """df as a table bucketed by symbol and sorted by (symbol, date), one file a bucket; returns the stored table.
 

@@ -389,6 +389,29 @@ def test_sweep_keeps_fine_thresholds_apart(bars_of):
             assert tuple(backtest.sweep(paths, b, cal, [(2, 2, t, None)], mode).first()) == pytest.approx(both[t])
 
 
+def test_sweep_over_every_depth_equals_single_backtests(bars_of):
+    data = {f"S{i}": _random_bars(30, i) for i in range(7)}
+    data["S3"] = [r for n, r in enumerate(data["S3"]) if n % 3]  # symbols without a price on some days
+    b = bars_of(data)
+    cal = b.select("date").distinct()
+    paths = b.select("date", "symbol", F.lit(2).alias("h"), (F.col("close") / F.col("open") - 1).alias("value"))
+    for mode in ("close", "next_open"):
+        swept = {r["top_k"]: tuple(r)[4:] for r in backtest.sweep(paths, b, cal, [(k, 2, -1.0, None) for k in range(1, 11)], mode).collect()}
+        assert sorted(swept) == list(range(1, 11)) and swept[7] == pytest.approx(swept[10])
+        for k in (1, 4, 7):
+            one = backtest.run_backtest(paths, b, cal, [2], k, mode, threshold=-1.0)["metrics"].first()
+            assert swept[k] == pytest.approx((one["n_days"], one["annualised_return"], one["sharpe"], one["max_drawdown"]))
+    assert backtest.sweep(paths.limit(0), b, cal, [(3, 2, 0.0, None)]).first()["n_days"] == 0
+    with pytest.raises(ValueError, match="mode"):
+        backtest.sweep(paths, b, cal, [(3, 2, 0.0, None)], "other")
+
+
+def test_prefix_means_fill_places_without_returns(spark):
+    t = spark.createDataFrame([("a", 2, 1.0), ("a", 3, None), ("a", 4, 3.0), ("b", 1, None)], "g string, place int, ret double")
+    assert rows(portfolio.prefix_means(t, ["g"], 5), "g", "place", "ret") == [("a", 2, 1.0), ("a", 3, 1.0), ("a", 4, 2.0), ("a", 5, 2.0)]
+    assert portfolio.prefix_means(t.limit(0), ["g"], 5).count() == 0
+
+
 def test_known_amounts_stay(spark):
     data = [("A", 1.0, 3.0, 1.0, 3.0, None, 500.0), ("B", 1.0, 3.0, 1.0, 3.0, 10.0, None), ("C", 1.0, 3.0, 1.0, 3.0, None, None), ("D", 1.0, 3.0, 1.0, 3.0, 10.0, 7.0)]
     df = spark.createDataFrame(data, "symbol string, open double, high double, low double, close double, volume double, amount double")

@@ -12,6 +12,7 @@ from tests.conftest import days, flat_bars, rows
 from barline.functions.groups import best_k
 from barline.operators import features, labels, scores
 from barline.operators.windows import contexts
+from barline.plans import backtest
 from barline.operators import windows as win_ops
 from barline.sources import bars as src
 from barline.sources import sinks
@@ -66,6 +67,45 @@ def test_a_panel_stored_by_symbol_needs_no_exchange(spark, bars_of, tmp_path):
     assert empty.count() == 0
 
 
+def test_a_sweep_reads_and_joins_bars_as_often_for_many_depths_as_for_one(spark, bars_of, tmp_path):
+    bars = src.open_panel(spark, stored(bars_of, tmp_path))
+    curves = bars.select("date", "symbol", F.lit(5).alias("h"), (F.col("close") - F.col("open")).alias("value"))
+    cal = bars.select("date").distinct()
+    for mode in ("close", "next_open"):
+        one, many = (plan(backtest.sweep(curves, bars, cal, [(k, 5, 0.0, None) for k in range(1, n + 1)], mode)) for n in (1, 100))
+        for part in ("FileScan", "SortMergeJoin", "BroadcastHashJoin", "Exchange hashpartitioning", "Window"):
+            assert one.count(part) == many.count(part), (mode, part)
+        assert "Cartesian" not in many and "NestedLoop" not in many
+
+
+def test_merge_rewrites_touched_years_only(spark, bars_of, tmp_path):
+    path = stored(bars_of, tmp_path)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "panel").rglob("part-*")}
+    first, second = days(1, "2021-03-01")[0], days(1, "2031-05-05")[0]  # a year of the panel and a new one
+    changes = bars_of({"A": flat_bars([first], 7.0), "C": flat_bars([second], 9.0)}).withColumn("seq", F.lit(1))
+    older = changes.withColumn("close", F.lit(1.0)).withColumn("seq", F.lit(0))
+    keyless = changes.withColumn("date", F.lit(None).cast("date"))
+    want = sorted(src.upsert_bars(src.open_panel(spark, path).drop("year"), changes).collect())
+    updates = changes.unionByName(older).unionByName(keyless)
+    assert sinks.merge_panel(updates, path, str(tmp_path / "merge-1")) == [2021, 2031]
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "panel").rglob("part-*")}
+    kept = {f for f in before if "year=2021" not in str(f)}
+    assert kept and all(after.get(f) == before[f] for f in kept)
+    assert not any("year=2021" in str(f) for f in set(before) & set(after))
+    read = lambda: sorted(src.open_panel(spark, path).drop("year").collect())
+    assert read() == want
+    # the same batch again, by a new merge and by its staged rows after a year got lost half-way
+    sinks.merge_panel(updates, path, str(tmp_path / "merge-2"))
+    assert read() == want
+    for f in (tmp_path / "panel" / "year=2021").iterdir():
+        f.unlink()
+    assert len(read()) < len(want)
+    assert sinks.merge_panel(updates, path, str(tmp_path / "merge-2")) == [2021, 2031]
+    assert read() == want
+    assert sinks.merge_panel(updates.limit(0), path, str(tmp_path / "merge-3")) == []
+    assert read() == want
+
+
 def test_features_are_pruned_to_the_ones_used(spark, bars_of, tmp_path):
     bars = src.open_panel(spark, stored(bars_of, tmp_path))
     text = plan(features.technical_features(bars).select("symbol", "date", "feat_ma5_dist"))

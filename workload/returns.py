@@ -293,9 +293,9 @@ curve_sql("sw", "sw_daily")
 curve_sql("swo", "swo_daily")
 
 
-def sweep_sql(source: str) -> str:
+def sweep_sql(source: str, params: str = "params") -> str:
     return f"""SELECT top_k, hold, CAST(threshold AS DOUBLE) AS threshold, rank_h, coalesce(n_days, 0) AS n_days, annualised_return, sharpe, max_drawdown
-  FROM params p LEFT JOIN ({perf_sql(source)}) m ON m.variant = p.variant"""
+  FROM {params} p LEFT JOIN ({perf_sql(source)}) m ON m.variant = p.variant"""
 
 
 @query("sweep", sql(sweep_sql("sw")))
@@ -332,6 +332,32 @@ def _(spark, sf):
     return rounded(bt.sweep_next_open(curves(spark, sf), bars(spark, sf), calendar(spark, sf), [5, 10, 20], [3, 5]))
 
 
+DEPTHS = [(k, 5, 0.0, None) for k in range(1, 101)]
+cte("depths", "SELECT k AS variant, k AS top_k, 5 AS hold, CAST(0 AS DOUBLE) AS threshold, 5 AS rank_h FROM range(1, 101) t(k)")
+for mode, exec_date in (("close", "signal_date"), ("open", "exec_date")):
+    cte(f"depth_plan_{mode}", f"SELECT p.variant, s.signal_date, s.{exec_date} AS exec_date FROM sched s JOIN depths p ON p.hold = s.variant")
+    cte(
+        f"depth_held_{mode}",
+        f"""SELECT p.variant, c.exec_date, c.symbol FROM depths p JOIN (SELECT s.{exec_date} AS exec_date, c.symbol,
+   row_number() OVER (PARTITION BY s.signal_date ORDER BY c.value DESC, c.symbol) AS place FROM sched s
+   JOIN curves c ON c.date = s.signal_date AND c.h = s.variant WHERE s.variant = 5 AND c.value >= 0) c ON c.place <= p.top_k""",
+    )
+close_sql("dc", "depth_held_close", "depth_plan_close")
+next_open_sql("dno", "depth_held_open", "depth_plan_open")
+curve_sql("dc", "dc_daily")
+curve_sql("dno", "dno_daily")
+
+
+@query("sweep_depths", sql(sweep_sql("dc", "depths")))
+def _(spark, sf):
+    return rounded(logged(bt.sweep(curves(spark, sf), bars(spark, sf), calendar(spark, sf), DEPTHS, "close"), ANN))
+
+
+@query("sweep_depths_open", sql(sweep_sql("dno", "depths")))
+def _(spark, sf):
+    return rounded(logged(bt.sweep(curves(spark, sf), bars(spark, sf), calendar(spark, sf), DEPTHS, "next_open"), ANN))
+
+
 cte("blend_weights", "SELECT k / 10.0::DOUBLE AS w FROM range(0, 11) t(k)")
 cte(
     "blend_z",

@@ -70,17 +70,25 @@ def _updates(spark, sf):
     )
 
 
-@query(
-    "upsert_bars",
-    sql(
-        f"""SELECT {BAR6} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) AS rn
+UPSERTED = sql(
+    f"""SELECT {BAR6} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) AS rn
   FROM (SELECT *, 0 AS seq FROM bars UNION ALL SELECT * FROM bar_updates)) WHERE rn = 1"""
-    ),
 )
+
+
+@query("upsert_bars", UPSERTED)
 def _(spark, sf):
     return rounded(src.upsert_bars(bars(spark, sf), _updates(spark, sf)))
 
 
+@query("merge_panel", UPSERTED)
+def _(spark, sf):
+    path = scratch(spark)
+    sinks.write_panel(bars(spark, sf), f"{path}/panel")
+    sinks.merge_panel(_updates(spark, sf), f"{path}/panel", f"{path}/merge")
+    return rounded(src.open_panel(spark, f"{path}/panel").drop("year"))
+
+
 @query(
     "incremental_slice",
     sql(
