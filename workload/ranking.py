@@ -312,16 +312,13 @@ def _(spark, sf):
 @query(
     "predicted_return_curve",
     sql(
-        """SELECT c.date, c.symbol, round(sum(c.value * c.h), 6) AS by_open, round(max(d.by_close), 6) AS by_close FROM curves c JOIN
-  (SELECT p.date, p.symbol, sum((p.value / nullif(b.close, 0) - 1) * p.h) AS by_close FROM paths p JOIN bars b ON p.date = b.date AND p.symbol = b.symbol
-   GROUP BY p.date, p.symbol) d ON c.date = d.date AND c.symbol = d.symbol GROUP BY c.date, c.symbol"""
+        """SELECT c.date, c.symbol, c.h, round(c.value, 5) AS by_open, round(p.value / nullif(b.close, 0) - 1, 5) AS by_close FROM curves c
+  JOIN paths p ON c.date = p.date AND c.symbol = p.symbol AND c.h = p.h JOIN bars b ON p.date = b.date AND p.symbol = b.symbol"""
     ),
 )
 def _(spark, sf):
-    total = F.sum(F.col("value") * F.col("h"))
-    by_open = curves(spark, sf).groupBy("date", "symbol").agg(total.alias("by_open"))
-    by_close = sc.predicted_return_curve(paths(spark, sf), bars(spark, sf), "close", 10)
-    return rounded(by_open.join(by_close.groupBy("date", "symbol").agg(total.alias("by_close")), ["date", "symbol"]))
+    by_close = sc.predicted_return_curve(paths(spark, sf), bars(spark, sf), "close", 10).withColumnRenamed("value", "by_close")
+    return rounded(curves(spark, sf).withColumnRenamed("value", "by_open").join(by_close, ["date", "symbol", "h"]), 5)
 
 
 cte("samples", "SELECT date, symbol, h, value * (1 + s * s / 100.0::DOUBLE) AS value FROM paths, range(0, 5) t(s)")
@@ -330,19 +327,14 @@ cte("samples", "SELECT date, symbol, h, value * (1 + s * s / 100.0::DOUBLE) AS v
 @query(
     "sample_mean",
     sql(
-        """SELECT date, symbol, """
-        + ", ".join(f"round(sum({c}) / 7.3::DOUBLE, 3) AS {c.split()[0]}" for c in ("value * h", "spread", "q10", "q50", "q90"))
-        + """ FROM (SELECT date, symbol, h, avg(value) AS value, stddev_pop(value) AS spread, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.5) AS q50,
-   quantile_cont(value, 0.9) AS q90 FROM samples GROUP BY date, symbol, h) GROUP BY date, symbol"""
+        """SELECT date, symbol, h, round(avg(value), 3) AS value, round(stddev_pop(value), 3) AS spread, round(quantile_cont(value, 0.1), 3) AS q10,
+  round(quantile_cont(value, 0.5), 3) AS q50, round(quantile_cont(value, 0.9), 3) AS q90 FROM samples GROUP BY date, symbol, h"""
     ),
 )
 def _(spark, sf):
     drawn = paths(spark, sf).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4))))
     drawn = drawn.withColumn("value", F.col("value") * (F.lit(1.0) + F.col("s") * F.col("s") / F.lit(100.0)))
-    out = sc.sample_mean(drawn).groupBy("date", "symbol").agg(
-        (F.sum(F.col("value") * F.col("h")) / 7.3).alias("value"), *[(F.sum(c) / 7.3).alias(c) for c in ("spread", "q10", "q50", "q90")]
-    )
-    return rounded(out, 3)
+    return rounded(sc.sample_mean(drawn).select("date", "symbol", "h", "value", "spread", "q10", "q50", "q90"), 3)
 
 
 @query("expand_score", sql("SELECT date, symbol, h, round(score, 6) AS value FROM score_b, (SELECT unnest([3, 5, 10]) AS h)"))
@@ -822,12 +814,11 @@ fold AS (SELECT date, symbol, 0 AS h, close AS o, close AS hi, close AS lo, clos
   UNION ALL SELECT p.date, p.symbol, p.h, greatest(least(p.open, f.last * 1.1::DOUBLE), f.last * 0.9::DOUBLE), greatest(least(p.high, f.last * 1.1::DOUBLE), f.last * 0.9::DOUBLE),
     greatest(least(p.low, f.last * 1.1::DOUBLE), f.last * 0.9::DOUBLE), greatest(least(p.close, f.last * 1.1::DOUBLE), f.last * 0.9::DOUBLE)
   FROM fold f JOIN bar_paths p ON p.date = f.date AND p.symbol = f.symbol AND p.h = f.h + 1)
-SELECT date, symbol, round(sum(o * h) / 7, 6) AS open, round(sum(hi * h) / 7, 6) AS high, round(sum(lo * h) / 7, 6) AS low, round(sum(last * h) / 7, 6) AS close
-FROM fold WHERE h > 0 GROUP BY date, symbol""",
+SELECT date, symbol, h, round(o, 4) AS open, round(hi, 4) AS high, round(lo, 4) AS low, round(last, 4) AS close FROM fold WHERE h > 0""",
 )
 def _(spark, sf):
     out = post.price_limit(bar_paths(spark, sf), bars(spark, sf), 0.1)
-    return rounded(out.groupBy("date", "symbol").agg(*[(F.sum(F.col(c) * F.col("h")) / 7).alias(c) for c in ("open", "high", "low", "close")]))
+    return rounded(out.select("date", "symbol", "h", "open", "high", "low", "close"), 4)
 
 
 cte("usual", "SELECT symbol, avg(volume) AS usual FROM (SELECT symbol, volume, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM bars) WHERE r <= 20 GROUP BY symbol")
@@ -836,18 +827,13 @@ cte("usual", "SELECT symbol, avg(volume) AS usual FROM (SELECT symbol, volume, r
 @query(
     "smooth_path",
     sql(
-        """SELECT date, symbol, round(sum(c * h) / 7, 6) AS close, round(sum(v * h) / 7, 6) AS volume FROM
+        """SELECT date, symbol, h, round(c, 4) AS close, round(v, 4) AS volume FROM
   (SELECT p.date, p.symbol, p.h, avg(p.close) OVER (PARTITION BY p.date, p.symbol ORDER BY p.h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) * (1 + trend * 0.3) AS c,
-    greatest(usual * 0.3, least(usual * 3.0, p.volume)) AS v FROM bar_paths p JOIN slopes s ON p.symbol = s.symbol JOIN usual u ON p.symbol = u.symbol) GROUP BY date, symbol"""
+    greatest(usual * 0.3, least(usual * 3.0, p.volume)) AS v FROM bar_paths p JOIN slopes s ON p.symbol = s.symbol JOIN usual u ON p.symbol = u.symbol)"""
     ),
 )
 def _(spark, sf):
-    out = post.smooth_path(bar_paths(spark, sf), bars(spark, sf))
-    return rounded(
-        out.groupBy("date", "symbol").agg(
-            (F.sum(F.col("close") * F.col("h")) / 7).alias("close"), (F.sum(F.col("volume") * F.col("h")) / 7).alias("volume")
-        )
-    )
+    return rounded(post.smooth_path(bar_paths(spark, sf), bars(spark, sf)).select("date", "symbol", "h", "close", "volume"), 4)
 
 
 # holidays: the days on which the market volume was highest in its month, with an effect by month
@@ -861,8 +847,8 @@ cte(
 @query(
     "holiday_effect",
     sql(
-        """SELECT h, round(sum(value * coalesce(factor, 1)) / 1000, 3) AS value FROM (SELECT p.date, p.symbol, p.h, p.value,
-   (SELECT product(1 + effect) FROM feasts f WHERE p.date + p.h >= f.last_day AND p.date + p.h < f.last_day + CAST(f.days AS INTEGER)) AS factor FROM paths p) GROUP BY h"""
+        """SELECT date, symbol, h, round(value * coalesce(factor, 1), 4) AS value FROM (SELECT p.date, p.symbol, p.h, p.value,
+   (SELECT product(1 + effect) FROM feasts f WHERE p.date + p.h >= f.last_day AND p.date + p.h < f.last_day + CAST(f.days AS INTEGER)) AS factor FROM paths p)"""
     ),
 )
 def _(spark, sf):
@@ -873,19 +859,19 @@ def _(spark, sf):
     )
     target = paths(spark, sf).withColumn("target_date", F.date_add("date", F.col("h")))
     out = post.holiday_effect(target, feasts, ["value"])
-    return rounded(out.groupBy("h").agg((F.sum("value") / 1000).alias("value")), 3)
+    return rounded(out.select("date", "symbol", "h", "value"), 4)
 
 
 @query(
     "plausibility",
     sql(
-        """SELECT h, count(*) AS n, count(*) FILTER (abs(value - close) > close * 0.3::DOUBLE) AS n_implausible
-  FROM paths p JOIN bars b ON p.date = b.date AND p.symbol = b.symbol GROUP BY h"""
+        """SELECT p.date, p.symbol, h, abs(value - close) > close * 0.3::DOUBLE AS implausible
+  FROM paths p JOIN bars b ON p.date = b.date AND p.symbol = b.symbol"""
     ),
 )
 def _(spark, sf):
     out = post.plausibility(paths(spark, sf), bars(spark, sf))
-    return rounded(out.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("implausible"), 1)).alias("n_implausible")))
+    return rounded(out.select("date", "symbol", "h", "implausible"))
 
 
 OUTLOOK = {
@@ -913,17 +899,12 @@ cte(
 @query(
     "factor_adjust",
     sql(
-        """SELECT date, p.symbol, round(factor, 3) AS factor, round(sum(close * factor * h) / 7, 3) AS close, round(sum(volume * (1 + (factor - 1) * 0.3) * h) / 7, 3) AS volume
-  FROM bar_paths p JOIN factors f ON p.symbol = f.symbol GROUP BY date, p.symbol, factor"""
+        """SELECT date, p.symbol, h, round(factor, 4) AS factor, round(close * factor, 4) AS close, round(volume * (1 + (factor - 1) * 0.3), 4) AS volume
+  FROM bar_paths p JOIN factors f ON p.symbol = f.symbol"""
     ),
 )
 def _(spark, sf):
     dims = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     outlook = dims.selectExpr("concat('S', s_suppkey) AS symbol", *[f"{v} AS {k}" for k, v in OUTLOOK.items()])
     out = post.factor_adjust(bar_paths(spark, sf), outlook)
-    return rounded(
-        out.groupBy("date", "symbol", "factor").agg(
-            (F.sum(F.col("close") * F.col("h")) / 7).alias("close"), (F.sum(F.col("volume") * F.col("h")) / 7).alias("volume")
-        ),
-        3,
-    )
+    return rounded(out.select("date", "symbol", "h", "factor", "close", "volume"), 4)

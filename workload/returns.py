@@ -423,7 +423,7 @@ def _(spark, sf):
     return rounded(out.withColumn("value", value))
 
 
-@query("cached_scores", sql("SELECT date, symbol, round(sum(value * h), 6) AS value FROM curves GROUP BY date, symbol"))
+@query("cached_scores", sql("SELECT date, symbol, h, round(value, 5) AS value FROM curves"))
 def _(spark, sf):
     stored = sinks.cached_scores(curves(spark, sf), scratch(spark) + "/curves")
-    return rounded(stored.groupBy("date", "symbol").agg(F.sum(F.col("value") * F.col("h")).alias("value")))
+    return rounded(stored.select("date", "symbol", "h", "value"), 5)
