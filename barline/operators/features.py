@@ -249,9 +249,10 @@ def slope_trend(bars: DataFrame, n: int = 20) -> DataFrame:
     slope = F.regr_slope(F.col("close"), -F.col("_r").cast("double"))
     count = F.count("close")
     raw = ratio(slope * count, F.max("close") - F.min("close"))
-    clipped = F.greatest(F.lit(-0.1), F.least(F.lit(0.1), raw))
+    # a flat line has no range; least and greatest would take the bound for it
+    clipped = F.greatest(F.lit(-0.1), F.least(F.lit(0.1), F.coalesce(raw, F.lit(0.0))))
     return last.groupBy("symbol").agg(
-        F.when(count < 2, F.lit(0.0)).otherwise(F.coalesce(clipped, F.lit(0.0))).alias("trend")
+        F.when(count < 2, F.lit(0.0)).otherwise(clipped).alias("trend")
     )
 
 

@@ -353,6 +353,17 @@ def test_price_limit_chains(spark):
     assert rows(postprocess.price_limit(path, last), "h", "close") == [(1, pytest.approx(110.0)), (2, pytest.approx(121.0)), (3, pytest.approx(108.9))]
 
 
+def test_smoother_widens_with_the_path(bars_of, spark):
+    ds = days(30)
+    b = bars_of({"A": flat_bars(ds)})  # no trend, so no tilt
+    for n, size in ((10, 3), (20, 4), (25, 5), (30, 6), (35, 7), (50, 7)):
+        values = [float(i * i % 17) for i in range(n)]
+        path = spark.createDataFrame([(ds[-1], "A", h, v) for h, v in enumerate(values, 1)], "date date, symbol string, h int, close double")
+        want = [values[max(0, i - size // 2) : i + (size - 1) // 2 + 1] for i in range(n)]
+        got = postprocess.smooth_path(path, b).orderBy("h").collect()
+        assert [r["close"] for r in got] == pytest.approx([sum(w) / len(w) for w in want]), n
+
+
 def test_factor_bounds(spark):
     cols = "symbol string, uptrend boolean, trend_strength double, sector_hot boolean, resonance double, sector_count double, macro double, expected_cuts double, fundamental double"
     t = spark.createDataFrame([("A", True, 1.0, True, 1.0, 5.0, 1.0, 4.0, 1.0), ("B", False, 0.5, False, 0.5, 0.0, 0.5, None, 0.5)], cols)

@@ -369,7 +369,7 @@ def _(spark, sf):
 
 cte(
     "slopes",
-    """SELECT symbol, CASE WHEN count(*) < 2 THEN 0 ELSE coalesce(greatest(-0.1, least(0.1, regr_slope(close, -r) * count(*) / nullif(max(close) - min(close), 0))), 0) END AS trend
+    """SELECT symbol, CASE WHEN count(*) < 2 THEN 0 ELSE greatest(-0.1, least(0.1, coalesce(regr_slope(close, -r) * count(*) / nullif(max(close) - min(close), 0), 0))) END AS trend
   FROM (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM bars) WHERE r <= 20 GROUP BY symbol""",
 )
 
