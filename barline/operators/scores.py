@@ -358,8 +358,23 @@ def predicted_return_curve(paths: DataFrame, bars: DataFrame | None, basis: str
     """Predicted return per horizon h.
 
     'open': open_(h+1) / open_1 - 1 for h = 1 .. pred_len - 1. 'close': close_h / last close - 1.
-    Paths shorter than ``pred_len`` are dropped.
+    Paths shorter than ``pred_len`` are dropped. Packed paths, one row per (date, symbol) with an array ``path`` of the values
+    h = 1, 2, .. and the last known ``close``, need neither ``bars`` nor a shuffle; there 'both' gives the columns by_open and
+    by_close for h = 1 .. pred_len - 1.
     """
+    if "path" in paths.columns:
+        rows = paths if pred_len is None else paths.where(F.size("path") >= pred_len)
+        first = F.get("path", F.lit(0))
+        by_open = F.transform(F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0))), lambda x: change(x, first))
+        by_close = F.transform("path", lambda x: change(x, F.col("close")))
+        if basis == "both":
+            both = F.zip_with(by_open, F.slice(by_close, F.lit(1), F.size(by_open)), lambda o, c: F.struct(o.alias("by_open"), c.alias("by_close")))
+            steps = rows.select("date", "symbol", F.posexplode(both).alias("h", "_s"))
+            return steps.select("date", "symbol", (F.col("h") + 1).alias("h"), "_s.by_open", "_s.by_close")
+        if basis not in ("open", "close"):
+            raise ValueError(f"basis must be 'open', 'close' or 'both', got {basis!r}")
+        steps = rows.select("date", "symbol", F.posexplode(by_open if basis == "open" else by_close).alias("h", "value"))
+        return steps.withColumn("h", F.col("h") + 1)
     path = Window.partitionBy("date", "symbol")
     rows = paths
     if pred_len is not None:
@@ -377,13 +392,31 @@ def predicted_return_curve(paths: DataFrame, bars: DataFrame | None, basis: str
 
 
 def sample_mean(samples: DataFrame) -> DataFrame:
-    """Mean, spread and quantiles over the sampled paths of a (date, symbol, h)."""
-    agg = samples.groupBy("date", "symbol", "h").agg(
-        F.avg("value").alias("value"),
-        F.stddev_pop("value").alias("spread"),
-        F.percentile("value", [0.1, 0.5, 0.9]).alias("_q"),
-    )
-    return agg.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(("q10", "q50", "q90"))}).drop("_q")
+    """Mean, spread and quantiles over the sampled paths of a (date, symbol, h).
+
+    ``samples`` has one row per sample with its ``value``, or one row per (date, symbol, h) with all of them in an array
+    ``values``, which needs no grouping. NULLs take no part.
+    """
+    if "values" not in samples.columns:
+        agg = samples.groupBy("date", "symbol", "h").agg(
+            F.avg("value").alias("value"),
+            F.stddev_pop("value").alias("spread"),
+            F.percentile("value", [0.1, 0.5, 0.9]).alias("_q"),
+        )
+        return agg.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(("q10", "q50", "q90"))}).drop("_q")
+    rows = samples.withColumn("_v", F.array_sort(F.array_compact(F.col("values").cast("array<double>"))))
+    n = F.size("_v")
+    rows = rows.withColumn("value", ratio(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x), n))
+    off = lambda x: x - F.col("value")
+    rows = rows.withColumn("spread", F.sqrt(ratio(F.aggregate("_v", F.lit(0.0), lambda a, x: a + off(x) * off(x)), n)))
+
+    def quantile(p: float) -> Column:
+        at = (n - 1) * F.lit(p)
+        low, high = (F.get("_v", f(at).cast("int")) for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise(low * (F.ceil(at) - at) + high * (at - F.floor(at)))
+
+    rows = rows.withColumns({name: quantile(p) for name, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))})
+    return rows.select("date", "symbol", "h", "value", "spread", "q10", "q50", "q90")
 
 
 def expand_score(scores: DataFrame, holds: list[int]) -> DataFrame:

@@ -39,3 +39,40 @@ def test_ranks_by_array_equal_ranks_by_window(spark, turns):
     by_array = g._ranks_by_array(df, ["date"], ["a", "b"], "symbol", turns).select(*pick)
     by_window = g._ranks_by_window(df, ["date"], ["a", "b"], "symbol", turns).select(*pick)
     assert by_array.exceptAll(by_window).isEmpty() and by_window.exceptAll(by_array).isEmpty()
+
+
+def test_packed_paths_need_one_exchange_and_give_what_long_ones_give(spark):
+    from barline.operators import postprocess as post
+    from barline.operators import scores as sc
+    from workload import base, ranking
+
+    drawn = base.paths(spark, SF).withColumn("values", F.array(*[F.col("value") * x for x in (1.0, 3.0, 2.0, 8.0)], F.lit(None)))
+    long = drawn.withColumn("value", F.explode("values")).drop("values")
+    cols = ["date", "symbol", "h", *[F.round(c, 6).alias(c) for c in ("value", "spread", "q10", "q50", "q90")]]
+    whole, split = sc.sample_mean(drawn).select(*cols), sc.sample_mean(long).select(*cols)
+    assert plan(sc.sample_mean(drawn)).count("Exchange") == 1
+    assert whole.exceptAll(split).isEmpty() and split.exceptAll(whole).isEmpty()
+    b = bars(spark, SF)
+    packed = ranking.packed_bar_paths(spark, SF)
+    for name, one, two in (
+        ("limit", post.price_limit(packed), post.price_limit(ranking.bar_paths(spark, SF), b)),
+        ("smooth", post.smooth_path(packed, b), post.smooth_path(ranking.bar_paths(spark, SF), b)),
+    ):
+        pick = ["date", "symbol", "h", *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")]]
+        assert one.select(*pick).exceptAll(two.select(*pick)).isEmpty() and one.count() == two.count() > 0, name
+    assert plan(post.price_limit(packed)).count("Exchange") == 1
+
+
+@pytest.mark.parametrize("limit", [None, 4])
+def test_ic_by_step_equals_rank_ic(spark, limit):
+    from barline.operators.evaluate import ic_by_step, rank_ic
+
+    rng = random.Random(9)
+    pick = lambda: rng.choice([None, float("nan"), float("inf"), 0.0, 1.0, 2.0, rng.random()])
+    data = [(d, f"S{i}", [pick() for _ in range(rng.choice([0, 2, 3]))], [pick() for _ in range(3)]) for d, n in zip(days(3), (2, 6, 9)) for i in range(n)]
+    packed = spark.createDataFrame([*data, (days(1)[0], "T", None, None)], "date date, symbol string, pred array<double>, actual array<double>")
+    steps = F.posexplode(F.arrays_zip("pred", "actual")).alias("i", "s")
+    long = packed.select("date", "symbol", steps).select("date", "symbol", (F.col("i") + 1).alias("h"), "s.pred", "s.actual")
+    want = rank_ic(long, "pred", "actual", ["date", "h"], limit=None)
+    short = lambda df: rows(df.select("date", "h", "n", F.coalesce(F.round("rank_ic", 9), F.lit(9.0)).alias("ic")), "date", "h", "n", "ic")
+    assert short(ic_by_step(packed, limit=limit)) == short(want)

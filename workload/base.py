@@ -247,10 +247,23 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Bars with feat_momentum_5, and the ten values of ``paths`` as an array ``path`` beside them."""
+    value = lambda h: F.col("close") * (F.lit(1.0) + h * F.col("feat_momentum_5") / F.lit(10.0))
+    return rows.withColumn("path", F.transform(F.sequence(F.lit(1), F.lit(10)), value))
+
+
+def packed_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """(date, symbol, close, path): ``paths`` with one row per (date, symbol)."""
+    from barline.operators.features import momentum
+
+    return packed(momentum(bars(spark, sf), 5)).select("date", "symbol", "close", "path")
+
+
 def curves(spark: SparkSession, sf: str) -> DataFrame:
     from barline.operators.scores import predicted_return_curve
 
-    return predicted_return_curve(paths(spark, sf), None, "open", 10)
+    return predicted_return_curve(packed_paths(spark, sf), None, "open", 10)
 
 
 # ---- bars with holes, for the repairs --------------------------------------------------------

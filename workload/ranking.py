@@ -26,6 +26,8 @@ from workload.base import (
     curves,
     features,
     market,
+    packed,
+    packed_paths,
     paths,
     query,
     r6,
@@ -316,8 +318,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    by_close = sc.predicted_return_curve(paths(spark, sf), bars(spark, sf), "close", 10).withColumnRenamed("value", "by_close")
-    return rounded(curves(spark, sf).withColumnRenamed("value", "by_open").join(by_close, ["date", "symbol", "h"]), 5)
+    return rounded(sc.predicted_return_curve(packed_paths(spark, sf), None, "both", 10), 5)
 
 
 cte("samples", "SELECT date, symbol, h, value * (1 + s * s / 100.0::DOUBLE) AS value FROM paths, range(0, 5) t(s)")
@@ -331,8 +332,7 @@ cte("samples", "SELECT date, symbol, h, value * (1 + s * s / 100.0::DOUBLE) AS v
     ),
 )
 def _(spark, sf):
-    drawn = paths(spark, sf).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    drawn = drawn.withColumn("value", F.col("value") * (F.lit(1.0) + F.col("s") * F.col("s") / F.lit(100.0)))
+    drawn = paths(spark, sf).withColumn("values", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda s: F.col("value") * (F.lit(1.0) + s * s / F.lit(100.0))))
     return rounded(sc.sample_mean(drawn).select("date", "symbol", "h", "value", "spread", "q10", "q50", "q90"), 3)
 
 
@@ -550,8 +550,8 @@ cte("open_ics", f"SELECT date, h, {corr_sql('rp', 'ra')} AS rank_ic FROM open_ra
     ),
 )
 def _(spark, sf):
-    actual = lab.own_path(bars(spark, sf), 10, "open")
-    return rounded(ev.validation_metrics(paths(spark, sf), actual, 5, 5))
+    rows = packed(feat.momentum(lab.with_own_path(bars(spark, sf), 10, "open"), 5))
+    return rounded(ev.validation_metrics(rows, None, 5, 5))
 
 
 @query("top_k_excess", sql(f"SELECT date, n, {r6('top_mean', 'universe_mean', 'top_mean - universe_mean AS top_excess')} FROM excess"))
@@ -654,9 +654,8 @@ cte("close_ics", f"SELECT date, h, {corr_sql('rp', 'ra')} AS rank_ic FROM close_
     ),
 )
 def _(spark, sf):
-    b = bars(spark, sf)
-    actual = lab.own_path(b, 10, "close")
-    return rounded(ev.forecast_fidelity(paths(spark, sf), actual, b))
+    rows = packed(feat.momentum(lab.with_own_path(bars(spark, sf), 10, "close"), 5))
+    return rounded(ev.forecast_fidelity(rows))
 
 
 cte("pair_ranks", f"SELECT date, {rank_sql('score_a')} AS ra, {rank_sql('score_b')} AS rb FROM aligned")
@@ -797,6 +796,15 @@ def bar_paths(spark, sf):
     return rows.select("date", "symbol", "h", *prices, (F.col("volume") * F.col("h")).alias("volume"))
 
 
+def packed_bar_paths(spark, sf):
+    """(date, symbol, close, path): ``bar_paths`` with one row per (date, symbol)."""
+    drift_by = lambda h: F.lit(1.0) + h * F.col("feat_momentum_5") / F.lit(10.0)
+    prices = lambda h: [(F.col(c) * drift_by(h)).alias(c) for c in ("open", "high", "low", "close")]
+    step = lambda h: F.struct(h.alias("h"), *prices(h), (F.col("volume") * h).alias("volume"))
+    path = F.transform(F.sequence(F.lit(1), F.lit(10)), step).alias("path")
+    return feat.momentum(bars(spark, sf), 5).select("date", "symbol", "close", path)
+
+
 cte(
     "bar_paths",
     """SELECT b.date, b.symbol, CAST(t.h AS INTEGER) AS h, """
@@ -816,7 +824,7 @@ fold AS (SELECT date, symbol, 0 AS h, close AS o, close AS hi, close AS lo, clos
 SELECT date, symbol, h, round(o, 4) AS open, round(hi, 4) AS high, round(lo, 4) AS low, round(last, 4) AS close FROM fold WHERE h > 0""",
 )
 def _(spark, sf):
-    out = post.price_limit(bar_paths(spark, sf), bars(spark, sf), 0.1)
+    out = post.price_limit(packed_bar_paths(spark, sf), None, 0.1)
     return rounded(out.select("date", "symbol", "h", "open", "high", "low", "close"), 4)
 
 
@@ -832,7 +840,7 @@ cte("usual", "SELECT symbol, avg(volume) AS usual FROM (SELECT symbol, volume, r
     ),
 )
 def _(spark, sf):
-    return rounded(post.smooth_path(bar_paths(spark, sf), bars(spark, sf)).select("date", "symbol", "h", "close", "volume"), 4)
+    return rounded(post.smooth_path(packed_bar_paths(spark, sf), bars(spark, sf)).select("date", "symbol", "h", "close", "volume"), 4)
 
 
 # holidays: the days on which the market volume was highest in its month, with an effect by month
