@@ -76,3 +76,20 @@ def test_ic_by_step_equals_rank_ic(spark, limit):
     want = rank_ic(long, "pred", "actual", ["date", "h"], limit=None)
     short = lambda df: rows(df.select("date", "h", "n", F.coalesce(F.round("rank_ic", 9), F.lit(9.0)).alias("ic")), "date", "h", "n", "ic")
     assert short(ic_by_step(packed, limit=limit)) == short(want)
+
+
+def test_windows_are_scaled_as_arrays_and_keep_what_is_unknown(spark, bars_of):
+    from barline.operators import windows
+
+    ds = days(12)
+    bad = [(d, 10.0 + i, 12.0, 9.0, 10.0 + i, None if i == 9 else 5.0 * i, 1.0) for i, d in enumerate(ds)]
+    got = windows.normalised_windows(bars_of({"A": bad, "B": bad[:5]}), 6, 4, clip=1.0, at_once=2)
+    assert "RunningWindowFunction" not in plan(got) and "collect_list" not in plan(got)
+    found = sorted(got.collect(), key=lambda r: r.start_date)
+    assert [(r.symbol, r.start_date) for r in found] == [("A", d) for d in ds[:7]]
+    by_start = {r.start_date: r for r in found}
+    last = by_start[ds[6]]  # the hole is among the bars that the statistics see
+    assert last.stats.mean_volume is None and last.stats.std_volume is None and {b.volume for b in last.win} == {None}
+    near = by_start[ds[4]]  # it is behind them
+    assert near.stats.mean_volume == 27.5 and [b.volume is None for b in near.win] == [False] * 5 + [True]
+    assert [b.date for b in near.win] == ds[4:10] and near.win[5].close == 1.0 and near.win[0].high == 0.0
