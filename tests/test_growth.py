@@ -93,3 +93,26 @@ def test_windows_are_scaled_as_arrays_and_keep_what_is_unknown(spark, bars_of):
     near = by_start[ds[4]]  # it is behind them
     assert near.stats.mean_volume == 27.5 and [b.volume is None for b in near.win] == [False] * 5 + [True]
     assert [b.date for b in near.win] == ds[4:10] and near.win[5].close == 1.0 and near.win[0].high == 0.0
+
+
+def test_gradients_of_far_and_tied_scores_equal_all_pairs(spark):
+    """Scores beyond what one exponential holds, labels tied across tiles, and no Python object per row."""
+    import numpy as np
+
+    from barline.operators.scores import rank_gradients
+
+    rng = np.random.default_rng(4)
+    n, (d,) = 90, days(1)
+    for scale in (1.0, 400.0):
+        score, label = rng.normal(size=n) * scale, rng.integers(0, 12, n).astype(float)
+        df = spark.createDataFrame([(d, f"S{i:03d}", float(s), float(y)) for i, (s, y) in enumerate(zip(score, label))], "date date, symbol string, score double, label double")
+        out = rank_gradients(df, 2.0, tile=20)
+        assert "FlatMapGroupsInArrow" in plan(out) and "FlatMapGroupsInPandas" not in plan(out)
+        got = {r.symbol: (r.grad, r.hess) for r in out.collect()}
+        place = np.argsort(np.lexsort((np.arange(n), label)))
+        dist = np.abs(place[:, None] - place[None, :]) * (label[:, None] > label[None, :])
+        rho = 1 / (1 + np.exp(np.clip(2.0 * (score[:, None] - score[None, :]), -700, 700)))
+        grad = 2.0 * (-(rho * dist).sum(1) + (rho * dist).sum(0))
+        hess = np.maximum(4.0 * ((rho * (1 - rho) * dist).sum(1) + (rho * (1 - rho) * dist).sum(0)), 1e-6)
+        for i in range(n):
+            assert got[f"S{i:03d}"] == pytest.approx((grad[i], hess[i]), rel=1e-9, abs=1e-9)
