@@ -1,8 +1,8 @@
 """Ranks inside groups that may be far larger than one task can sort.
 
 A cross-section (all rows of one date) has no natural upper size. Groups up to ``limit``
-rows are ranked as arrays, all columns in one pass over the group (with ordinary windows where a type has no array
-form). Larger groups are cut into value ranges first, more of them the larger the
+rows are ranked with ordinary windows, or, where many columns are ranked at once, as arrays in one pass over the group.
+Larger groups are cut into value ranges first, more of them the larger the
 group: the cut points are approximate quantiles, the counts per range are exact, so the ranks are exact
 too. A value that more than ``limit`` rows share needs no sort at all: its rank follows from the counts, and the turns
 inside it from ranges of the key.
@@ -74,7 +74,8 @@ def with_ranks(
     """
     hot = hot_groups(df, by, limit) if hot is UNSEEN else hot
     cold, large = split_hot(df, by, limit, hot)
-    ranked = (_ranks_by_array if _has_array_form(df, cols) else _ranks_by_window)(cold, by, cols, key, turns)
+    as_arrays = len(cols) >= ARRAY_COLUMNS and _has_array_form(df, cols)
+    ranked = (_ranks_by_array if as_arrays else _ranks_by_window)(cold, by, cols, key, turns)
     if large is None:
         return ranked
     most = hot.agg(F.max("_rows")).first()[0]
@@ -124,6 +125,9 @@ def _has_array_form(df: DataFrame, cols: list[str]) -> bool:
     return all(isinstance(df.schema[c].dataType, number) for c in cols) and not any(isinstance(f.dataType, T.UserDefinedType) for f in df.schema.fields)
 
 
+#: From so many ranked columns on, one pass over arrays takes the place of a sort per column. Few columns over thousands of small
+#: groups are quicker with windows.
+ARRAY_COLUMNS = 3
 #: Rows of a group that leave its task at a time.
 BATCH = 10_000
 

@@ -139,10 +139,10 @@ def _(spark, sf):
     return rounded(rows.select("vec_id", F.size(values).alias("n_values"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
-def labelled(spark, sf):
-    """All technical features, their ranks and the 5-step label."""
+def labelled(spark, sf, ranks=True):
+    """All technical features, the 5-step label and, unless not asked for, the ranks of the features."""
     rows = feat.technical_features(lab.forward_open_return(bars(spark, sf), 5), keep=["label"]).where("label is not null")
-    return feat.cs_rank(rows, feat.TECH_FEATURES)
+    return feat.cs_rank(rows, feat.TECH_FEATURES) if ranks else rows
 
 
 VALIDATE = "date >= '2000-01-01'"
@@ -205,7 +205,7 @@ def small_trees(spark):
 )
 def _(spark, sf):
     model, cols = small_trees(spark)
-    return rounded(tree_scores(labelled(spark, sf).where(VALIDATE).select("date", "symbol", "label", *cols), model, cols))
+    return rounded(tree_scores(labelled(spark, sf, ranks=False).where(VALIDATE).select("date", "symbol", "label", *cols), model, cols))
 
 
 cte(
@@ -242,7 +242,7 @@ cte("ics", f"SELECT date, count(*) AS n, {corr_sql('rs', 'rl')} AS rank_ic FROM
 def _(spark, sf):
     """Mean rank IC of each prefix of the two known trees over the validation panel, the figure by which fit_ranker chooses."""
     model, cols = small_trees(spark)
-    panel = labelled(spark, sf).where(VALIDATE).select("date", "symbol", "label", *cols)
+    panel = labelled(spark, sf, ranks=False).where(VALIDATE).select("date", "symbol", "label", *cols)
     figures = sc.prefix_metrics(sc.assemble_features(panel, cols), model)
     return rounded(figures.select(F.col("trees").cast("int").alias("trees"), "n_dates", "rank_ic"))
 
@@ -627,7 +627,7 @@ cte(
 
 @query("feature_diagnostics", sql(" UNION ALL ".join(period_sql("feature_daily", f, "feature") for f in ("Q", "all"))))
 def _(spark, sf):
-    return rounded(ev.feature_diagnostics(labelled(spark, sf), RAW, K, ["Q", "all"]))
+    return rounded(ev.feature_diagnostics(labelled(spark, sf, ranks=False), RAW, K, ["Q", "all"]))
 
 
 cte(
