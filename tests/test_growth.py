@@ -116,3 +116,27 @@ def test_gradients_of_far_and_tied_scores_equal_all_pairs(spark):
         hess = np.maximum(4.0 * ((rho * (1 - rho) * dist).sum(1) + (rho * (1 - rho) * dist).sum(0)), 1e-6)
         for i in range(n):
             assert got[f"S{i:03d}"] == pytest.approx((grad[i], hess[i]), rel=1e-9, abs=1e-9)
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_deal_by_symbol_follows_the_lines(spark, monkeypatch):
+    from workload import base
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = base.table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(base, "LINES", lines // (n + 3))
+    assert f", {-(-lines // base.LINES)})" in plan(bars(spark, SF)) and bars(spark, SF).count() == 2898
+    monkeypatch.setattr(base, "LINES", lines)
+    assert f", {n})" in plan(bars(spark, SF))
+
+
+def test_the_market_orders_lines_of_outer_days_only(spark):
+    from workload.base import _bar_columns, _lines, market
+
+    assert "(l_shipdate" in optimized(market(spark, SF)) and "_from" in optimized(market(spark, SF))
+    want = _lines(spark, SF).groupBy("date").agg(*_bar_columns()).select("date", "open", "high", "low", "close")
+    got = market(spark, SF).select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
