@@ -89,8 +89,14 @@ def return_legs(sched: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def priced_legs(bars: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (symbol, leg, num_date, den_date, ..) with ``ret``; rows without a price on either end are gone."""
-    quotes = bars.select("symbol", "date", "open", "close")
+    """asked (symbol, leg, num_date, den_date, ..) with ``ret``; rows without a price on either end are gone.
+
+    Holdings are k rows a date and variant, so the keys asked for are broadcast: bars no leg needs go before any shuffle,
+    and where the bars are aggregates their rows go before those.
+    """
+    ends = F.explode(F.array("num_date", "den_date")).alias("date")
+    keys = F.broadcast(asked.select("symbol", ends).distinct())
+    quotes = bars.select("symbol", "date", "open", "close").join(keys, ["symbol", "date"], "left_semi")
     num = quotes.select("symbol", F.col("date").alias("num_date"), F.col("open").alias("num_open"), F.col("close").alias("num_close"))
     den = quotes.select("symbol", F.col("date").alias("den_date"), F.col("open").alias("den_open"), F.col("close").alias("den_close"))
     top = F.when(F.col("leg").isin("gap", "period"), F.col("num_open")).otherwise(F.col("num_close"))

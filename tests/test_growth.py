@@ -140,3 +140,18 @@ def test_the_market_orders_lines_of_outer_days_only(spark):
     want = _lines(spark, SF).groupBy("date").agg(*_bar_columns()).select("date", "open", "high", "low", "close")
     got = market(spark, SF).select(*want.columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_legs_drop_bars_before_they_are_dealt(spark):
+    from barline.operators.portfolio import priced_legs
+
+    asked = spark.createDataFrame([("S1", "open", *days(2))], "symbol string, leg string, num_date date, den_date date")
+    text = optimized(priced_legs(bars(spark, SF), asked))
+    assert text.count("RepartitionByExpression") == 2 and text.count("Join LeftSemi") == 2
+    assert text.index("RepartitionByExpression") < text.index("Join LeftSemi")
+
+
+def test_correlation_reads_returns_that_are_made_once(spark):
+    from workload.catalog import QUERIES
+
+    assert not [f for f in QUERIES["strategy_correlation"](spark, SF).inputFiles() if "lineitem" in f]
