@@ -155,3 +155,11 @@ def test_correlation_reads_returns_that_are_made_once(spark):
     from workload.catalog import QUERIES
 
     assert not [f for f in QUERIES["strategy_correlation"](spark, SF).inputFiles() if "lineitem" in f]
+
+
+def test_documents_are_written_from_returns_that_are_made_once(spark, monkeypatch):
+    from workload import returns
+
+    read, write = [], returns.sinks.write_result_doc
+    monkeypatch.setattr(returns.sinks, "write_result_doc", lambda ret, metrics, *rest: (read.extend([*ret.inputFiles(), *metrics.inputFiles()]), write(ret, metrics, *rest)))
+    assert returns._docs(spark, SF).count() and read and not [f for f in read if "lineitem" in f]
