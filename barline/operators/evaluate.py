@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.functions.expr import PRICE_FIELDS, change, count_if, is_finite, pearson, ratio
 from barline.functions.groups import GROUP_LIMIT, average_rank, best_k, place_down, split_hot, with_ranks
@@ -25,6 +27,47 @@ def rank_ic(
     )
 
 
+def _spearman(x: np.ndarray, y: np.ndarray, min_n: int) -> float | None:
+    """As ``pearson`` over average ranks."""
+    if len(x) < min_n:
+        return None
+    ranks = []
+    for v in (x, y):
+        in_order = np.sort(v)
+        ranks.append((np.searchsorted(in_order, v, side="left") + np.searchsorted(in_order, v, side="right") + 1) / 2)
+    a, b = (r - r.mean() for r in ranks)
+    sx, sy = np.sqrt(np.mean(a * a)), np.sqrt(np.mean(b * b))
+    if sx < 1e-9 or sy < 1e-9:
+        return None
+    r = float(np.mean(a * b) / (sx * sy))
+    return 0.0 if abs(r) < 1e-12 else r
+
+
+def _places_down(values: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """1 for the largest value, ties by turn."""
+    place = np.empty(len(values), dtype=np.int64)
+    place[np.lexsort((-turn, values))[::-1]] = np.arange(1, len(values) + 1)
+    return place
+
+
+def _per_group(pairs: DataFrame, by: list[str], score: str, figures: Callable[..., list[float | None]], names: list[str]) -> DataFrame:
+    """(by.., n, names..): ``figures(score, label, turn)`` of each group as arrays, turn being the place of the symbol.
+
+    Rows are sorted by group only and one row a group leaves its task: no window, no sort for each order.
+    """
+    rows = pairs.select(*by, "symbol", score, "label")
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names]])
+
+    def add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches([b.select(["symbol", score, "label"]) for b in batches])
+        turn = pc.rank(group.column("symbol"), tiebreaker="first").to_numpy().astype(np.int64)
+        found = figures(group.column(score).to_numpy(), group.column("label").to_numpy(), turn)
+        columns = [pa.array([k.as_py()], k.type) for k in key]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([group.num_rows], pa.int64()), *[pa.array([f], pa.float64()) for f in found]], names=schema.names)
+
+    return rows.groupBy(*by).applyInArrow(add_up, schema)
+
+
 def ic_by_step(rows: DataFrame, min_n: int = 3, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """``rank_ic`` per (date, h) of packed rows (date, symbol, pred, actual): two arrays whose i-th values belong to h = i + 1.
 
@@ -40,21 +83,6 @@ def ic_by_step(rows: DataFrame, min_n: int = 3, limit: int | None = GROUP_LIMIT)
         out[np.arange(out.shape[1]) < sizes[:, None]] = arrays.flatten().to_numpy(zero_copy_only=False)
         return out
 
-    def spearman(x: np.ndarray, y: np.ndarray) -> float | None:
-        """As ``pearson`` over average ranks."""
-        if len(x) < min_n:
-            return None
-        ranks = []
-        for v in (x, y):
-            in_order = np.sort(v)
-            ranks.append((np.searchsorted(in_order, v, side="left") + np.searchsorted(in_order, v, side="right") + 1) / 2)
-        a, b = (r - r.mean() for r in ranks)
-        sx, sy = np.sqrt(np.mean(a * a)), np.sqrt(np.mean(b * b))
-        if sx < 1e-9 or sy < 1e-9:
-            return None
-        r = float(np.mean(a * b) / (sx * sy))
-        return 0.0 if abs(r) < 1e-12 else r
-
     def correlate(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[matrix(b.column(0)), matrix(b.column(1))] for b in batches]
         width = max(m.shape[1] for pair in parts for m in pair)
@@ -63,7 +91,7 @@ def ic_by_step(rows: DataFrame, min_n: int = 3, limit: int | None = GROUP_LIMIT)
         for i in range(width):
             both = np.isfinite(pred[:, i]) & np.isfinite(actual[:, i])
             if both.any():
-                for column, value in zip(out, (i + 1, int(both.sum()), spearman(pred[both, i], actual[both, i]))):
+                for column, value in zip(out, (i + 1, int(both.sum()), _spearman(pred[both, i], actual[both, i], min_n))):
                     column.append(value)
         types = [pa.int32(), pa.int64(), pa.float64()]
         columns = [pa.array([key[0].as_py()] * len(out[0]), pa.date32()), *[pa.array(c, t) for c, t in zip(out, types)]]
@@ -147,15 +175,27 @@ def top_k_excess(scored: DataFrame, k: int = 10) -> DataFrame:
 def ndcg_at_k(scored: DataFrame, k: int = 10, limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Gain n..1 by label order, discount 1 / log2(place + 1), for dates with at least k rows."""
     pairs = scored.where(is_finite("score") & is_finite("label")).select("date", "symbol", "score", "label")
-    ranked = with_ranks(pairs, ["date"], ["score", "label"], limit=limit, turns=True).select(
+    cold, large = split_hot(pairs, ["date"], limit)
+    s0 = sum(1 / math.log2(i + 1) for i in range(1, k + 1))
+    s1 = sum(i / math.log2(i + 1) for i in range(1, k + 1))
+
+    def figures(score: np.ndarray, label: np.ndarray, turn: np.ndarray) -> list[float | None]:
+        place = _places_down(score, turn)
+        top = place <= k
+        gains = (len(score) + 1 - _places_down(label, turn)[top]) / np.log2(place[top] + 1)
+        best = (len(score) + 1) * s0 - s1
+        return [float(gains.sum()) / best if best else None]
+
+    daily = _per_group(cold, ["date"], "score", figures, ["ndcg"]).where(F.col("n") >= k)
+    if large is None:
+        return daily
+    ranked = with_ranks(large, ["date"], ["score", "label"], limit=limit, turns=True).select(
         "date", F.col("label_rk")["n"].alias("n"), place_down("score").alias("place"), place_down("label").alias("ideal")
     )
     gain = (F.col("n") + 1 - F.col("ideal")) / F.log2(F.col("place") + 1)
-    s0 = sum(1 / math.log2(i + 1) for i in range(1, k + 1))
-    s1 = sum(i / math.log2(i + 1) for i in range(1, k + 1))
     by_date = ranked.groupBy("date").agg(F.max("n").alias("n"), F.sum(F.when(F.col("place") <= k, gain)).alias("_dcg"))
     best = (F.col("n") + 1) * F.lit(s0) - F.lit(s1)
-    return by_date.where(F.col("n") >= k).select("date", "n", ratio("_dcg", best).alias("ndcg"))
+    return daily.unionByName(by_date.where(F.col("n") >= k).select("date", "n", ratio("_dcg", best).alias("ndcg")))
 
 
 def top_k_overlap(scored: DataFrame, a: str, b: str, k: int = 10) -> DataFrame:
@@ -171,25 +211,35 @@ def per_day_metrics(
 ) -> DataFrame:
     """n, rank IC, top and universe mean, excess and overlap per group, for groups of at least 2k rows.
 
-    Score and label are ranked once; everything else is one aggregate over those ranks.
+    Score and label are ranked once, as arrays of a group; groups above ``limit`` rows by value ranges.
     """
     by = by or ["date"]
     pairs = scored.where(is_finite(score) & is_finite("label")).select(*by, "symbol", score, "label")
-    ranked = with_ranks(pairs, by, [score, "label"], limit=limit, turns=True).select(
-        *by,
-        "label",
-        average_rank(score).alias("_rs"),
-        average_rank("label").alias("_rl"),
-        (place_down(score) <= k).alias("_top"),
-        (place_down("label") <= k).alias("_real"),
-    )
-    day = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        pearson("_rs", "_rl", 3).alias("rank_ic"),
-        F.avg(F.when(F.col("_top"), F.col("label"))).alias("top_mean"),
-        F.avg("label").alias("universe_mean"),
-        (count_if(F.col("_top") & F.col("_real")) / F.lit(float(k))).alias("overlap_topk"),
-    )
+    cold, large = split_hot(pairs, by, limit)
+
+    def figures(scores: np.ndarray, label: np.ndarray, turn: np.ndarray) -> list[float | None]:
+        top, real = _places_down(scores, turn) <= k, _places_down(label, turn) <= k
+        top_mean = float(label[top].mean()) if top.any() else None
+        return [_spearman(scores, label, 3), top_mean, float(label.mean()), float((top & real).sum() / k)]
+
+    day = _per_group(cold, by, score, figures, ["rank_ic", "top_mean", "universe_mean", "overlap_topk"])
+    if large is not None:
+        ranked = with_ranks(large, by, [score, "label"], limit=limit, turns=True).select(
+            *by,
+            "label",
+            average_rank(score).alias("_rs"),
+            average_rank("label").alias("_rl"),
+            (place_down(score) <= k).alias("_top"),
+            (place_down("label") <= k).alias("_real"),
+        )
+        many = ranked.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"),
+            pearson("_rs", "_rl", 3).alias("rank_ic"),
+            F.avg(F.when(F.col("_top"), F.col("label"))).alias("top_mean"),
+            F.avg("label").alias("universe_mean"),
+            (count_if(F.col("_top") & F.col("_real")) / F.lit(float(k))).alias("overlap_topk"),
+        )
+        day = day.unionByName(many)
     return day.where(F.col("n") >= 2 * k).withColumn("top_excess", F.col("top_mean") - F.col("universe_mean"))
 
 

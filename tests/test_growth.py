@@ -163,3 +163,16 @@ def test_documents_are_written_from_returns_that_are_made_once(spark, monkeypatc
     read, write = [], returns.sinks.write_result_doc
     monkeypatch.setattr(returns.sinks, "write_result_doc", lambda ret, metrics, *rest: (read.extend([*ret.inputFiles(), *metrics.inputFiles()]), write(ret, metrics, *rest)))
     assert returns._docs(spark, SF).count() and read and not [f for f in read if "lineitem" in f]
+
+
+def test_daily_figures_sort_by_date_only_and_agree_with_ranges(spark):
+    from barline.operators import evaluate as ev
+
+    rng = random.Random(5)
+    data = [(d, f"S{i}é", rng.choice([None, float("nan"), 0.0, -0.0, 1.5, rng.random()]), rng.choice([None, float(i % 4), rng.random()])) for d in [*days(2), None] for i in range(120)]
+    df = spark.createDataFrame(data, "date date, symbol string, score double, label double")
+    for fn in (ev.ndcg_at_k, ev.per_day_metrics):
+        few = fn(df, 5, limit=None)
+        assert "Window" not in plan(few) and plan(few).count("Sort [") == 1
+        near = lambda out: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in out.where("date is not null").collect())
+        assert near(few) == near(fn(df, 5, limit=20)) and len(near(few)) == 2
