@@ -159,7 +159,9 @@ def summaries(rows: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
 def survivors(blocks: DataFrame, threshold: int, slack: int, bits: int, table_bits: int = TABLE_BITS) -> DataFrame:
     """(place, part, n): for each partition the stretch of the bit table that its summary fills."""
     masses = blocks.groupBy("shard").agg(F.sum("mass").alias("whole"))
-    dealt = blocks.join(masses, "shard").repartition("shard").sortWithinPartitions("shard")
+    # a row a shard, sent to all: were both sides dealt out for the join, Spark would take that deal for the one asked for below
+    # and could read it as it was written, so that a shard's rows met in several tasks and each kept only what is frequent in its part
+    dealt = blocks.join(F.broadcast(masses), "shard").repartition("shard").sortWithinPartitions("shard")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def filled(summary: Summary) -> pa.RecordBatch:

@@ -154,6 +154,25 @@ def test_collocations_of_odd_rows(spark, odd, none):
     assert phrases.collocations(none).count() == 0
 
 
+def test_collocations_of_a_shard_meet_in_one_task(spark):
+    """Blocks of many files; the masses are small enough for a broadcast once Spark has seen their size, the blocks are not."""
+    draw = np.random.default_rng(5)
+    rows = [(lang, " ".join(f"w{x}" for x in draw.zipf(1.6, 40) if x < 400)) for lang in ("en", "de", None) for _ in range(500)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(24)
+    settings_ = {"spark.sql.autoBroadcastJoinThreshold": "2k", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        blocks = phrases.stored(phrases.summaries(docs.fillna("und"), 5, 40, 12), "summaries")
+        assert phrases.survivors(blocks, 100, 2, 40).count() == blocks.select("shard").distinct().count()
+        got = sorted(tuple(r) for r in phrases.collocations(docs, threshold=100).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_phrases(rows, 100, 2000) and got
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.lists(st.integers(0, 40), max_size=60), max_size=12), st.integers(2, 8), st.integers(1, 3))
 def test_every_frequent_key_survives_the_summary(blocks, threshold, slack):
