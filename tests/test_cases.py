@@ -505,6 +505,25 @@ def test_tree_prefixes_add_up_along_the_trees(spark):
     assert scores.prefix_metrics(ready.where("false"), model).count() == 0
 
 
+def test_prefix_figures_make_no_row_for_each_prefix(spark):
+    """40 prefixes of 600 rows: the plan has one row for each row, and the figures equal ranks of pandas; few scores mean many ties."""
+    rng = np.random.default_rng(7)
+    data = [(d, f"S{i}", x, float(round(x + noise, 1))) for d in days(6) for i in range(100) for x, noise in [map(float, rng.normal(size=2))]]
+    data += [(d, f"T{i}", 0.0, 1.0) for d in days(8)[6:] for i in range(5)]  # every label and score alike: no IC
+    panel = spark.createDataFrame(data, "date date, symbol string, x double, label double")
+    ready = scores.assemble_features(panel, ["x"])
+    model = scores.GBTRegressor(featuresCol="features", labelCol="label", maxDepth=1, maxIter=40, stepSize=0.1, seed=1).fit(ready)
+    figures = scores.prefix_metrics(ready, model)
+    plan = figures._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    got = {r.trees: (r.n_dates, r.rank_ic) for r in figures.collect()}
+    pdf = scores.tree_prefix_scores(ready, model).select("date", "label", "prefixes").toPandas()
+    assert sorted(got) == list(range(1, model.getNumTrees + 1))
+    for n in got:
+        each = [g["label"].rank().corr(g["prefixes"].str[n - 1].rank()) for _, g in pdf.groupby("date") if g["label"].nunique() > 1]
+        assert got[n] == (6, pytest.approx(np.mean(each)))
+
+
 def test_best_prefix_is_the_first_best_before_patience_ends():
     nan = float("nan")
     assert scores.best_prefix([0.1, 0.3, 0.2, 0.3, 0.9], 2) == (2, True)
