@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barline.functions.expr import change, count_if, ratio
-from barline.functions.groups import GROUP_LIMIT, percent_rank, with_ranks
+from barline.functions.groups import GROUP_LIMIT, UNSEEN, hot_groups, percent_rank, with_ranks
 from barline.functions.timeline import along
 
 # Names and order of the base features.
@@ -116,21 +116,26 @@ def technical_features(bars: DataFrame, limit: int | None = GROUP_LIMIT, keep: l
     return along(bars, step, back=60, limit=limit).select("symbol", "date", *keep, *TECH_FEATURES)
 
 
-def cs_rank(df: DataFrame, cols: list[str], by: str = "date", limit: int | None = GROUP_LIMIT) -> DataFrame:
-    """Average-tie percentile rank per date as ``<col>_cs_rank``; NULL stays NULL."""
-    ranked = with_ranks(df, [by], cols, limit=limit)
+def cs_rank(df: DataFrame, cols: list[str], by: str = "date", limit: int | None = GROUP_LIMIT, hot=UNSEEN) -> DataFrame:
+    """Average-tie percentile rank per date as ``<col>_cs_rank``; NULL stays NULL. ``hot``: what ``hot_groups`` said about df's groups."""
+    ranked = with_ranks(df, [by], cols, limit=limit, hot=hot)
     return ranked.select(*df.columns, *[percent_rank(c).alias(c + RANK_SUFFIX) for c in cols])
 
 
-def features_at(bars: DataFrame, keys: DataFrame, strict: bool = True, limit: int | None = GROUP_LIMIT) -> DataFrame:
+def _dealt(df: DataFrame, parts: int | None, *cols: str) -> DataFrame:
+    return df if parts is None else df.repartition(parts, *cols)
+
+
+def features_at(bars: DataFrame, keys: DataFrame, strict: bool = True, limit: int | None = GROUP_LIMIT, parts: int | None = None) -> DataFrame:
     """Features and their ranks for the requested (date, symbol) keys only.
 
     A key without a same-day bar fails the job (strict) or is dropped. Ranks are taken afterwards, so they
-    compare the keys among themselves.
+    compare the keys among themselves. ``parts``: partitions for the deals by key and by date, where the session's number would
+    make a task's share grow with the table.
     """
     keys = keys.select("date", "symbol").distinct()
     wanted = bars.join(keys.select("symbol").distinct(), "symbol", "left_semi")
-    feats = technical_features(wanted, limit)
+    feats = _dealt(technical_features(wanted, limit), parts, "date", "symbol")
     if strict:
         missing = F.raise_error(F.concat(F.lit("no bar for "), F.col("symbol"), F.lit(" on "), F.col("date").cast("string")))
         first = TECH_FEATURES[0]
@@ -139,24 +144,26 @@ def features_at(bars: DataFrame, keys: DataFrame, strict: bool = True, limit: in
         )
     else:
         found = keys.join(feats, ["date", "symbol"])
-    return cs_rank(found, TECH_FEATURES, limit=limit)
+    hot = hot_groups(found, ["date"], limit)
+    return cs_rank(_dealt(found, parts, "date"), TECH_FEATURES, limit=limit, hot=hot)
 
 
-def enrich(panel: DataFrame, bars: DataFrame, cal: DataFrame | None = None, limit: int | None = GROUP_LIMIT) -> DataFrame:
+def enrich(panel: DataFrame, bars: DataFrame, cal: DataFrame | None = None, limit: int | None = GROUP_LIMIT, parts: int | None = None) -> DataFrame:
     """Recompute the ``feat_*`` columns of a panel; rows off the calendar or without a bar are dropped.
 
-    A repeated (date, symbol) fails the job.
+    A repeated (date, symbol) fails the job. ``parts`` as in ``features_at``.
     """
     base = panel.drop(*[c for c in panel.columns if c.startswith("feat_")])
     if cal is not None:
         base = base.join(F.broadcast(cal.select("date").distinct()), "date", "left_semi")
     repeated = F.raise_error(F.concat(F.lit("repeated key "), F.col("symbol"), F.lit(" "), F.col("date").cast("string")))
     keys = (
-        base.groupBy("date", "symbol")
+        _dealt(base.select("date", "symbol"), parts, "date", "symbol")
+        .groupBy("date", "symbol")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("symbol", F.when(F.col("_n") > 1, repeated.cast("string")).otherwise(F.col("symbol")))
+        .where(F.when(F.col("_n") > 1, repeated.cast("boolean")).otherwise(F.lit(True)))
     )
-    feats = features_at(bars, keys, strict=False, limit=limit)
+    feats = _dealt(features_at(bars, keys, strict=False, limit=limit, parts=parts), parts, "date", "symbol")
     return base.join(feats, ["date", "symbol"]).select(*base.columns, *technical_columns(feats.columns))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pytest
@@ -153,6 +154,14 @@ def test_features_at_strict_and_enrich(spark, bars_of):
     assert out.columns[3:5] == ["feat_ma5_dist", "feat_ma5_dist_cs_rank"] and out.count() == 2
     with pytest.raises(Exception, match="repeated key"):
         features.enrich(panel.unionByName(panel), b).collect()
+    # with a number of partitions given, the deals by key and by date take it; results and the check of keys stay
+    wide = features.enrich(panel, b, parts=9)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    by_date = re.findall(r"Exchange hashpartitioning\(date#\d+[^)]*\b(\d+)\)", plan)
+    assert by_date and set(by_date) == {"9"}, by_date
+    assert rows(wide, *out.columns) == rows(out, *out.columns)
+    with pytest.raises(Exception, match="repeated key"):
+        features.enrich(panel.unionByName(panel), b, parts=9).collect()
 
 
 def test_feature_columns():

@@ -126,14 +126,20 @@ def _deals(spark: SparkSession, sf: str) -> int:
     return -(-_SIZES[sf] // LINES)
 
 
+def wide_deal(spark: SparkSession, sf: str) -> int | None:
+    """Partitions for a deal of rows made from lineitem, or None where the session's number is enough."""
+    n = _deals(spark, sf)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars by (symbol, date). The lines are dealt out by symbol once; windows along a symbol find them where they are.
 
     The number of partitions follows the number of lines, so what a task sorts does not grow with the table. Symbol and
     week are made before the deal and nothing stands between it and the aggregate: a semi-join on them goes below both.
     """
-    lines, n = _lines(spark, sf), _deals(spark, sf)
-    dealt = lines.repartition(n, "symbol") if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else lines.repartition("symbol")
+    lines, n = _lines(spark, sf), wide_deal(spark, sf)
+    dealt = lines.repartition(n, "symbol") if n else lines.repartition("symbol")
     return dealt.groupBy("symbol", "date").agg(*_bar_columns())
 
 

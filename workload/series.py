@@ -25,6 +25,7 @@ from workload.base import (
     rounded,
     sql,
     table,
+    wide_deal,
 )
 from workload.tables import NOT_NULL, traded
 
@@ -292,7 +293,7 @@ def _keys(spark, sf):
     ),
 )
 def _(spark, sf):
-    return rounded(feat.features_at(bars(spark, sf), _keys(spark, sf), strict=False))
+    return rounded(feat.features_at(bars(spark, sf), _keys(spark, sf), strict=False, parts=wide_deal(spark, sf)))
 
 
 cte("enriched", "SELECT k.date, k.symbol, f.* EXCLUDE (date, symbol) FROM keys k JOIN features f ON f.date = k.date AND f.symbol = k.symbol WHERE k.date IN (SELECT date FROM traded)")
@@ -308,7 +309,7 @@ cte("enriched", "SELECT k.date, k.symbol, f.* EXCLUDE (date, symbol) FROM keys k
 )
 def _(spark, sf):
     panel = _keys(spark, sf).withColumns({"label": F.lit(1.0), "feat_stale": F.lit(0.0)})
-    return rounded(feat.enrich(panel, bars(spark, sf), traded(spark, sf)))
+    return rounded(feat.enrich(panel, bars(spark, sf), traded(spark, sf), parts=wide_deal(spark, sf)))
 
 
 @query("without_bar", sql("SELECT k.date, count(*) AS n_dropped FROM keys k ANTI JOIN bars b ON k.date = b.date AND k.symbol = b.symbol GROUP BY k.date"))
