@@ -108,7 +108,8 @@ def links(nodes: DataFrame, radius: int, bands: int | None = None) -> DataFrame:
     turn = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), F.col("fp")), F.col("fp")))["fp"]
     ends = placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("copies", "fp"))["fp"].alias("p0"), turn(1).alias("p1"), turn(2).alias("p2"))
     ends = stored(ends.where("members > 1").select("grid", "cell", "members", F.array_distinct(F.array("p0", "p1", "p2")).alias("pivots")), "cells")
-    member = stored(placed.select("grid", "cell", "fp").join(ends, ["grid", "cell"]), "members")
+    # Spark sizes exploded rows as if they were the nodes: without the hint it may broadcast all cells
+    member = stored(placed.select("grid", "cell", "fp").hint("merge").join(ends, ["grid", "cell"]), "members")
 
     within = lambda a, b: (manhattan(embedded(a), embedded(b)) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
     # most members of a cell meet by chance: pivots are filtered and verified where they lie, only links become rows

@@ -265,6 +265,20 @@ def test_embedding_bounds_the_difference_from_below(spark):
     assert [simhash.band_count(n, 4) for n in (0, 50_000, 14_000_000)] == [8, 8, 9]
 
 
+def test_cells_of_few_nodes_are_not_broadcast(spark, monkeypatch):
+    """Exploded cells are some 70 times the nodes, which Spark does not count: they must not become a broadcast table."""
+    plans, stored = {}, simhash.stored
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", kept)
+    nodes = spark.range(300).select(F.xxhash64("id").alias("fp"), F.lit(1).cast("long").alias("copies"))
+    simhash.links(nodes, 4)
+    assert "SortMergeJoin" in plans["members"] and "Broadcast" not in plans["members"]
+
+
 def test_simhash_of_odd_rows(odd, none):
     got = simhash.simhash_duplicates(odd).collect()
     assert len(got) == len(ODD)
