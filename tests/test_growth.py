@@ -118,6 +118,29 @@ def test_gradients_of_far_and_tied_scores_equal_all_pairs(spark):
             assert got[f"S{i:03d}"] == pytest.approx((grad[i], hess[i]), rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("spread, labels", [(0.1, 0), (1.0, 40), (0.3, 2), (1e-9, 900), (300.0, 0)])
+def test_pairs_of_a_date_are_met_in_blocks_only(monkeypatch, spread, labels):
+    """All pairs count, with ties across blocks and far scores, but few are met one by one unless scores spread very far."""
+    import numpy as np
+
+    from barline.operators import pairs
+
+    met, sums = [], pairs.strip_sums
+    monkeypatch.setattr(pairs, "strip_sums", lambda up, down, *rest: (met.append(len(up) * len(down)), sums(up, down, *rest))[1])
+    rng, n, sigma = np.random.default_rng(8), 2500, 10.0
+    score = rng.normal(size=n) * spread
+    label = np.sort(rng.integers(0, labels, n).astype(float) if labels else rng.normal(size=n))
+    place = np.cumsum(rng.integers(1, 3, n))
+    grad, hess = pairs.pair_sums(score, label, place, sigma, 8192)
+    dist = np.abs(place[:, None] - place[None, :]) * (label[:, None] > label[None, :])
+    x = np.clip(sigma * (score[:, None] - score[None, :]), -700, 700)
+    rho, both = 1 / (1 + np.exp(x)), 1 / ((1 + np.exp(x)) * (1 + np.exp(-x)))
+    up, down = (rho * dist).sum(1), (rho * dist).sum(0)
+    assert np.abs(grad - sigma * (down - up)).max() < 1e-12 * sigma * (down + up).max()
+    assert hess == pytest.approx(sigma**2 * ((both * dist).sum(1) + (both * dist).sum(0)), rel=1e-11, abs=1e-9)
+    assert (sum(met) < n * n / 2) == (spread < 100)
+
+
 def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
