@@ -35,7 +35,11 @@ def _spearman(x: np.ndarray, y: np.ndarray, min_n: int) -> float | None:
     for v in (x, y):
         in_order = np.sort(v)
         ranks.append((np.searchsorted(in_order, v, side="left") + np.searchsorted(in_order, v, side="right") + 1) / 2)
-    a, b = (r - r.mean() for r in ranks)
+    return _correlation(*ranks)
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+    a, b = x - x.mean(), y - y.mean()
     sx, sy = np.sqrt(np.mean(a * a)), np.sqrt(np.mean(b * b))
     if sx < 1e-9 or sy < 1e-9:
         return None
@@ -272,9 +276,57 @@ def aggregate_period(daily: DataFrame, freqs: list[str] = ("Q",), by: list[str]
 def feature_diagnostics(
     panel: DataFrame, cols: list[str], k: int = 10, freqs: list[str] = ("Q",), limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
-    """Every feature taken as a score, through the daily and period metrics, in one job."""
-    long = panel.select("date", "symbol", "label", *cols).unpivot(["date", "symbol", "label"], cols, "feature", "score")
-    return aggregate_period(per_day_metrics(long, k, ["feature", "date"], limit=limit), list(freqs), ["feature"])
+    """Every feature taken as a score, through the daily and period metrics, in one job.
+
+    Rows are dealt out by date once, with all features beside each other; only dates above ``limit`` rows get a row for each feature.
+    """
+    cold, large = split_hot(panel.where(is_finite("label")).select("date", "symbol", "label", *cols), ["date"], limit)
+    daily = _daily_by_feature(cold, cols, k)
+    if large is not None:
+        long = large.unpivot(["date", "symbol", "label"], cols, "feature", "score")
+        daily = daily.unionByName(per_day_metrics(long, k, ["feature", "date"], limit=limit))
+    return aggregate_period(daily, list(freqs), ["feature"])
+
+
+def _daily_by_feature(panel: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """``per_day_metrics`` by (feature, date), each date as arrays of a task that are sorted once by feature."""
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        group = group.take(pc.sort_indices(group.column("symbol")))
+        label = group.column("label").to_numpy()
+        whole = _ordered(label)
+        found = []
+        for c in cols:
+            score = group.column(c).to_numpy()
+            there = np.isfinite(score)
+            n = int(there.sum())
+            if n < 2 * k or not n:
+                continue
+            own, (order, ranks) = (label, whole) if n == len(label) else (label[there], _ordered(label[there]))
+            best, score_ranks = _ordered(score[there])
+            top = best[:k]
+            mean = float(own[top].mean()) if k else None
+            found.append((c, n, _correlation(score_ranks, ranks) if n >= 3 else None, mean, float(own.mean()), len(np.intersect1d(top, order[:k])) / k if k else None))
+        columns = [list(x) for x in zip(*found)] or [[] for _ in range(6)]
+        types = [pa.string(), pa.int64(), *[pa.float64()] * 4]
+        date = pa.array([group.column("date")[0].as_py()] * len(found), group.schema.field("date").type)
+        yield pa.RecordBatch.from_arrays([date, *map(pa.array, columns, types)], names=schema.names)
+
+    names = ["rank_ic", "top_mean", "universe_mean", "overlap_topk"]
+    schema = T.StructType([panel.schema["date"], T.StructField("feature", T.StringType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names]])
+    return panel.groupBy("date").applyInArrow(figures, schema).withColumn("top_excess", F.col("top_mean") - F.col("universe_mean"))
+
+
+def _ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows from the largest value to the smallest, ties as they stand, and the average rank of each row in that order."""
+    order = np.argsort(-values, kind="stable")
+    there = values[order]
+    starts = np.flatnonzero(np.append(True, there[1:] != there[:-1])) if len(there) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(there)))
+    ranks = np.empty(len(there))
+    ranks[order] = np.repeat(starts + (sizes + 1) / 2, sizes)
+    return order, ranks
 
 
 def select_metric(scored: DataFrame, metric: str, k: int = 10) -> DataFrame:

@@ -199,3 +199,27 @@ def test_daily_figures_sort_by_date_only_and_agree_with_ranges(spark):
         assert "Window" not in plan(few) and plan(few).count("Sort [") == 1
         near = lambda out: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in out.where("date is not null").collect())
         assert near(few) == near(fn(df, 5, limit=20)) and len(near(few)) == 2
+
+
+def test_feature_diagnostics_deal_out_wide_rows_and_agree_with_long_ones(spark):
+    """A row stays one row: no feature is exploded before the deal by date, and odd values count as they do one feature at a time."""
+    from barline.operators import evaluate as ev
+
+    rng = random.Random(6)
+    odd = lambda: rng.choice([None, float("nan"), float("inf"), 0.0, -0.0, 1.5, rng.random(), rng.random()])
+    data = [(d, f"S{i}é", odd(), odd(), float(i % 3), odd()) for d in [*days(3), None] for i in range(90)]
+    df = spark.createDataFrame([*data, (days(4)[3], "S1", 1.0, 1.0, 1.0, 1.0)], "date date, symbol string, a double, b double, c double, label double")
+    few = ev.feature_diagnostics(df, ["a", "b", "c"], 5, ["all"], limit=None)
+    assert "Expand" not in plan(few) and "Generate explode(array(a" not in plan(few)
+    long = df.unpivot(["date", "symbol", "label"], ["a", "b", "c"], "feature", "score")
+    want = ev.aggregate_period(ev.per_day_metrics(long, 5, ["feature", "date"], limit=None), ["all"], ["feature"])
+    near = lambda out: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in out.where("period is not null").collect())
+    assert near(few) == near(want) == near(ev.feature_diagnostics(df, ["a", "b", "c"], 5, ["all"], limit=20)) and len(near(few)) == 3
+
+
+def test_weeks_of_few_lines_need_no_look_at_the_bars(spark, monkeypatch):
+    from workload import base
+
+    assert base.limit_of_dates(spark, SF) is None
+    monkeypatch.setattr(base, "GROUP_LIMIT", 3)
+    assert base.limit_of_dates(spark, SF) == 3

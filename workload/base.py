@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barline.functions.groups import GROUP_LIMIT
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
@@ -132,6 +134,21 @@ def wide_deal(spark: SparkSession, sf: str) -> int | None:
     return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 
+def by_date(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """Rows made from lineitem dealt out by date, into as many partitions as its lines ask for, where the session's number is too small."""
+    n = wide_deal(spark, sf)
+    return rows.repartition(n, "date") if n else rows
+
+
+def limit_of_dates(spark: SparkSession, sf: str) -> int | None:
+    """``GROUP_LIMIT`` for bars of this lineitem, or None if no week has so many lines that one of its cross-sections could be above it.
+
+    That look reads one column, where a look at the bars would deal out all lines once more.
+    """
+    most = _lines(spark, sf).groupBy("date").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return GROUP_LIMIT if (most or 0) > GROUP_LIMIT else None
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars by (symbol, date). The lines are dealt out by symbol once; windows along a symbol find them where they are.
 

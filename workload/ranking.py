@@ -22,10 +22,12 @@ from workload.base import (
     all_bars,
     bars,
     blended,
+    by_date,
     calendar,
     cte,
     curves,
     features,
+    limit_of_dates,
     market,
     packed,
     packed_paths,
@@ -633,7 +635,8 @@ cte(
 
 @query("feature_diagnostics", sql(" UNION ALL ".join(period_sql("feature_daily", f, "feature") for f in ("Q", "all"))))
 def _(spark, sf):
-    return rounded(ev.feature_diagnostics(labelled(spark, sf, ranks=False), RAW, K, ["Q", "all"]))
+    panel = by_date(spark, sf, labelled(spark, sf, ranks=False).select("date", "symbol", "label", *RAW))
+    return rounded(ev.feature_diagnostics(panel, RAW, K, ["Q", "all"], limit=limit_of_dates(spark, sf)))
 
 
 cte(
