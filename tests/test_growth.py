@@ -223,3 +223,40 @@ def test_weeks_of_few_lines_need_no_look_at_the_bars(spark, monkeypatch):
     assert base.limit_of_dates(spark, SF) is None
     monkeypatch.setattr(base, "GROUP_LIMIT", 3)
     assert base.limit_of_dates(spark, SF) == 3
+
+
+def test_features_of_arrays_equal_those_of_windows(spark):
+    """Holes, zeros and NaN, symbols shorter than a frame and cut by batches; and the labelled panel has no frame of many rows left."""
+    from barline.operators.features import technical_arrays
+    from workload.ranking import labelled
+
+    rng = random.Random(2)
+    odd = lambda: rng.choice([None, 0.0, float("nan"), 5.0, 5.0, *[rng.random() * 10 for _ in range(5)]])
+    full = lambda: 1 + rng.random()
+    data = [(s, d, *[(odd if s < "C" else full)() for _ in range(4)], None if i % 3 else 1.5) for s, n in (("A", 100), ("B", 30), ("C", 90), ("D", 1), ("E", 20)) for i, d in enumerate(days(n))]
+    rng.shuffle(data)
+    bars = spark.createDataFrame(data, "symbol string, date date, high double, low double, close double, volume double, label double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        near = lambda df: sorted(tuple(round(v, 9) + 0.0 if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+        got, want = (near(fn(bars, keep=["label"]).na.fill(-9.0)) for fn in (technical_arrays, technical_features))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == 241 and got == want
+    assert technical_arrays(bars.where("false")).count() == 0
+    text = plan(labelled(spark, SF, ranks=False))
+    assert "MapInArrow" in text and "specifiedwindowframe(RowFrame, -59" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("limit", [None, 30])
+def test_shares_equal_percent_ranks(spark, limit):
+    rng = random.Random(4)
+    odd = lambda: rng.choice([None, float("nan"), float("-inf"), 0.0, -0.0, 1.0, rng.random()])
+    data = [(d, f"S{i}", odd(), i % 3) for d, n in zip(days(3), (80, 20, 1)) for i in range(n)] + [(days(4)[3], "S1", None, None)]
+    df = spark.createDataFrame(data, "date date, symbol string, a double, b long")
+    ranked = g.with_ranks(df, ["date"], ["a", "b"], limit=None)
+    want = ranked.select("date", "symbol", *[F.round(g.percent_rank(c), 12).alias(c) for c in ("a", "b")], F.col("b_rk")["n"].alias("n"))
+    found = g.with_shares(df, ["date"], ["a", "b"], limit=limit, sized=["b"])
+    got = found.select("date", "symbol", *[F.round(f"{c}_share", 12).alias(c) for c in ("a", "b")], F.when(F.col("b").isNotNull(), F.col("b_n")).alias("n"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
